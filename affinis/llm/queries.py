@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, minhash, mixing, multiindex, oracles, sharding, urlrules
-from .runtime import table
+from . import fingerprint, langid, minhash, mixing, multiindex, oracles, sharding, urlrules
+from .runtime import crc_bucket, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_bucket("doc_id", 5) != 0))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "language", "origin", "epoch", "tokens", "budget", "upto")
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_sharding, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_minhash_near_dedup, op5_sharding, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
 
 ORACLES = {
     "op4_minhash_near_dedup": oracles.OP4,
