@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
 from .runtime import cut
@@ -23,6 +24,9 @@ SMALL = 32
 #: Members of a block of a large bucket.
 BLOCK = 512
 
+#: Size of the filter for documents whose sets are needed. At any number of documents it is correct; the more, the less it saves.
+BITMAP_BYTES = 1 << 24
+
 _SIGNATURE = "doc_id bigint, cls string, n_shingles bigint, lefts array<bigint>, rights array<bigint>, sketch array<tinyint>"
 
 
@@ -85,12 +89,32 @@ def _sign(tensor: Tensor, width: int):
     return run
 
 
-def _shingle_sets(width: int):
+def bit_of(column: str) -> Column:
+    """Number of an id's bit, from 1."""
+    return F.pmod(F.xxhash64(column), F.lit(8 * BITMAP_BYTES)) + 1
+
+
+def bitmap(ids: DataFrame) -> Broadcast[np.ndarray]:
+    """Bits at the hashes of all ``id``: of fixed size, a filter without false negatives."""
+    bits = np.zeros(BITMAP_BYTES, np.uint8)
+    bit = bit_of("id")
+    parts = ids.groupBy((F.bitmap_bucket_number(bit) - 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    for row in parts.toLocalIterator():
+        piece = np.frombuffer(row["bits"], np.uint8)
+        bits[row["part"] * len(piece) : (row["part"] + 1) * len(piece)] |= piece
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _shingle_sets(width: int, wanted: Broadcast[np.ndarray]):
+    """Shingle sets of the documents whose bit is set: those wanted, and a few more by chance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), wanted.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            # A bit at position p of its bucket is bit p % 8, from the lowest, of byte p // 8.
+            at = whole.column("bit").to_numpy() - 1
+            whole = whole.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 != 0))
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
                 sets = [shingles(hashes.of((t or b"").lower().split()), width) for t in _texts(batch)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
@@ -177,9 +201,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     nodes = cut(nodes.select(F.col("doc_id").alias("id"), "cls", "n_shingles", "lefts", "rights", "sketch"))
 
     # Tables of the left halves come first: what no other document shares there is in no bucket of a pair of halves.
-    left = nodes.select("id", "rights", F.posexplode("lefts").alias("i", "x"))
+    left = nodes.select("id", F.posexplode("lefts").alias("i", "x"))
     common = left.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "x")
-    cells = left.join(common, ["i", "x"]).select("id", "i", "x", F.posexplode("rights").alias("j", "y")).select("id", "i", "x", F.xxhash64("i", "x", "j", "y").alias("key"))
+    shared_halves = left.join(common, ["i", "x"]).groupBy("id").agg(F.collect_list(F.struct("i", "x")).alias("halves"))
+    halves = shared_halves.join(nodes.select("id", "rights"), "id").select("id", "rights", F.inline("halves"))
+    cells = halves.select("id", "i", "x", F.posexplode("rights").alias("j", "y")).select("id", "i", "x", F.xxhash64("i", "x", "j", "y").alias("key"))
     counts = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = cut(cells.join(counts, "key"))
 
@@ -201,8 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     crowd = cut(crowd.join(blocks, ["i", "x"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct()
-    keys = nodes.join(wanted, "id", "left_semi").select(F.col("id").alias("doc_id"))
-    sets = cut(docs.join(keys, "doc_id", "left_semi").mapInArrow(_shingle_sets(width), "doc_id bigint, shingles array<bigint>").dropDuplicates(["doc_id", "shingles"]))
+    sets = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(_shingle_sets(width, bitmap(wanted)), "doc_id bigint, shingles array<bigint>"))
 
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
