@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, minhash, mixing, multiindex, oracles, sharding, urlrules
+from . import fingerprint, langid, minhash, mixing, multiindex, oracles, sharding, toxicity, urlrules
 from .runtime import crc_bucket, table
 
 
@@ -23,6 +23,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.fit(docs, labels.where(crc_bucket("doc_id", 4) != 2)))
+    return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -49,7 +55,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "language", "origin", "epoch", "tokens", "budget", "upto")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_minhash_near_dedup, op5_sharding, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_minhash_near_dedup, op5_sharding, op6_toxicity, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
 
 ORACLES = {
     "op4_minhash_near_dedup": oracles.OP4,
