@@ -7,9 +7,9 @@ order of what it keeps and is sensitive to edit distance. The fraction of equal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
 
-from .runtime import cut
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Bits of a packed position in a text; longer texts wrap, which only shortens the order that is kept.
 POSITION = 24
@@ -92,11 +92,12 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ",")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with ``next``: a struct of ``columns`` of the following row in descending ``doc_id``; the first row follows the last.
+def with_next(docs: DataFrame, column: str, extra: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``docs`` with the columns of ``extra`` and ``next``: a struct of ``column`` and them of the following row in descending ``doc_id``.
 
-    Rows are dealt to ranges between quantiles of the id, so no task sorts the whole table; the first row of
-    each range is looked up among one row per range. Equal ids follow each other in the order of ``columns``.
+    ``extra`` are functions of ``column``. The first row follows the last. Rows are dealt to ranges between
+    quantiles of the id, so no task sorts the whole table; the first row of each range is looked up among one
+    row per range. Equal ids follow each other in the order of ``column``.
     """
     docs = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     quantiles = F.percentile_approx("_id", [i / RANGES for i in range(1, RANGES)], F.lit(100_000))
@@ -112,10 +113,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
         spot = place(0, len(bounds))
     ranged = docs.withColumn("_range", spot)
-    order = [F.col("_id").desc(), *[F.col(c) for c in columns]]
-    here = W.partitionBy("_range").orderBy(*order)
-    led = ranged.withColumn("next", F.lead(F.struct(*columns)).over(here)).withColumn("_last", F.lead(F.lit(1)).over(here).isNull())
-    heads = ranged.groupBy("_range").agg(F.min_by(F.struct(*columns), F.struct(-F.col("_id").cast("decimal(20,0)"), *columns)).alias("_head"))
+    whole = lambda c: F.struct(c.alias(column), *[f(c).alias(name) for name, f in extra.items()])
+    here = W.partitionBy("_range").orderBy(F.col("_id").desc(), column)
+    led = ranged.withColumns({name: f(F.col(column)) for name, f in extra.items()})
+    led = led.withColumn("next", F.lead(F.struct(column, *extra)).over(here)).withColumn("_last", F.lead(F.lit(1)).over(here).isNull())
+    heads = ranged.groupBy("_range").agg(F.min_by(column, F.struct(-F.col("_id").cast("decimal(20,0)"), column)).alias("_first"))
+    heads = heads.select("_range", whole(F.col("_first")).alias("_head"))
     chain = W.orderBy(F.col("_range").desc())
     ends = W.orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     heads = heads.withColumn("_head", F.coalesce(F.lead("_head").over(chain), F.first("_head").over(ends)))  # at most RANGES rows
@@ -132,9 +135,8 @@ def fingerprints(docs: DataFrame, k: int = 3, ell: int = 2, bins: int = 64) -> D
     table of one row follows itself. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = rows.withColumn("print", order_minhash(F.col("text"), k, ell, bins))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
-    paired = with_next(prints, ["text", "print"])
+    paired = with_next(rows, "text", {"print": lambda text: order_minhash(text, k, ell, bins)})
     edited = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "print", F.col("next.print").alias("next_print"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"))
     edited = edited.withColumn("edited_print", order_minhash(F.col("edited"), k, ell, bins))
     return edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).cast("double").alias("near_edited"), likeness(F.col("print"), F.col("next_print")).cast("double").alias("near_next"))
