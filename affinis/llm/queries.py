@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, minhash, mixing, multiindex, oracles, sharding, toxicity, urlrules
+from . import fingerprint, langid, minhash, mixing, multiindex, oracles, pieces, sharding, toxicity, urlrules
 from .runtime import crc_bucket, table
 
 
+#: Folder of the public tokenizers' files; a parameter of the queries that need one.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def piece_model(folder: str = TOKENIZERS) -> bytes:
+    return Path(folder, "piece_bpe_32k.model").read_bytes()
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(crc_bucket("doc_id", 5) != 0))
@@ -55,7 +70,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "language", "origin", "epoch", "tokens", "budget", "upto")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_minhash_near_dedup, op5_sharding, op6_toxicity, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_minhash_near_dedup, op5_sharding, op6_toxicity, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
 
 ORACLES = {
     "op4_minhash_near_dedup": oracles.OP4,
