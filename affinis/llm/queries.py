@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, minhash, mixing, multiindex, oracles, pieces, sharding, toxicity, urlrules
+from . import fingerprint, langid, minhash, mixing, multiindex, oracles, pieces, secretscan, sharding, toxicity, urlrules
 from .runtime import crc_bucket, table
 
 
@@ -30,6 +30,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.digest(secretscan.scan(docs, secretscan.fit(docs)))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -70,7 +75,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "language", "origin", "epoch", "tokens", "budget", "upto")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_minhash_near_dedup, op5_sharding, op6_toxicity, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_secret_scans, op4_minhash_near_dedup, op5_sharding, op6_toxicity, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
 
 ORACLES = {
     "op4_minhash_near_dedup": oracles.OP4,
