@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ORDER = 3
+#: Columns that a prediction adds.
+ADDED = ("lang_pred", "score", "bits")
 _SLICE = 1 << 20
 _LETTER = re.compile(rb"[A-Za-z]")
 
@@ -189,20 +191,25 @@ def _predict(shared):
                 names.append(model.languages[best])
                 scores.append(float(1 / np.exp2(-np.minimum(bits - bits[best], 1000.0)).sum()))
                 lengths.append(float(bits[best]))
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())], [*[c for c in batch.schema.names if c != "text"], "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())], [*batch.schema.names, *ADDED])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, lang_pred, score, bits)``, one row for each row of ``docs``, from ``text`` alone.
+def tag(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``bits``, predicted from ``text`` alone.
 
     ``lang_pred`` is the language with the shortest code for the whole text (of equals the first by name), ``score`` its share of the
     likelihood of all languages, ``bits`` that code's length. A text that is null or has no letter gets ``und``, score 0 and null
     bits, as all do if the model has no language. Null ids and repeated rows are scored like others. An empty table gives
-    an empty result.
+    an empty result. Columns of these names that are there already are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double, bits double")
+    rows = docs.drop(*ADDED).withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
+    return rows.mapInArrow(_predict(shared), schema)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, lang_pred, score, bits)``, one row for each row of ``docs``; see ``tag``."""
+    return tag(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model).drop("text")

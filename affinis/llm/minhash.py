@@ -94,14 +94,18 @@ def bit_of(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(8 * BITMAP_BYTES)) + 1
 
 
+def bit_table(ids: DataFrame) -> DataFrame:
+    """Parts of the bitmap that have bits set, of 4 KB each: all together ``BITMAP_BYTES`` at most."""
+    bit = bit_of("id")
+    return ids.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
 def bitmap(ids: DataFrame) -> Broadcast[np.ndarray]:
     """Bits at the hashes of all ``id``: of fixed size, a filter without false negatives."""
     bits = np.zeros(BITMAP_BYTES, np.uint8)
-    bit = bit_of("id")
-    parts = ids.groupBy((F.bitmap_bucket_number(bit) - 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    for row in parts.toLocalIterator():
+    for row in bit_table(ids).toLocalIterator():
         piece = np.frombuffer(row["bits"], np.uint8)
-        bits[row["part"] * len(piece) : (row["part"] + 1) * len(piece)] |= piece
+        bits[(row["part"] - 1) * len(piece) : row["part"] * len(piece)] = piece
     return ids.sparkSession.sparkContext.broadcast(bits)
 
 
@@ -249,3 +253,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     alone = rows.where(F.col("cls").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rest = rows.where(F.col("cls").isNotNull()).join(home, "cls").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return rest.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor: Tensor | None = None) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the smallest id.
+
+    Of rows that repeat an id one stays; rows with a null id stay. Only rows whose bit is set among the ids to drop are moved
+    to be compared with those ids.
+    """
+    groups = near_duplicates(docs, width, percent, tensor)
+    gone = cut(groups.where(~F.col("kept")).select("doc_id").distinct())
+    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bits = bit_table(gone.unionByName(again).withColumnRenamed("doc_id", "id"))
+    bit = bit_of("doc_id")
+    rows = docs.select("doc_id", F.struct("*").alias("row"), bit.alias("bit"))
+    rows = rows.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part", "left")
+    at = "bitmap_bit_position(bit)"
+    rows = rows.withColumn("set", F.expr(f"coalesce(shiftright(cast(conv(hex(substring(bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1, 0) = 1"))
+    maybe = rows.where("set").select("doc_id", "row").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return rows.where("not set").select("row.*").unionByName(maybe.select("row.*"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,3 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``modulus``; null ids count as -1 (never held out)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % F.lit(modulus), F.lit(-1)).cast("int")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder and read again."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinis-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
