@@ -16,13 +16,15 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
-_CACHE = 400_000
+#: Words, pairs and pieces that a worker keeps of each kind: a memory bound.
+_CACHE = 150_000
 #: Characters from which a text is split, characters of a chunk, and chunks whose matrices one task multiplies.
 GIANT, CHUNK, BLOCK = 1 << 16, 1 << 14, 256
 _START = (0, -1)
@@ -120,7 +122,7 @@ class Pieces:
         if left < 0 or right < 0:
             return True
         if (ok := self._pairs.get(left << 32 | right)) is None:
-            if len(self._pairs) >= 4 * _CACHE:
+            if len(self._pairs) >= 2 * _CACHE:
                 self._pairs.clear()
             a, b = self._texts[left], self._texts[right]
             ok = self._pairs[left << 32 | right] = self.merge(a + b) == [a, b]
@@ -185,7 +187,7 @@ class Pieces:
                         piece = -1 - ord(part)
                     elif piece is not None and not self.stands(piece):
                         piece = None
-                    if len(stands) > 4 * _CACHE:
+                    if len(stands) > 2 * _CACHE:
                         stands.clear()
                     stands[part] = piece
                 if piece is not None and (left < 0 or piece < 0 or ((ok := pairs.get(left << 32 | piece)) is not False and (ok or joins(left, piece)))):
@@ -417,8 +419,10 @@ def _encode_small(shared):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                ids = [np.array(coder.encode(t or ""), np.int32) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
     return run
 
@@ -517,6 +521,15 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK
     return small.unionByName(repeated)
 
 
+def _rows_of_ids(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray | None]]]:
+    """Slices of a batch with each row's ids."""
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        column = part.column(part.schema.get_field_index("ids"))
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        yield part, [flat[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+
+
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """``encoded`` with ``decoded``, the text of ``ids``; null ids give null, no ids the empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
@@ -525,8 +538,9 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(shared.value).pieces
         for batch in batches:
-            texts = [None if x is None else pieces.decode(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            for part, ids in _rows_of_ids(batch):
+                texts = [None if x is None else pieces.decode(x.tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, f"{', '.join(f'`{c}` {t}' for c, t in encoded.dtypes)}, decoded string")
 
@@ -538,9 +552,9 @@ def digest(encoded: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(shared.value).pieces
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            sums = [hashlib.sha256(struct.pack(f"<{len(x)}i", *x)).hexdigest() for x in ids]
-            texts = [hashlib.sha256(pieces.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, ids in _rows_of_ids(batch):
+                sums = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
+                texts = [hashlib.sha256(pieces.decode(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
