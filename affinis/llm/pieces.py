@@ -95,11 +95,18 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         self.low = min(self.scores, default=0.0) - 10
         self._pairs: dict[int, bool] = {}
-        self._standing: dict[str, int | None] = {}
         self._whole: dict[int, bool] = {}
         # Without pieces that have a space after something else, every word is encoded by itself.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._texts = {i: t for t, i in self.ids.items()}
+        # Pieces that stand, letter by letter; the id of one that ends is kept under the empty string.
+        self.trie: dict = {}
+        for piece, at in self.ids.items():
+            node = self.trie
+            for letter in piece:
+                node = node.setdefault(letter, {})
+            if self.stands(at):
+                node[""] = at
         # Two characters of which no piece has one after the other always have a piece's end between them.
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
@@ -170,29 +177,24 @@ class Pieces:
         if self.unigram:
             back = self.forward(text, 0, -1, len(text))[1]
             return self.trace(back, 0, len(text))
-        ids, stands, joins, pairs, longest = self.ids.get, self._standing, self.joins, self._pairs, self.longest
-        last: list[int | None] = [-1] + [None] * len(text)
-        begins = [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - longest), end):
-                left = last[begin]
-                if left is None:
-                    continue
-                part = text[begin:end]
-                try:
-                    piece = stands[part]
-                except KeyError:
-                    piece = ids(part)
-                    if piece is None and begin + 1 == end:
-                        piece = -1 - ord(part)
-                    elif piece is not None and not self.stands(piece):
-                        piece = None
-                    if len(stands) > 2 * _CACHE:
-                        stands.clear()
-                    stands[part] = piece
-                if piece is not None and (left < 0 or piece < 0 or ((ok := pairs.get(left << 32 | piece)) is not False and (ok or joins(left, piece)))):
-                    last[end], begins[end] = piece, begin
+        root, joins, pairs, n = self.trie, self.joins, self._pairs, len(text)
+        last: list[int | None] = [-1] + [None] * n
+        begins = [0] * (n + 1)
+        for begin in range(n):
+            left = last[begin]
+            if left is None:
+                continue
+            node, end = root, begin
+            for letter in text[begin:]:
+                node = node.get(letter)
+                if node is None:
                     break
+                end += 1
+                piece = node.get("")
+                if piece is not None and last[end] is None and (left < 0 or ((ok := pairs.get(left << 32 | piece)) is not False and (ok or joins(left, piece)))):
+                    last[end], begins[end] = piece, begin
+            if end == begin:
+                last[end + 1], begins[end + 1] = -1 - ord(text[begin]), begin
         path, end = [], len(text)
         while end:
             path.append(last[end])
