@@ -1,4 +1,758 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the test tables, and the SQL that gives the same rows.
+
+Vectors are ``embeddings`` (``vec_id``, ``embedding``, ``label``); histogram metrics use their absolute values over their sum.
+Rankings break ties by id and distances are rounded to 6 digits, so that engines agree.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from affinis.functions import bits, geometry, numbers, text, vec
+from affinis.operators import evaluate, hashing, knn, learn, lsh, mrpt, sets
+from affinis.plans.indexes import Ivf, Lsh
+from affinis.sources import files
+from affinis.streaming import incremental
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Queries against all rows: every id that this divides, and bits of the fixed projection.
+EVERY, BITS = 50, 8
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), vec.doubles(F.col("embedding")).alias("vector"), "label")
+
+
+def histograms(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).withColumn("vector", vec.histogram(F.col("vector")))
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"))
+
+
+def first_vector(rows: DataFrame, uid: int = 0) -> list[float]:
+    return rows.where(F.col("uid") == uid).select("vector").first()[0]
+
+
+V = "v AS (SELECT vec_id AS uid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector, label FROM embeddings)"
+H = f"{V}, h0 AS (SELECT uid, label, list_transform(vector, lambda x: abs(x)) AS a FROM v), h AS (SELECT uid, label, list_transform(a, lambda x: x / list_sum(a)) AS vector FROM h0)"
+ZIP = "list_transform(range(1, len(a.vector) + 1), lambda i: {})"
+L2 = "sqrt(list_sum(list_transform(range(1, len(a.vector) + 1), lambda i: (a.vector[i] - b.vector[i]) * (a.vector[i] - b.vector[i]))))"
+COS = "list_sum(list_transform(range(1, len(a.vector) + 1), lambda i: a.vector[i] * b.vector[i])) / (sqrt(list_sum(list_transform(a.vector, lambda x: x * x))) * sqrt(list_sum(list_transform(b.vector, lambda x: x * x))))"
+ANGULAR = f"2 * acos(least(1.0, greatest(-1.0, {COS}))) / pi()"
+HIK = "1 - list_sum(list_transform(range(1, len(a.vector) + 1), lambda i: least(a.vector[i], b.vector[i])))"
+MATRIX = [[float(x) for x in row] for row in hashing.sign_matrix(64, BITS)]
+_COLUMNS = list(zip(*MATRIX, strict=True))
+CODE = " + ".join(f"(CASE WHEN list_sum(list_transform(range(1, len(vector) + 1), lambda i: vector[i] * ({[int(x) for x in c]})[i])) >= 0 THEN {1 << (BITS - 1 - j)} ELSE 0 END)" for j, c in enumerate(_COLUMNS))
+CODED = f"{V}, c AS (SELECT uid, label, vector, CAST({CODE} AS BIGINT) AS code FROM v)"
+
+
+def projection() -> hashing.Projection:
+    return hashing.Projection(MATRIX)
+
+
+def coded(spark: SparkSession, d: str) -> DataFrame:
+    return hashing.with_codes(vectors(spark, d), projection())
+
+
+# Distances.
+
+
+def _all_pairs(spark, d, rows, metric, digits=6):
+    return knn.pairs(asked(rows(spark, d)), rows(spark, d), metric, digits)
+
+
+def _pairs_sql(base: str, name: str, dist: str) -> str:
+    return f"WITH {base} SELECT a.uid AS qid, b.uid AS uid, round({dist}, 6) AS dist FROM {name} a JOIN {name} b ON a.uid % {EVERY} = 0"
+
+
+@query(_pairs_sql(V, "v", L2))
+def dist_euclidean(spark, d):
+    return _all_pairs(spark, d, vectors, "euclidean")
+
+
+@query(_pairs_sql(V, "v", COS))
+def dist_cosine_similarity(spark, d):
+    return _all_pairs(spark, d, vectors, vec.cosine)
+
+
+@query(_pairs_sql(V, "v", ANGULAR))
+def dist_cosine_angular(spark, d):
+    return _all_pairs(spark, d, vectors, "cosine")
+
+
+@query(_pairs_sql(H, "h", HIK))
+def dist_hik(spark, d):
+    return _all_pairs(spark, d, histograms, "hik")
+
+
+@query(_pairs_sql(H, "h", f"list_sum({ZIP.format('CASE WHEN a.vector[i] + b.vector[i] > 0 THEN (a.vector[i] - b.vector[i]) * (a.vector[i] - b.vector[i]) / (a.vector[i] + b.vector[i]) ELSE 0.0 END')})"))
+def dist_chi_square(spark, d):
+    return _all_pairs(spark, d, histograms, "chi_square")
+
+
+@query(f"""WITH {H} SELECT a.uid AS qid, b.uid AS uid,
+  round(list_sum({ZIP.format('abs(a.vector[i] - b.vector[i])')}), 6) AS l1,
+  round(list_sum({ZIP.format('pow(abs(a.vector[i] - b.vector[i]), 3.0)')}), 6) AS minkowski3,
+  round(list_max({ZIP.format('abs(a.vector[i] - b.vector[i])')}), 6) AS greatest,
+  round(list_sum({ZIP.format('pow(sqrt(a.vector[i]) - sqrt(b.vector[i]), 2.0)')}), 6) AS hellinger,
+  round(list_sum({ZIP.format('CASE WHEN a.vector[i] > 0 AND b.vector[i] > 0 THEN a.vector[i] * ln(a.vector[i] / b.vector[i]) ELSE 0.0 END')}), 6) AS kl
+FROM h a JOIN h b ON a.uid % {EVERY} = 0""")
+def dist_family(spark, d):
+    rows = histograms(spark, d)
+    a, b = F.col("qvector"), F.col("vector")
+    found = rows.crossJoin(F.broadcast(asked(rows)))
+    r = lambda x: F.round(x, 6)
+    return found.select("qid", "uid", r(vec.manhattan(a, b)).alias("l1"), r(vec.minkowski(a, b, 3)).alias("minkowski3"), r(vec.chebyshev(a, b)).alias("greatest"), r(vec.hellinger(a, b)).alias("hellinger"), r(vec.kullback_leibler(a, b)).alias("kl"))
+
+
+@query(f"WITH {CODED} SELECT a.uid AS qid, b.uid AS uid, CAST(bit_count(xor(a.code, b.code)) AS INT) AS bits FROM c a JOIN c b ON a.uid % {EVERY} = 0")
+def dist_hamming(spark, d):
+    rows = coded(spark, d).select("uid", "code")
+    q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("code").alias("qcode"))
+    return rows.crossJoin(F.broadcast(q)).select("qid", "uid", bits.hamming(F.col("code"), F.col("qcode")).alias("bits"))
+
+
+@query(f"""WITH {V} SELECT uid, list_transform(vector, lambda x: round(x / sqrt(list_sum(list_transform(vector, lambda y: y * y))), 6) + 0.0) AS l2,
+  round(list_sum(list_transform(vector, lambda x: abs(x))), 6) AS norm1, round(list_max(list_transform(vector, lambda x: abs(x))), 6) AS norm_inf FROM v""")
+def vec_norm(spark, d):
+    x = F.col("vector")
+    return vectors(spark, d).select("uid", F.transform(vec.normalized(x, 2), lambda v: F.round(v, 6) + 0.0).alias("l2"), F.round(vec.norm(x, 1), 6).alias("norm1"), F.round(vec.norm(x, "inf"), 6).alias("norm_inf"))
+
+
+@query(f"""WITH {H}, m AS (SELECT uid, list_transform(range(1, 65), lambda i: vector[i] * exp(((i - 1) % 3) * 1.0 - 2.0)) AS w FROM h)
+SELECT uid, list_transform(w, lambda x: round(x / list_sum(w), 6)) AS p FROM m""")
+def proba_adjust(spark, d):
+    adjustment = knn.literal([float(i % 3) for i in range(64)])
+    return histograms(spark, d).select("uid", F.transform(vec.checked_adjustment(F.col("vector"), adjustment), lambda x: F.round(x, 6)).alias("p"))
+
+
+# Nearest neighbours.
+
+
+def _ranked(base: str, name: str, dist: str, n: int, where: str = "true", order: str = "dist, uid") -> str:
+    return f"""WITH {base}, p AS (SELECT a.uid AS qid, b.uid AS uid, round({dist}, 6) AS dist FROM {name} a JOIN {name} b ON a.uid % {EVERY} = 0 AND {where})
+SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM p) WHERE rank <= {n}"""
+
+
+@query(f"WITH {V} SELECT b.uid, round({L2}, 6) AS dist FROM v a JOIN v b ON a.uid = 0 ORDER BY dist, b.uid LIMIT 10")
+def knn_single(spark, d):
+    rows = vectors(spark, d)
+    knn.check_searchable(rows, q := first_vector(rows))
+    return knn.nearest(rows, q, 10, digits=6)
+
+
+@query(_ranked(V, "v", ANGULAR, 10))
+def knn_batch_topk(spark, d):
+    rows = vectors(spark, d)
+    return knn.nearest_batch(asked(rows), rows, 10, "cosine", 6)
+
+
+@query(_ranked(V, "v", L2, 10, "a.uid <> b.uid"))
+def knn_self_excluded(spark, d):
+    rows = vectors(spark, d)
+    return knn.nearest_batch(asked(rows), rows, 10, "euclidean", 6, skip_self=True)
+
+
+@query(_ranked(H, "h", HIK, 10))
+def knn_hik(spark, d):
+    rows = histograms(spark, d)
+    return knn.nearest_batch(asked(rows), rows, 10, "hik", 6)
+
+
+@query(f"WITH {H}, s AS (SELECT * FROM h WHERE label = 0) SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist FROM s a CROSS JOIN s b")
+def distance_kernel_symmetric(spark, d):
+    return knn.kernel(histograms(spark, d).where("label = 0"), "hik", 6)
+
+
+@query(f"""WITH {H}, s AS (SELECT * FROM h WHERE label = 0), f AS (SELECT uid, min(bg) AS bg FROM (SELECT uid, uid % 3 <> 0 AS bg FROM s WHERE uid % 3 = 0 OR uid % 2 = 0) GROUP BY uid)
+SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist, fa.bg AS row_background, fb.bg AS col_background FROM s a JOIN f fa ON a.uid = fa.uid CROSS JOIN s b JOIN f fb ON b.uid = fb.uid""")
+def kernel_focus(spark, d):
+    rows = histograms(spark, d).where("label = 0")
+    return knn.focus(knn.kernel(rows, "hik", 6), rows.where("uid % 3 = 0").select("uid"), rows.where("uid % 2 = 0").select("uid"))
+
+
+@query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({L2}, 6) AS dist FROM h a CROSS JOIN h b WHERE a.label = 1 AND b.label = 2")
+def distance_matrix(spark, d):
+    rows = histograms(spark, d)
+    q = rows.where("label = 1").select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"))
+    return knn.pairs(q, rows.where("label = 2"), "euclidean", 6).select(F.col("qid").alias("row_id"), F.col("uid").alias("col_id"), "dist")
+
+
+@query(f"WITH {V}, p AS (SELECT b.uid, round({L2}, 6) AS dist FROM v a JOIN v b ON a.uid = 0) SELECT uid, dist FROM p ORDER BY dist, uid LIMIT 20 OFFSET 10")
+def result_page(spark, d):
+    rows = vectors(spark, d)
+    ranked = rows.select("uid", F.round(vec.euclidean(F.col("vector"), knn.literal(first_vector(rows))), 6).alias("dist"))
+    return knn.page(ranked, 10, 30, [F.col("dist"), F.col("uid")])
+
+
+@query("SELECT uid, ord FROM (SELECT vec_id AS uid, md5('7:' || vec_id) AS ord FROM embeddings) ORDER BY ord, uid LIMIT 25")
+def random_uids(spark, d):
+    return vectors(spark, d).select("uid", evaluate.hash_order(seed=7).alias("ord")).orderBy("ord", "uid").limit(25)
+
+
+# Keyed collections.
+
+
+@query("SELECT w.pos, e.vec_id AS uid, e.label FROM (SELECT CAST(i AS INT) AS pos, (i * 37) % 100 AS uid FROM range(0, 150) t(i)) w JOIN embeddings e ON e.vec_id = w.uid")
+def multi_get_ordered(spark, d):
+    wanted = spark.range(150).select(F.col("id").cast("int").alias("pos"), (F.col("id") * 37 % 100).alias("uid"))
+    return sets.ordered_get(vectors(spark, d).select("uid", "label"), wanted).select("pos", "uid", "label")
+
+
+@query("SELECT vec_id AS uid, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def anti_uncomputed(spark, d):
+    return sets.not_computed(vectors(spark, d).select("uid", "label"), table(spark, d, "labels").select(F.col("doc_id").alias("uid")))
+
+
+@query("SELECT doc_id AS key, 'q' || quality AS value FROM labels UNION ALL SELECT vec_id, 'e' || label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def kv_upsert(spark, d):
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.concat(F.lit("e"), F.col("label").cast("string")).alias("value"))
+    new = table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("value"))
+    return sets.upsert(old, new)
+
+
+@query("SELECT vec_id AS key, label AS value FROM embeddings WHERE vec_id % 3 <> 0")
+def kv_remove_many(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("value"))
+    return sets.remove(rows, rows.where("key % 3 = 0").select("key"))
+
+
+@query("SELECT o.k AS key, coalesce(e.label, -1) AS value FROM (SELECT range AS k FROM range(0, 700)) o LEFT JOIN embeddings e ON e.vec_id = o.k")
+def kv_get_default(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("value"))
+    return sets.get(rows, spark.range(700).withColumnRenamed("id", "key"), default=-1)
+
+
+_LOG = "SELECT user_id AS sid, event_id % 97 AS uid, CAST(floor(event_id / 50) AS BIGINT) AS batch, CASE WHEN event_id % 7 < 3 THEN 'pos' WHEN event_id % 7 < 5 THEN 'neg' WHEN event_id % 7 = 5 THEN 'un_pos' ELSE 'un_neg' END AS action FROM events"
+
+
+@query(f"""WITH RECURSIVE log AS ({_LOG}),
+b AS (SELECT sid, uid, batch, max(action = 'pos') AS p, max(action = 'neg') AS n, max(action = 'un_pos') AS up, max(action = 'un_neg') AS un FROM log GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY sid, uid ORDER BY batch) AS k FROM b),
+r AS (SELECT sid, uid, k, p AND NOT up AND NOT n AS sp, n AND NOT un AND NOT p AS sn FROM o WHERE k = 1
+  UNION ALL SELECT o.sid, o.uid, o.k, (r.sp OR o.p) AND NOT o.up AND NOT o.n, (r.sn OR o.n) AND NOT o.un AND NOT o.p FROM r JOIN o ON o.sid = r.sid AND o.uid = r.uid AND o.k = r.k + 1)
+SELECT sid, uid, CASE WHEN sp THEN 'pos' ELSE 'neg' END AS role FROM r WHERE (sp OR sn) AND k = (SELECT max(k) FROM o WHERE o.sid = r.sid AND o.uid = r.uid)""")
+def adjudicate_final_state(spark, d):
+    e = F.col("event_id") % 7
+    action = F.when(e < 3, "pos").when(e < 5, "neg").when(e == 5, "un_pos").otherwise("un_neg")
+    log = table(spark, d, "events").select(F.col("user_id").alias("sid"), (F.col("event_id") % 97).alias("uid"), F.floor(F.col("event_id") / 50).alias("batch"), action.alias("action"))
+    return sets.final_adjudication(log)
+
+
+@query("(SELECT vec_id AS id FROM embeddings EXCEPT SELECT doc_id FROM labels) UNION ALL (SELECT doc_id FROM labels EXCEPT SELECT vec_id FROM embeddings)")
+def symmetric_difference(spark, d):
+    return sets.symmetric_difference(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), table(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("SELECT vec_id AS id, 'e' AS side FROM embeddings UNION ALL SELECT page_id + (SELECT max(vec_id) FROM embeddings), 'p' FROM pages")
+def disjoint_union(spark, d):
+    a = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("e").alias("side"))
+    return sets.disjoint_union(a, table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("p").alias("side")))
+
+
+# Hash codes and indexes.
+
+
+@query(f"WITH {CODED} SELECT uid, code FROM c")
+def rp_hash_codes(spark, d):
+    return coded(spark, d).select("uid", "code")
+
+
+@query(f"WITH {CODED} SELECT code, list_sort(list(DISTINCT uid)) AS uids FROM c GROUP BY code")
+def hash_buckets(spark, d):
+    return lsh.buckets(coded(spark, d))
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def index_count(spark, d):
+    return lsh.count(lsh.buckets(coded(spark, d)))
+
+
+@query(f"WITH {CODED} SELECT uid, code FROM c WHERE uid % 4 = 0")
+def unhashed_uids(spark, d):
+    rows = coded(spark, d).select("uid", "code")
+    return sets.unhashed(rows, lsh.buckets(rows.where("uid % 4 <> 0")))
+
+
+_NEAR = f"""{CODED}, k AS (SELECT DISTINCT code FROM c), n AS (
+  SELECT q.uid AS qid, k.code, CAST(bit_count(xor(k.code, q.code)) AS INT) AS bits FROM c q CROSS JOIN k WHERE q.uid % {EVERY} = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bits, code) AS r FROM n)"""
+
+
+@query(f"WITH {_NEAR} SELECT qid, code, bits, bits / 8.0::DOUBLE AS distance FROM t WHERE r <= 5")
+def hamming_topn_codes(spark, d):
+    rows = coded(spark, d)
+    q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("code").alias("qcode"))
+    return lsh.nearest_codes(rows, q, 5, BITS)
+
+
+@query(f"""WITH {_NEAR}, p AS (SELECT t.qid, b.uid, round({ANGULAR}, 6) AS dist FROM t JOIN c b ON b.code = t.code JOIN c a ON a.uid = t.qid WHERE r <= 10)
+SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, uid) AS rank FROM p) WHERE rank <= 10""")
+def lsh_knn(spark, d):
+    rows = coded(spark, d)
+    q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"), F.col("code").alias("qcode"))
+    return lsh.search(rows, q, 10, BITS, "cosine", digits=6)
+
+
+@query(f"WITH {CODED}, m AS (SELECT range AS mask FROM range(0, 256) WHERE bit_count(range) = 2) SELECT uid, xor(code, mask) AS near FROM c CROSS JOIN m WHERE uid % {EVERY} = 0")
+def neighbor_codes(spark, d):
+    return coded(spark, d).where(F.col("uid") % EVERY == 0).select("uid", F.explode(bits.neighbours(F.col("code"), BITS, 2)).alias("near"))
+
+
+@query(f"WITH {CODED} SELECT uid, CAST(bit_count(code) AS INT) AS ones, list_transform(range(0, 8), lambda i: CAST((code >> (7 - i)) & 1 AS INT)) AS bits, code AS again FROM c")
+def code_bits(spark, d):
+    b = bits.from_int(F.col("code"), BITS)
+    return coded(spark, d).select("uid", bits.popcount(F.col("code")).alias("ones"), b.alias("bits"), bits.to_int(b).alias("again"))
+
+
+@query()
+def itq_hash(spark, d):
+    rows = vectors(spark, d)
+    return hashing.with_codes(rows, hashing.fit_itq(rows, BITS)).select("uid", "code")
+
+
+@query()
+def itq_lsh_knn(spark, d):
+    rows = vectors(spark, d)
+    return Lsh(bits=BITS).build(rows).search(asked(rows), 10)
+
+
+@query()
+def ivf_knn(spark, d):
+    rows = vectors(spark, d)
+    return Ivf(cells=16, probes=4).build(rows).search(asked(rows), 10)
+
+
+_DIRECTIONS = [[[float(x) for x in c] for c in _COLUMNS[t * 3 : t * 3 + 3]] for t in range(2)]
+
+
+def _mrpt_sql() -> str:
+    parts = [V]
+    for t, tree in enumerate(_DIRECTIONS):
+        parts.append(f"t{t}_0 AS (SELECT uid, vector, CAST(1 AS BIGINT) AS node FROM v), q{t}_0 AS (SELECT uid AS qid, vector AS qvector, CAST(1 AS BIGINT) AS node FROM v WHERE uid % {EVERY} = 0)")
+        for level, direction in enumerate(tree):
+            p = lambda x, direction=direction: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i] * ({[int(y) for y in direction]})[i]))"
+            parts.append(f"p{t}_{level} AS (SELECT *, {p('vector')} AS p FROM t{t}_{level}), s{t}_{level} AS (SELECT node, quantile_cont(p, 0.5) AS m FROM p{t}_{level} GROUP BY node)")
+            parts.append(f"t{t}_{level + 1} AS (SELECT uid, vector, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY p, uid) <= floor(count(*) OVER (PARTITION BY node) / 2) THEN 0 ELSE 1 END AS node FROM p{t}_{level})")
+            parts.append(f"q{t}_{level + 1} AS (SELECT qid, qvector, q.node * 2 + CASE WHEN {p('qvector')} < s.m THEN 0 ELSE 1 END AS node FROM q{t}_{level} q JOIN s{t}_{level} s ON q.node = s.node)")
+    hits = " UNION ".join(f"SELECT q.qid, x.uid FROM q{t}_3 q JOIN t{t}_3 x ON q.node = x.node" for t in range(2))
+    return f"""WITH {', '.join(parts)}, hits AS ({hits}),
+d AS (SELECT h.qid, h.uid, round(list_sum(list_transform(range(1, len(a.vector) + 1), lambda i: (a.vector[i] - b.vector[i]) * (a.vector[i] - b.vector[i]))), 6) AS dist FROM hits h JOIN v a ON a.uid = h.qid JOIN v b ON b.uid = h.uid)
+SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, uid) AS rank FROM d) WHERE rank <= 10"""
+
+
+@query(_mrpt_sql())
+def mrpt_knn(spark, d):
+    rows = vectors(spark, d)
+    built, splits = mrpt.build(rows, _DIRECTIONS)
+    return mrpt.search(built, asked(rows), _DIRECTIONS, splits, 10, digits=6)
+
+
+# Labels, scores and folds. A vector's score for a label is its share in ten bins of its histogram.
+
+_SCORES = f"{H}, s AS (SELECT uid, label, list_transform(range(0, 10), lambda b: list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i % 10 = b THEN vector[i] ELSE 0.0 END))) AS s FROM h)"
+_BEST = f"{_SCORES}, m AS (SELECT uid, label, unnest(range(0, 10)) AS l, unnest(s) AS score FROM s), best AS (SELECT uid, label AS truth, CAST(l AS VARCHAR) AS predicted, score FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, CAST(l AS VARCHAR)) AS r FROM m) WHERE r = 1)"
+
+
+def scored(spark, d) -> DataFrame:
+    """``(uid, truth, scores)``."""
+    bins = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda b: vec.total(F.transform("vector", lambda x, i: F.when((i + 1) % 10 == b, x).otherwise(0.0))))
+    keys = F.array(*[F.lit(str(i)) for i in range(10)])
+    return histograms(spark, d).select("uid", F.col("label").cast("string").alias("truth"), F.map_from_arrays(keys, bins).alias("scores"))
+
+
+def predicted(spark, d) -> DataFrame:
+    rows = scored(spark, d)
+    return rows.select("uid", "truth").join(evaluate.argmax_label(rows).withColumnRenamed("label", "predicted"), "uid")
+
+
+@query(f"WITH {_BEST} SELECT uid, predicted AS label, round(score, 6) AS score FROM best")
+def argmax_label(spark, d):
+    return evaluate.argmax_label(scored(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_BEST} SELECT uid, predicted AS label FROM best WHERE predicted = '3'")
+def label_filter(spark, d):
+    return learn.with_label(scored(spark, d), "3").select("uid", "label")
+
+
+_CELLS = f"{_BEST}, l AS (SELECT CAST(truth AS VARCHAR) AS x FROM best UNION SELECT predicted FROM best), cells AS (SELECT a.x AS truth, b.x AS predicted, (SELECT count(*) FROM best WHERE CAST(truth AS VARCHAR) = a.x AND predicted = b.x) AS n FROM l a CROSS JOIN l b)"
+
+
+@query(f"WITH {_CELLS} SELECT truth, predicted, n FROM cells")
+def confusion_matrix(spark, d):
+    return evaluate.confusion(predicted(spark, d))
+
+
+@query(f"WITH {_CELLS} SELECT truth, predicted, round(CASE WHEN sum(n) OVER (PARTITION BY truth) > 0 THEN n / sum(n) OVER (PARTITION BY truth) ELSE 0.0 END, 6) AS share FROM cells")
+def confusion_normalized(spark, d):
+    return evaluate.normalized(evaluate.confusion(predicted(spark, d)))
+
+
+@query(f"WITH {_BEST} SELECT CAST(truth AS VARCHAR) AS truth, predicted, list_sort(list(uid)) AS uids FROM best GROUP BY ALL")
+def confusion_uids(spark, d):
+    return evaluate.confusion_uids(predicted(spark, d))
+
+
+@query(f"WITH {V}, u AS (SELECT unnest(range(0, 64)) AS pos, unnest(vector) AS x FROM v) SELECT CAST(pos AS INT) AS pos, round(avg(x), 6) + 0.0 AS mean FROM u GROUP BY pos")
+def mean_vector(spark, d):
+    return hashing.mean_vector(vectors(spark, d)).select("pos", (F.round("mean", 6) + 0.0).alias("mean"))
+
+
+@query(f"WITH {V}, g AS (SELECT unnest(range(0, 8)) AS i), c AS (SELECT a.i, b.i AS j, vector[a.i + 1] AS x, vector[b.i + 1] AS y FROM v CROSS JOIN g a JOIN g b ON a.i <= b.i) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(x, y), 6) + 0.0 AS cov FROM c GROUP BY i, j")
+def covariance(spark, d):
+    rows = vectors(spark, d).withColumn("vector", F.slice("vector", 1, 8))
+    return hashing.covariance(rows).select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
+
+
+_MEMBERS = "SELECT l_orderkey % 40 AS grp, l_orderkey AS item, (l_quantity - 1) / 49.0 AS score FROM lineitem"
+
+
+@query(f"WITH m AS ({_MEMBERS}), i AS (SELECT grp, item, max(score) AS hi, avg(score) AS mean FROM m GROUP BY ALL), a AS (SELECT grp, round(max(hi), 6) AS max_score, round(avg(mean), 6) AS avg_score FROM i GROUP BY grp) SELECT g AS grp, coalesce(max_score, 0.5) AS max_score, coalesce(avg_score, 0.5) AS avg_score FROM range(0, 50) t(g) LEFT JOIN a ON a.grp = g")
+def score_pooling_max_avg(spark, d):
+    members = table(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("grp"), F.col("l_orderkey").alias("item"), ((F.col("l_quantity") - 1) / 49.0).alias("score"))
+    out = evaluate.pooled(members, "item", "grp", default=0.5, parents=spark.range(50).withColumnRenamed("id", "grp"))
+    return out.withColumn("max_score", F.round("max_score", 6))
+
+
+@query("SELECT turn % 5 AS parent, max(length(text)) AS max_score FROM conversations WHERE conv_id IN (SELECT vec_id FROM embeddings WHERE label < 5) GROUP BY ALL")
+def pooling_available_max(spark, d):
+    members = table(spark, d, "conversations").select((F.col("turn") % 5).alias("parent"), F.col("conv_id").alias("uid"), F.char_length("text").cast("bigint").alias("score"))
+    return evaluate.pooled_available(members, vectors(spark, d).where("label < 5"), "parent")
+
+
+@query("WITH m AS (SELECT CAST(l_orderkey % 10 AS BIGINT) AS grp, least(floor((l_quantity - 1) / 49.0 * 20), 19) AS b FROM lineitem), g AS (SELECT DISTINCT grp FROM m) SELECT g.grp, CAST(x AS INT) AS bin, round((SELECT count(*) FROM m WHERE m.grp = g.grp AND b = x) / (SELECT count(*) FROM m WHERE m.grp = g.grp), 6) AS share FROM g CROSS JOIN range(0, 20) t(x)")
+def score_histogram(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 10).alias("grp"), ((F.col("l_quantity") - 1) / 49.0).alias("score"))
+    return evaluate.score_histogram(rows, "grp")
+
+
+@query("WITH c AS (SELECT source, count(*) AS trials, count(*) FILTER (WHERE lang = 'en') AS successes FROM documents GROUP BY source), p AS (SELECT *, successes / trials AS p, 1.959963984540054 AS z FROM c) SELECT source, trials, successes, round((p + z * z / (2 * trials)) / (1 + z * z / trials) - z * sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials)) / (1 + z * z / trials), 6) AS low, round((p + z * z / (2 * trials)) / (1 + z * z / trials) + z * sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials)) / (1 + z * z / trials), 6) AS high FROM p")
+def wilson_ci(spark, d):
+    counts = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("trials"), F.sum((F.col("lang") == "en").cast("bigint")).alias("successes"))
+    return evaluate.wilson(counts)
+
+
+@query("WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, round(exp((SELECT avg(ln(n)) FROM c)) / n, 6) AS weight FROM c")
+def class_weights(spark, d):
+    return evaluate.class_weights(vectors(spark, d))
+
+
+@query("SELECT round(greatest(1.0, sum(1 - toxic) / sum(toxic)), 6) AS weight FROM labels")
+def positive_weight(spark, d):
+    return evaluate.positive_weight(table(spark, d, "labels").select(F.col("toxic").alias("label")))
+
+
+@query("SELECT count(*) AS total, count(DISTINCT sha1(text)) AS distinct_uids FROM documents")
+def unique_vs_total(spark, d):
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total"), F.count_distinct(F.sha1("text")).alias("distinct_uids"))
+
+
+_BINS = "SELECT user_id AS item, event_id % 16 AS bin, event_id % 50 AS x, CAST(floor(event_id / 50) % 40 AS BIGINT) AS y FROM events"
+
+
+@query(f"WITH q AS ({_BINS}), i AS (SELECT DISTINCT item FROM q) SELECT item, list_transform(range(0, 16), lambda b: round(len(list_filter(bins, lambda x: x = b)) / len(bins), 6)) AS histogram FROM (SELECT item, list(bin) AS bins FROM q GROUP BY item)")
+def bow_histogram(spark, d):
+    return evaluate.bag_of_words(_bins(spark, d), 16)
+
+
+def _bins(spark, d):
+    e = F.col("event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("item"), (e % 16).cast("int").alias("bin"), (e % 50).alias("x"), (F.floor(e / 50) % 40).alias("y"))
+
+
+@query(f"""WITH q AS ({_BINS}), m AS (SELECT *, ceil(max(x) OVER w / 2) AS mx, ceil(max(y) OVER w / 2) AS my, greatest(ceil(max(y) OVER w / 3), 1) AS t FROM q WINDOW w AS (PARTITION BY item)),
+r AS (SELECT item, bin, 0 AS region FROM m UNION ALL SELECT item, bin, 1 + CAST(x >= mx AS INT) + 2 * CAST(y >= my AS INT) FROM m UNION ALL SELECT item, bin, 5 + CAST(least(floor(y / t), 2) AS INT) FROM m),
+c AS (SELECT item, region, bin, count(*) AS n FROM r GROUP BY ALL) SELECT item, region, CAST(bin AS INT) AS bin, round(n / sum(n) OVER (PARTITION BY item, region), 6) AS share FROM c""")
+def pyramid_histogram(spark, d):
+    return evaluate.pyramid(_bins(spark, d))
+
+
+# A classifier's scores for curves: toxic by quality and id.
+
+_CURVE = "SELECT doc_id % 5 AS fold, toxic AS truth, round((doc_id * 7919 % 101) / 101.0, 2) AS score FROM labels"
+_CUM = "s AS (SELECT {by} score, sum(truth) AS p, sum(1 - truth) AS n FROM x GROUP BY ALL), c AS (SELECT *, sum(p) OVER ({part} ORDER BY score DESC) AS tp, sum(n) OVER ({part} ORDER BY score DESC) AS fp, sum(p) OVER ({part}) AS ap, sum(n) OVER ({part}) AS an FROM s)"
+_ALL, _FOLD = _CUM.format(by="", part=""), _CUM.format(by="fold,", part="PARTITION BY fold")
+
+
+def _curve(spark, d):
+    return table(spark, d, "labels").select((F.col("doc_id") % 5).alias("fold"), F.col("toxic").alias("truth"), F.round((F.col("doc_id") * 7919 % 101) / 101.0, 2).alias("score"))
+
+
+@query(f"WITH x AS ({_CURVE}), {_ALL} SELECT score, round(fp / an, 6) AS fpr, round(tp / ap, 6) AS tpr FROM c")
+def roc_curve(spark, d):
+    return evaluate.roc_curve(_curve(spark, d))
+
+
+@query(f"WITH x AS ({_CURVE}), {_ALL} SELECT round(sum(n * (tp - p / 2)) / (max(ap) * max(an)), 6) AS auc FROM c")
+def roc_auc(spark, d):
+    return evaluate.roc_auc(_curve(spark, d))
+
+
+@query(f"WITH x AS ({_CURVE}), {_ALL} SELECT score, round(tp / ap, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM c")
+def pr_curve(spark, d):
+    return evaluate.pr_curve(_curve(spark, d))
+
+
+@query(f"WITH x AS ({_CURVE}), {_ALL}, r AS (SELECT score, tp / ap AS r, tp / (tp + fp) AS q FROM c), t AS (SELECT r, q, coalesce(lag(r) OVER (ORDER BY score DESC), 0) AS r0, coalesce(lag(q) OVER (ORDER BY score DESC), 1) AS q0 FROM r) SELECT round(sum((r - r0) * (q + q0) / 2), 6) AS auc FROM t")
+def pr_auc(spark, d):
+    return evaluate.pr_auc(_curve(spark, d))
+
+
+@query(f"WITH x AS ({_CURVE}), {_FOLD} SELECT fold, round(sum(n * (tp - p / 2)) / (max(ap) * max(an)), 6) AS auc FROM c GROUP BY fold")
+def fold_auc(spark, d):
+    return evaluate.roc_auc(_curve(spark, d), ["fold"])
+
+
+_RANK = "row_number() OVER (PARTITION BY label ORDER BY md5('0:' || uid), uid)"
+
+
+@query(f"WITH {V} SELECT uid, label, CAST(({_RANK} - 1) % 5 AS INT) AS fold FROM v")
+def stratified_kfold(spark, d):
+    return evaluate.stratified_folds(vectors(spark, d).select("uid", "label"), 5)
+
+
+@query(f"WITH {V} SELECT uid, label, CASE WHEN {_RANK} <= round(count(*) OVER (PARTITION BY label) * 0.25) THEN 'test' ELSE 'train' END AS part FROM v")
+def stratified_split(spark, d):
+    return evaluate.stratified_split(vectors(spark, d).select("uid", "label"), 0.25)
+
+
+@query(f"WITH {V}, p AS (SELECT label, CASE WHEN {_RANK} <= round(count(*) OVER (PARTITION BY label) * 0.25) THEN 'test' ELSE 'train' END AS part FROM v), c AS (SELECT label, part, count(*) AS n FROM p GROUP BY ALL) SELECT label, part, n, round(100 * n / sum(n) OVER (PARTITION BY label), 6) AS percent FROM c")
+def split_counts(spark, d):
+    return evaluate.split_counts(evaluate.stratified_split(vectors(spark, d).select("uid", "label"), 0.25))
+
+
+@query("WITH s AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT conv_id, ['train1', 'train2', 'train3', 'test'][(row_number() OVER (ORDER BY n DESC, conv_id DESC) - 1) % 4 + 1] AS part FROM s) SELECT conv_id, turn, part FROM conversations JOIN r USING (conv_id)")
+def size_ranked_split(spark, d):
+    return evaluate.size_ranked_split(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id")
+
+
+# Learning and refinement.
+
+_NAMES = [f"label_{i}" for i in range(64)]
+
+
+@query(f"WITH {V}, u AS (SELECT uid, 'label_' || unnest(range(0, 64)) AS label, unnest(vector) AS confidence FROM v) SELECT uid, label, confidence FROM u WHERE uid % {EVERY} = 0")
+def index_label_classifier(spark, d):
+    rows = vectors(spark, d).where(F.col("uid") % EVERY == 0).drop("label")
+    return learn.index_label(rows, _NAMES).select("uid", F.explode("scores").alias("label", "confidence"))
+
+
+def _fixed_models() -> dict[str, learn.LinearModel]:
+    return {"a": learn.LinearModel(["neg", "pos"], [[0.0] * 64, _COLUMNS[0]], [0.0, 0.25]), "b": learn.LinearModel(["neg", "pos"], [[0.0] * 64, _COLUMNS[1]], [0.0, -0.25])}
+
+
+def _logit(c: int, bias: float) -> str:
+    return f"round(1 / (1 + exp(-(list_sum(list_transform(range(1, 65), lambda i: vector[i] * ({[int(x) for x in _COLUMNS[c]]})[i])) + ({bias})))), 6)"
+
+
+@query(f"WITH {V} SELECT 'a' AS classifier, uid, {_logit(0, 0.25)} AS positive FROM v UNION ALL SELECT 'b', uid, {_logit(1, -0.25)} FROM v")
+def classifier_collection(spark, d):
+    return learn.collection(vectors(spark, d), _fixed_models()).select("classifier", "uid", F.round(F.element_at("scores", "pos"), 6).alias("positive"))
+
+
+@query(f"WITH {V}, s AS (SELECT uid, {_logit(0, 0.25)} AS score FROM v) SELECT uid, score, round(abs(score - 0.5), 6) AS gap FROM s ORDER BY gap, uid LIMIT 10")
+def rank_margin_feedback(spark, d):
+    scores = vectors(spark, d).select("uid", F.round(F.element_at(_fixed_models()["a"].scores(F.col("vector")), "pos"), 6).alias("score"))
+    out = scores.withColumn("gap", F.round(F.abs(F.col("score") - 0.5), 6)).orderBy("gap", "uid").limit(10)
+    return out
+
+
+@query(f"WITH {H}, p AS (SELECT b.uid, row_number() OVER (PARTITION BY a.uid ORDER BY {HIK} DESC, b.uid) AS r FROM h a JOIN h b ON a.uid % 100 = 0) SELECT DISTINCT uid FROM p WHERE r <= 2")
+def auto_negatives(spark, d):
+    rows = histograms(spark, d)
+    return learn.auto_negatives(rows.where("uid % 100 = 0"), rows, 2)
+
+
+@query(f"WITH {_ranked(V, 'v', L2, 10)[5:].replace('SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM', 'SELECT DISTINCT uid FROM')}")
+def seed_working_set(spark, d):
+    rows = vectors(spark, d)
+    return knn.nearest_batch(asked(rows), rows, 10, "euclidean", 6).select("uid").distinct()
+
+
+@query(f"WITH {V}, k AS (SELECT uid AS bin, vector FROM v WHERE uid < 8), p AS (SELECT b.uid AS item, a.bin, row_number() OVER (PARTITION BY b.uid ORDER BY list_sum(list_transform(range(1, 65), lambda i: (b.vector[i] - a.vector[i]) * (b.vector[i] - a.vector[i]))), a.bin) AS r FROM v b CROSS JOIN k a) SELECT item, CAST(bin AS INT) AS bin, CAST(r AS INT) AS rank FROM p WHERE r <= 2")
+def quantise_codebook(spark, d):
+    rows = vectors(spark, d)
+    book = [r["vector"] for r in rows.where("uid < 8").orderBy("uid").collect()]
+    return learn.quantise(rows.select(F.col("uid").alias("item"), "vector"), book, 2)
+
+
+@query()
+def iqr_refine(spark, d):
+    from affinis.operators.iqr import Session
+
+    session = Session(histograms(spark, d).select("uid", "vector"), neighbours=40, by="hik")
+    session.adjudicate(new_pos=[0, 1], new_neg=[2, 3])
+    session.update_working_set()
+    session.refine()
+    return session.ordered()
+
+
+@query()
+def hik_relevancy(spark, d):
+    rows = histograms(spark, d)
+    return learn.intersection_relevancy(rows.select("uid", "vector"), rows.where("uid in (0, 5)").select("uid", "vector"))
+
+
+@query()
+def logreg_classify(spark, d):
+    rows = vectors(spark, d)
+    model = learn.logistic(rows.where("uid % 2 = 0").select("vector", "label"))
+    return learn.classify(rows.where("uid % 2 = 1"), model).select("uid", F.map_keys("scores").alias("labels"), F.transform(F.map_values("scores"), lambda x: F.round(x, 6)).alias("confidences"))
+
+
+@query()
+def kmeans_clusters(spark, d):
+    return learn.clusters(vectors(spark, d), 10)
+
+
+# Streams as tables.
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_expiry(spark, d):
+    out = incremental.sessions(table(spark, d, "events"), "30 minutes")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n")
+
+
+@query("WITH x AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events) SELECT user_id AS key, event_id, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 3600, false) AS hit FROM x")
+def ttl_cache_hits(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "ts")
+    return incremental.cache_hits(rows, 3600).select("key", "event_id", "hit")
+
+
+@query("SELECT event_id FROM events WHERE ts > (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)")
+def high_water_mark(spark, d):
+    rows = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    return rows.where(F.col("us") > low + (high - low) // 2).select("event_id")
+
+
+@query(f"WITH {CODED} SELECT uid, CASE WHEN uid % 5 = 0 THEN xor(code, 1) ELSE code END AS code FROM c WHERE uid % 3 = 0 OR uid % 5 = 0")
+def incremental_index_merge(spark, d):
+    rows = coded(spark, d).select("uid", "code")
+    return incremental.merged(rows.where("uid % 3 = 0"), rows.where("uid % 5 = 0").withColumn("code", F.col("code").bitwiseXOR(F.lit(1))))
+
+
+@query("SELECT event_id FROM events WHERE epoch_us(ts) < (SELECT max(epoch_us(ts)) FROM events) - 86400 * 1000000::BIGINT")
+def age_out(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("modified"))
+    now = rows.agg(F.max("modified")).first()[0]
+    return files.older_than(rows, 86400, F.lit(now)).select("event_id")
+
+
+# Strings, boxes, grids and formats.
+
+
+@query("SELECT doc_id, sha1(text) AS uid, md5(text) AS md5 FROM documents")
+def sha1_uid(spark, d):
+    ids = text.content_ids(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", ids["uid"].alias("uid"), ids["md5"].alias("md5"))
+
+
+@query("WITH s AS (SELECT doc_id, sha1(text) AS u FROM documents) SELECT doc_id, list_transform(range(0, 7), lambda i: substr(u, CAST(i * 5 + least(i, 5) + 1 AS INT), CASE WHEN i < 5 THEN 6 ELSE 5 END)) AS parts FROM s")
+def partition_uid(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.partition(F.sha1("text"), 7).alias("parts"))
+
+
+@query("SELECT page_id, 'http://host/api/' || page_id AS a, '/x' || page_id AS b, 'http://host/api/' AS c, coalesce(rtrim(url, '/'), 'http://host/api/') AS d FROM pages")
+def url_join(spark, d):
+    base, n = F.lit("http://host/api"), F.col("page_id").cast("string")
+    return table(spark, d, "pages").select("page_id", text.url_join(base, n).alias("a"), text.url_join(base, F.concat(F.lit("/x"), n)).alias("b"), text.url_join(base, F.lit("")).alias("c"), text.url_join(base, F.coalesce("url", F.lit(""))).alias("d"))
+
+
+@query("SELECT item_id, sha1(text) AS uid, 'text/plain' AS content_type FROM benchmark")
+def base64_elements(spark, d):
+    uri = F.concat(F.lit("data:text/plain;base64,"), text.to_base64_url(F.col("text").cast("binary")))
+    rows = table(spark, d, "benchmark").select("item_id", uri.alias("uri"))
+    found = files.memory_elements(rows.select("uri")).distinct()
+    return rows.select("item_id", F.sha1(text.from_base64_url(F.regexp_extract("uri", "(?s)base64,(.*)$", 1))).alias("uid")).join(found, "uid").select("item_id", "uid", "content_type")
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'text/html' END AS content_type FROM pages WHERE url LIKE '%.html'")
+def content_type_filter(spark, d):
+    rows = table(spark, d, "pages").select("page_id", text.content_type(F.col("url")).alias("content_type"))
+    return files.of_type(rows, ["text/html"])
+
+
+@query("SELECT page_id, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN 'url' END AS source FROM pages")
+def uri_route(spark, d):
+    return table(spark, d, "pages").select("page_id", text.source_of(F.col("url")).alias("source"))
+
+
+_BOX = "SELECT o_orderkey AS uid, [CAST(o_orderkey % 7 AS DOUBLE), CAST(o_orderkey % 11 AS DOUBLE)] AS low, [CAST(o_orderkey % 7 + o_custkey % 5 AS DOUBLE), CAST(o_orderkey % 11 + o_custkey % 3 AS DOUBLE)] AS high FROM orders"
+
+
+@query(f"""WITH b AS ({_BOX}), x AS (SELECT uid, low, high, [greatest(low[1], 3.0), greatest(low[2], 4.0)] AS l, [least(high[1], 8.0), least(high[2], 9.0)] AS h FROM b)
+SELECT uid, CASE WHEN h[1] - l[1] > 0 AND h[2] - l[2] > 0 THEN l END AS low, CASE WHEN h[1] - l[1] > 0 AND h[2] - l[2] > 0 THEN h END AS high, (high[1] - low[1]) * (high[2] - low[2]) AS volume FROM x""")
+def bbox_intersection(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, d, "orders").select(k.alias("uid"), F.array((k % 7).cast("double"), (k % 11).cast("double")).alias("low"), F.array((k % 7 + c % 5).cast("double"), (k % 11 + c % 3).cast("double")).alias("high"))
+    both = geometry.intersection(F.col("low"), F.col("high"), knn.literal([3, 4]), knn.literal([8, 9]))
+    return rows.select("uid", both["low"].alias("low"), both["high"].alias("high"), geometry.hypervolume(F.col("low"), F.col("high")).alias("volume"))
+
+
+_IMAGES = "SELECT p_partkey AS uid, CAST(40 + p_partkey % 13 AS INT) AS width, CAST(30 + p_partkey % 7 AS INT) AS height FROM part WHERE p_partkey <= 200"
+
+
+def _images(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").where("p_partkey <= 200").select(k.alias("uid"), (40 + k % 13).cast("int").alias("width"), (30 + k % 7).cast("int").alias("height"))
+
+
+@query(f"WITH i AS ({_IMAGES}) SELECT uid, CAST(x AS INT) AS \"left\", CAST(y AS INT) AS top, CAST(x + 10 AS INT) AS \"right\", CAST(y + 8 AS INT) AS bottom FROM i, range(0, 60, 5) a(x), range(0, 60, 8) b(y) WHERE x + 10 <= width AND y + 8 <= height")
+def crop_tiles(spark, d):
+    return geometry.tiles(_images(spark, d), 10, 8, (5, 8)).select("uid", "left", "top", "right", "bottom")
+
+
+@query(f"WITH i AS ({_IMAGES}) SELECT uid, CAST(k AS INT) AS i, CAST(floor(width * k / 7.0) AS INT) AS \"left\", CAST(floor(height * k / 7.0) AS INT) AS top, CAST(floor(width * (7 - k) / 7.0) AS INT) AS \"right\", CAST(floor(height * (7 - k) / 7.0) AS INT) AS bottom FROM i, range(1, 4) a(k)")
+def crop_centres(spark, d):
+    return geometry.centre_crops(_images(spark, d), 3).select("uid", "i", "left", "top", "right", "bottom")
+
+
+@query(f"WITH i AS ({_IMAGES}), l AS (SELECT CAST(x AS INT) AS level, CAST(pow(2, x) AS INT) AS n FROM range(0, 3) a(x)) SELECT uid, level, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(floor(width * tx / n) AS INT) AS \"left\", CAST(floor(height * ty / n) AS INT) AS top, CAST(floor(width * (tx + 1) / n) AS INT) AS \"right\", CAST(floor(height * (ty + 1) / n) AS INT) AS bottom FROM i CROSS JOIN l CROSS JOIN range(0, 4) b(tx) CROSS JOIN range(0, 4) c(ty) WHERE tx < n AND ty < n")
+def crop_quadrants(spark, d):
+    return geometry.quadrants(_images(spark, d), 2).select("uid", "level", "tx", "ty", "left", "top", "right", "bottom")
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, CAST(r AS BIGINT) AS r, CAST(factorial(CAST(n AS INT)) / (factorial(CAST(r AS INT)) * factorial(CAST(n - r AS INT))) AS BIGINT) AS ways FROM range(0, 19) a(n), range(0, 19) b(r) WHERE r <= n")
+def n_choose_r(spark, d):
+    rows = spark.range(19).withColumnRenamed("id", "n").withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))))
+    return rows.withColumn("ways", numbers.binomial(F.col("n"), F.col("r")))
+
+
+@query("WITH k AS (SELECT p_partkey AS n FROM part WHERE p_partkey BETWEEN 1 AND 300) SELECT n, n > 1 AND len(list_filter(range(2, n), lambda x: n % x = 0)) = 0 AS prime, len(list_filter(range(1, n + 1), lambda x: n % x = 0 AND x * x <= n)) AS pairs FROM k")
+def primes_and_factors(spark, d):
+    rows = table(spark, d, "part").where("p_partkey between 1 and 300").select(F.col("p_partkey").cast("bigint").alias("n"))
+    return rows.select("n", numbers.is_prime(F.col("n")).alias("prime"), F.size(numbers.factor_pairs(F.col("n"))).cast("bigint").alias("pairs"))
+
+
+@query(f"WITH {V}, f AS (SELECT label, row_number() OVER (ORDER BY min(uid)) AS number FROM v GROUP BY label) SELECT uid, CAST(number AS VARCHAR) AS label, list_transform(vector, lambda x: round(x, 6) + 0.0) AS vector FROM v JOIN f USING (label)")
+def libsvm_roundtrip(spark, d):
+    lines = files.libsvm_lines(vectors(spark, d))
+    return files.parse_libsvm(lines, 64).select("uid", "label", F.transform("vector", lambda x: F.round(x, 6) + 0.0).alias("vector"))
+
+
+@query(f"WITH {V} SELECT uid, list_transform(vector, lambda x: round(x, 6) + 0.0) AS vector FROM v")
+def csv_vectors(spark, d):
+    lines = vectors(spark, d).select("uid", F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").alias("value"))
+    return files.parse_csv_vectors(lines).select("uid", F.transform("vector", lambda x: F.round(x, 6) + 0.0).alias("vector"))
