@@ -32,10 +32,12 @@ def _occurrences(packed: Column) -> Column:
     Counts of up to ``2**t`` follow from counts of up to ``2**(t-1)``; a step runs only where counts have reached their bound.
     """
     same = F.transform(packed, lambda x, i: F.when((i > 0) & (F.shiftright(x, POSITION) == F.shiftright(F.get(packed, i - 1), POSITION)), F.lit(1)).otherwise(F.lit(0)))
+    def doubled(counts: Column, step: int) -> Column:
+        return _let(counts, lambda c: F.when(F.array_max(c) < step, c).otherwise(F.transform(c, lambda n, i: F.when(n == step, n + F.get(c, i - step)).otherwise(n))))
+
     counts = same
     for t in range(STEPS):
-        step = 1 << t
-        counts = _let(counts, lambda c, step=step: F.when(F.array_max(c) < step, c).otherwise(F.transform(c, lambda n, i: F.when(n == step, n + F.get(c, i - step)).otherwise(n))))
+        counts = doubled(counts, 1 << t)
     return counts
 
 
