@@ -33,7 +33,7 @@ def propagate(groups: DataFrame, targets: list[int], rounds: int) -> DataFrame:
     """
     shards = len(targets)
     state = groups
-    for _ in range(rounds):
+    for step in range(rounds):
         held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [max(0, targets[s] - held.get(s, 0)) for s in range(shards)]
         open_ = _literal([r > 0 for r in room], "boolean")
@@ -41,20 +41,23 @@ def propagate(groups: DataFrame, targets: list[int], rounds: int) -> DataFrame:
         asked = state.join(best, "text_key").where(F.col("shard") != F.col("best.to")).where((F.col("n") < F.col("best.n")) | ((F.col("n") == F.col("best.n")) & (F.pmod(F.xxhash64("text_key", "shard"), F.lit(997)) <= F.col("best.t")))).select("text_key", "shard", "n", F.col("best.to").alias("to"))
         asked = cut(asked)
         wish = {r["to"]: r["n"] for r in asked.groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if not wish:
+        if not any(room[s] for s in wish):
             break
         share = _literal([min(1.0, room[s] / wish[s]) if s in wish else 0.0 for s in range(shards)], "double")
         rate = F.element_at(share, F.col("to") + 1)
-        # Small numbers move whole or not at all, in proportion; large ones in part.
+        # A group that has room moves whole or not at all, in proportion; one that is larger than the room moves in part.
+        space = F.element_at(_literal(room, "bigint"), F.col("to") + 1)
+        wishes = asked.groupBy("text_key").agg(F.sum("n").alias("wish"))
         part = F.col("n") * rate
-        granted = asked.withColumn("m", (F.floor(part) + (_unit("text_key", "shard", F.lit(len(targets))) < part - F.floor(part)).cast("bigint")).cast("bigint"))
-        granted = granted.withColumn("m", F.when((F.col("n") <= 64) & (rate < 1), F.when(_unit("text_key", "to") < rate, F.col("n")).otherwise(F.lit(0).cast("bigint"))).otherwise(F.col("m")))
+        some = F.floor(part) + (_unit("text_key", "shard", F.lit(step)) < part - F.floor(part)).cast("bigint")
+        whole = F.when(_unit("text_key", F.lit(step)) < rate, F.col("n")).otherwise(F.lit(0).cast("bigint"))
+        granted = asked.join(wishes, "text_key").withColumn("m", F.when(F.col("wish") > space, some).otherwise(whole).cast("bigint"))
         moved = granted.select("text_key", "shard", (-F.col("m")).alias("n")).unionByName(granted.select("text_key", F.col("to").alias("shard"), F.col("m").alias("n")))
         state = cut(state.unionByName(moved).groupBy("text_key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
     return state
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, rounds: int = 24) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row for each row of ``docs``.
 
     Law ``rows``: the counts of the shards differ by one at most. ``size`` is the UTF-8 length of the text plus 1 (null:
@@ -74,13 +77,22 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
     several = cells.groupBy("text_key").agg(F.sum("n").alias("all")).where("all > 1")
     state = propagate(cut(cells.join(several.select("text_key"), "text_key", "left_semi")), targets, rounds)
 
-    # A group's members take the shards of their group in proportion, by their place in a hash order.
+    # A group's members take the shards of their group by their rank in a hash order. Ranks are only needed where a group has
+    # several shards; they come from counts of parts of that order, and the rank within a part.
     fine = W.partitionBy("text_key").orderBy(F.col("n").desc(), "shard")
-    spans = state.select("text_key", "shard", "n", F.sum("n").over(fine.rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(W.partitionBy("text_key")).alias("all"))
-    plan = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct((F.col("upto") / F.col("all")).alias("upto"), F.col("shard").alias("shard")))).alias("plan"))
-    place = _unit("doc_id", "text_key", F.lit("place"))
-    linked = F.filter("plan", lambda p: p["upto"] > F.col("place"))
-    chosen = rows.withColumn("place", place).join(plan, "text_key", "left").withColumn("single", F.col("plan").isNull().cast("int")).withColumn("shard", F.coalesce(linked[0]["shard"], F.element_at("plan", -1)["shard"], F.col("start")))
+    spans = state.select("text_key", "shard", "n", F.sum("n").over(fine.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    plan = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("plan"), F.max("upto").alias("all"))
+    placed = rows.withColumn("place", _unit("doc_id", "text_key", F.lit("place"))).join(plan, "text_key", "left")
+    placed = placed.withColumn("single", F.col("plan").isNull().cast("int")).withColumn("several", F.coalesce(F.size("plan") > 1, F.lit(False)))
+    columns = ["doc_id", "size", "text_crc32", "single", "place"]
+    simple = placed.where("not several").select(*columns, F.coalesce(F.col("plan")[0]["shard"], F.col("start")).alias("shard"))
+    split = placed.where("several").withColumn("part", F.floor(F.col("place") * F.ceil(F.col("all") / RANGE_ROWS)))
+    parts = split.groupBy("text_key", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("text_key", "part", F.coalesce(F.sum("n").over(W.partitionBy("text_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(W.partitionBy("text_key", "part").orderBy("place", "doc_id")) - 1
+    split = split.join(parts, ["text_key", "part"]).withColumn("rank", F.col("before") + rank)
+    split = split.select(*columns, F.filter("plan", lambda p: p["upto"] > F.col("rank"))[0]["shard"].alias("shard"))
+    chosen = simple.unionByName(split)
     ranges = max(1, total // shards // RANGE_ROWS)
     # Rows without links come last in a shard's order: they are the first to make room.
     chosen = cut(chosen.select("doc_id", "size", "text_crc32", "shard", (F.col("single") * ranges + F.floor(F.col("place") * ranges)).cast("int").alias("range"), "place"))
