@@ -10,7 +10,7 @@ from affinis.functions import text
 def contents(spark: SparkSession, path: str, glob: str | None = None, pattern: str | None = None, depth: bool = True) -> DataFrame:
     """``(uid, path, content, content_type, modified, size)`` of the files under ``path``; the uid is the content's SHA-1.
 
-    ``glob`` is applied to file names by the reader, ``pattern`` to whole paths. Empty files are elements with empty content.
+    ``glob`` is applied to file names by the reader, ``pattern`` to whole paths. Spark's reader leaves empty files out, as empty elements are.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", depth)
     raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
