@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
-#: Words, pairs and pieces that a worker keeps of each kind: a memory bound.
-_CACHE = 150_000
+#: Words, and pairs of pieces, that a worker keeps: a memory bound.
+_CACHE, _PAIRS = 400_000, 300_000
 #: Characters from which a text is split, characters of a chunk, and chunks whose matrices one task multiplies.
 GIANT, CHUNK, BLOCK = 1 << 16, 1 << 14, 256
 _START = (0, -1)
@@ -129,7 +129,7 @@ class Pieces:
         if left < 0 or right < 0:
             return True
         if (ok := self._pairs.get(left << 32 | right)) is None:
-            if len(self._pairs) >= 2 * _CACHE:
+            if len(self._pairs) >= _PAIRS:
                 self._pairs.clear()
             a, b = self._texts[left], self._texts[right]
             ok = self._pairs[left << 32 | right] = self.merge(a + b) == [a, b]
