@@ -35,7 +35,8 @@ def prime_factors(n: Column) -> Column:
 
 def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, Column]:
     """Wilson interval of a proportion."""
-    p, z2 = successes / trials, z * z
+    trials, z2 = F.nullif(trials, F.lit(0)), z * z
+    p = successes / trials
     middle = (p + z2 / (2 * trials)) / (1 + z2 / trials)
     reach = z * F.sqrt(p * (1 - p) / trials + z2 / (4 * trials * trials)) / (1 + z2 / trials)
     return middle - reach, middle + reach

@@ -47,7 +47,8 @@ def squared_euclidean(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Cosine similarity; null for a zero vector."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def angular(similarity: Column, positive: bool = True) -> Column:
@@ -101,7 +102,7 @@ METRICS = {"euclidean": euclidean, "cosine": lambda a, b: angular(cosine(a, b)),
 def adjusted(p: Column, adjustment: Column) -> Column:
     """Class probabilities moved by ``exp(adjustment - max(adjustment))`` and normalised again."""
     moved = F.zip_with(p, adjustment, lambda x, a: x * F.exp(a - F.array_max(adjustment)))
-    return F.transform(F.array(total(moved)), lambda s: F.transform(moved, lambda x: x / s))[0]
+    return F.transform(F.array(total(moved)), lambda s: F.transform(moved, lambda x: F.try_divide(x, s)))[0]
 
 
 def checked_adjustment(p: Column, adjustment: Column) -> Column:

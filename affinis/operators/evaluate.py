@@ -9,7 +9,7 @@ from affinis.functions import numbers
 
 def argmax_label(scores: DataFrame) -> DataFrame:
     """``(uid, label, score)`` of ``(uid, scores MAP)``: the greatest score, of equal ones the first label by name."""
-    best = F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("label"))))[0]
+    best = F.get(F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("label")))), F.lit(0))
     return scores.select("uid", best["label"].alias("label"), (-best["s"]).alias("score"))
 
 
@@ -53,7 +53,7 @@ def roc_curve(scored: DataFrame, by: list[str] | None = None, digits: int = 6) -
 
 def roc_auc(scored: DataFrame, by: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Area under the curve; equal scores count half. Null if only one kind occurs."""
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / (F.max("all_p") * F.max("all_n"))
+    area = F.try_divide(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)), F.max("all_p") * F.max("all_n"))
     return cumulative(scored, by).groupBy(*(by or [])).agg(F.round(area, digits).alias("auc"))
 
 
@@ -136,7 +136,7 @@ def class_weights(labels: DataFrame, digits: int = 6) -> DataFrame:
 
 def positive_weight(labels: DataFrame) -> DataFrame:
     """``max(1, negatives / positives)`` of 0/1 labels."""
-    return labels.agg(F.round(F.greatest(F.lit(1.0), F.sum(1 - F.col("label")) / F.sum("label")), 6).alias("weight"))
+    return labels.agg(F.round(F.greatest(F.lit(1.0), F.try_divide(F.sum(1 - F.col("label")), F.sum("label"))), 6).alias("weight"))
 
 
 def split_counts(rows: DataFrame) -> DataFrame:

@@ -496,12 +496,12 @@ def _curve(spark, d):
     return table(spark, d, "labels").select((F.col("doc_id") % 5).alias("fold"), F.col("toxic").alias("truth"), F.round((F.col("doc_id") * 7919 % 101) / 101.0, 2).alias("score"))
 
 
-@query(f"WITH x AS ({_CURVE}), {_ALL} SELECT score, round(fp / an, 6) AS fpr, round(tp / ap, 6) AS tpr FROM c")
+@query(f"WITH x AS ({_CURVE}), {_ALL} SELECT score, round(coalesce(fp / nullif(an, 0), 0), 6) AS fpr, round(coalesce(tp / nullif(ap, 0), 0), 6) AS tpr FROM c")
 def roc_curve(spark, d):
     return evaluate.roc_curve(_curve(spark, d))
 
 
-@query(f"WITH x AS ({_CURVE}), {_ALL} SELECT round(sum(n * (tp - p / 2)) / (max(ap) * max(an)), 6) AS auc FROM c")
+@query(f"WITH x AS ({_CURVE}), {_ALL} SELECT round(sum(n * (tp - p / 2)) / nullif(max(ap) * max(an), 0), 6) AS auc FROM c")
 def roc_auc(spark, d):
     return evaluate.roc_auc(_curve(spark, d))
 
@@ -516,7 +516,7 @@ def pr_auc(spark, d):
     return evaluate.pr_auc(_curve(spark, d))
 
 
-@query(f"WITH x AS ({_CURVE}), {_FOLD} SELECT fold, round(sum(n * (tp - p / 2)) / (max(ap) * max(an)), 6) AS auc FROM c GROUP BY fold")
+@query(f"WITH x AS ({_CURVE}), {_FOLD} SELECT fold, round(sum(n * (tp - p / 2)) / nullif(max(ap) * max(an), 0), 6) AS auc FROM c GROUP BY fold")
 def fold_auc(spark, d):
     return evaluate.roc_auc(_curve(spark, d), ["fold"])
 
