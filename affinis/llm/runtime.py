@@ -46,3 +46,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def drawn(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
+    """About ``rows`` rows of ``df``, drawn by a hash of ``keys``; at most twice as many, however many tasks there are."""
+    total = max(1, df.count())
+    unit = F.pmod(F.xxhash64(*keys, F.lit("drawn")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.where(unit < rows / total).limit(2 * rows)

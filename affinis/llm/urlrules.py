@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .runtime import drawn
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sorts after every character of a host.
 _END = "\U0010ffff"
@@ -96,8 +98,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column:
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.concat("key", F.lit(" "), "path")
-    drawn = sorted(r[0] for r in urls.select(order).orderBy(F.xxhash64("page", order)).limit(SAMPLE).collect())
-    bounds = [drawn[i * len(drawn) // width] for i in range(1, width)] if drawn else []
+    sample = sorted(r[0] for r in drawn(urls.select("page", order.alias("order")), SAMPLE, "page", "order").select("order").collect())
+    bounds = [sample[i * len(sample) // width] for i in range(1, width)] if sample else []
 
     @F.pandas_udf("array<int>")
     def ranges(low: pd.Series, high: pd.Series) -> pd.Series:
