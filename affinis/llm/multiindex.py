@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .runtime import cut
+from .runtime import cut, drawn
 
 #: Rows of which the codebooks are fitted; all rows are indexed.
 SAMPLE = 4096
@@ -141,7 +141,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, centroids: int = 2
     classes = cut(rows.where(F.col("code").isNotNull()).groupBy("label", "code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")))
     # Ids may repeat with other vectors, so a class has a number of its own within this job.
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    taken = classes.select("vector").orderBy(F.xxhash64("code")).limit(sample).collect()
+    taken = drawn(classes, sample, "code").select("vector").collect()
     codebooks = {}
     for width in {len(r.vector) for r in taken} | {r.w for r in classes.select(F.size("vector").alias("w")).distinct().limit(1000).collect()}:
         x = np.array([r.vector for r in taken if len(r.vector) == width], np.float64).reshape(-1, width)
