@@ -42,25 +42,28 @@ def nearest(pool: DataFrame, query: list[float], n: int, by: str | Metric = "euc
     return pool.select("uid", (F.round(dist, digits) if digits else dist).alias("dist")).orderBy("dist", "uid").limit(n)
 
 
-def pairs(queries: DataFrame, pool: DataFrame, by: str | Metric = "euclidean", digits: int | None = None) -> DataFrame:
-    """``(qid, uid, dist)`` of all queries and pool rows; ``queries`` has ``(qid, qvector)``.
+def crossed(pool: DataFrame, queries: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """All pairs of pool rows and queries.
 
-    The queries are broadcast if there are at most ``MOST_QUERIES``, else dealt with in blocks of that size, one after the other.
+    The queries are broadcast if there are at most ``MOST_QUERIES`` (``most`` is a known bound), else dealt by ``key`` in blocks of about that size, one after the other.
     """
-    dist = metric(by)(F.col("vector"), F.col("qvector"))
-    found = (F.round(dist, digits) if digits else dist).alias("dist")
-    small = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    if small:
-        return pool.crossJoin(F.broadcast(queries)).select("qid", "uid", found)
-    blocks = -(-queries.count() // MOST_QUERIES)
-    part = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(2 * blocks)))
+    if most is not None and most <= MOST_QUERIES or queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return pool.crossJoin(F.broadcast(queries))
+    blocks = 2 * -(-queries.count() // MOST_QUERIES)
+    part = queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     out = None
-    for b in range(2 * blocks):
-        one = pool.crossJoin(F.broadcast(part.where(F.col("block") == b).drop("block"))).select("qid", "uid", found)
+    for b in range(blocks):
+        one = pool.crossJoin(F.broadcast(part.where(F.col("block") == b).drop("block")))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def pairs(queries: DataFrame, pool: DataFrame, by: str | Metric = "euclidean", digits: int | None = None) -> DataFrame:
+    """``(qid, uid, dist)`` of all queries and pool rows; ``queries`` has ``(qid, qvector)``."""
+    dist = metric(by)(F.col("vector"), F.col("qvector"))
+    return crossed(pool, queries, "qid").select("qid", "uid", (F.round(dist, digits) if digits else dist).alias("dist"))
+
+
 def top(found: DataFrame, n: int, skip_self: bool = False) -> DataFrame:
     """The ``n`` nearest rows of each query, with ``rank`` from 1; ``n = 0`` means all. Ties by uid."""
     if skip_self:

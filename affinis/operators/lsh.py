@@ -8,6 +8,9 @@ from affinis.functions import bits
 
 from . import knn
 
+#: Rows of nearest codes that may be broadcast: three numbers each.
+MOST_NEAR = 1_048_576
+
 
 def buckets(coded: DataFrame) -> DataFrame:
     """``(code, uids)`` of ``(uid, code)`` rows, uids sorted; the stored form is the flat one, this is for look-ups by code."""
@@ -21,12 +24,16 @@ def count(bucket_rows: DataFrame) -> DataFrame:
 def nearest_codes(codes: DataFrame, queries: DataFrame, n: int, width: int) -> DataFrame:
     """``(qid, code, bits, distance)``: for each query ``(qid, qcode)`` the ``n`` nearest distinct codes.
 
-    ``distance`` is the share of bits that differ; ties by code. The distinct codes are at most ``2 ** width``.
+    ``distance`` is the share of bits that differ; ties by code. Codes are ranked once for each distinct code asked for,
+    of which there are at most ``2 ** width``, and then given to all queries of that code.
     """
     differ = bits.hamming(F.col("code"), F.col("qcode"))
-    found = codes.select("code").distinct().join(F.broadcast(queries.select("qid", "qcode").limit(knn.MOST_QUERIES))).select("qid", "code", differ.alias("bits"))
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("bits", "code"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= n).select("qid", "code", "bits", (F.col("bits") / F.lit(float(width))).alias("distance"))
+    found = knn.crossed(codes.select("code").distinct(), queries.select("qcode").distinct(), "qcode", 2**width).select("qcode", "code", differ.alias("bits"))
+    rank = F.row_number().over(W.partitionBy("qcode").orderBy("bits", "code"))
+    near = found.withColumn("rank", rank).where(F.col("rank") <= n).select(F.col("qcode").alias("near"), "code", "bits", (F.col("bits") / F.lit(float(width))).alias("distance"))
+    if 2**width * min(n, 2**width) <= MOST_NEAR:
+        near = F.broadcast(near)
+    return queries.select("qid", "qcode").join(near, F.col("qcode").eqNullSafe(F.col("near"))).select("qid", "code", "bits", "distance")
 
 
 def search(coded: DataFrame, queries: DataFrame, n: int, width: int, by="cosine", n_codes: int | None = None, digits: int | None = None) -> DataFrame:

@@ -105,6 +105,19 @@ def test_buckets(spark):
     assert sorted((r["code"], tuple(r["uids"])) for r in lsh.buckets(moved).collect()) == [(0, (2, 4)), (1, (0, 1, 3))]
 
 
+@pytest.mark.parametrize("width", [2, 20])
+def test_every_query_is_answered(spark, width, monkeypatch):
+    monkeypatch.setattr(knn, "MOST_QUERIES", 7)
+    codes, kinds = [0, 1, 2, 3, 2, 1], 4 if width == 2 else 50
+    rows = spark.createDataFrame([(i, [float(c), 1.0], c) for i, c in enumerate(codes)], "uid bigint, vector array<double>, code bigint")
+    asked = spark.range(50).select(F.col("id").alias("qid"), F.array(F.col("id") % 4 + 0.0, F.lit(1.0)).alias("qvector"), (F.col("id") % kinds).alias("qcode"))
+    got = {(r["qid"], r["code"], r["bits"]) for r in lsh.nearest_codes(rows, asked, 2, width).collect()}
+    want = {(q, c, b) for q in range(50) for b, c in sorted(((q % kinds ^ c).bit_count(), c) for c in range(4))[:2]}
+    assert got == want
+    found = lsh.search(rows, asked, 1, width, "euclidean", n_codes=4)
+    assert found.select("qid").distinct().count() == 50
+
+
 def test_kernel(spark):
     rows = frame(spark, [(0, [1, 0]), (1, [0, 1]), (2, [0.5, 0.5])])
     cells = knn.kernel(rows)
