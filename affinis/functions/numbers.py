@@ -21,8 +21,8 @@ def is_prime(n: Column) -> Column:
 
 
 def factor_pairs(n: Column) -> Column:
-    """Pairs ``(a, b)`` with ``a <= b`` and ``a * b = n``."""
-    small = F.filter(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.floor(F.sqrt(n)).cast("bigint"), F.lit(1).cast("bigint"))), lambda d: n % d == 0)
+    """Pairs ``(a, b)`` with ``1 <= a <= b`` and ``a * b = n``; none below 1."""
+    small = F.filter(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.floor(F.sqrt(n)).cast("bigint"), F.lit(1).cast("bigint"))), lambda d: (n % d == 0) & (d <= n))
     return F.transform(small, lambda d: F.struct(d.alias("a"), (n / d).cast("bigint").alias("b")))
 
 

@@ -14,6 +14,7 @@ from affinis.plans.indexes import Ivf, Lsh
 from affinis.sources import files
 from affinis.streaming import incremental
 
+#: A query ``..._all`` is the whole job. Beside it, where a fixed SQL asks for some ids only, the query of the plain name gives its rows of these ids.
 QUERIES: dict = {}
 ORACLES: dict = {}
 #: Queries against all rows: every id that this divides, and bits of the fixed projection.
@@ -714,24 +715,42 @@ def bbox_intersection(spark, d):
 _IMAGES = "SELECT p_partkey AS uid, CAST(40 + p_partkey % 13 AS INT) AS width, CAST(30 + p_partkey % 7 AS INT) AS height FROM part WHERE p_partkey <= 200"
 
 
+_ALL_IMAGES = "SELECT p_partkey AS uid, CAST(40 + p_partkey % 13 AS INT) AS width, CAST(30 + p_partkey % 7 AS INT) AS height FROM part"
+
+
 def _images(spark, d):
     k = F.col("p_partkey")
-    return table(spark, d, "part").where("p_partkey <= 200").select(k.alias("uid"), (40 + k % 13).cast("int").alias("width"), (30 + k % 7).cast("int").alias("height"))
+    return table(spark, d, "part").select(k.alias("uid"), (40 + k % 13).cast("int").alias("width"), (30 + k % 7).cast("int").alias("height"))
+
+
+@query(f"WITH i AS ({_ALL_IMAGES}) SELECT uid, CAST(x AS INT) AS \"left\", CAST(y AS INT) AS top, CAST(x + 10 AS INT) AS \"right\", CAST(y + 8 AS INT) AS bottom FROM i, range(0, 60, 5) a(x), range(0, 60, 8) b(y) WHERE x + 10 <= width AND y + 8 <= height")
+def crop_tiles_all(spark, d):
+    return geometry.tiles(_images(spark, d), 10, 8, (5, 8)).select("uid", "left", "top", "right", "bottom")
 
 
 @query(f"WITH i AS ({_IMAGES}) SELECT uid, CAST(x AS INT) AS \"left\", CAST(y AS INT) AS top, CAST(x + 10 AS INT) AS \"right\", CAST(y + 8 AS INT) AS bottom FROM i, range(0, 60, 5) a(x), range(0, 60, 8) b(y) WHERE x + 10 <= width AND y + 8 <= height")
 def crop_tiles(spark, d):
-    return geometry.tiles(_images(spark, d), 10, 8, (5, 8)).select("uid", "left", "top", "right", "bottom")
+    return crop_tiles_all(spark, d).where("uid <= 200")
+
+
+@query(f"WITH i AS ({_ALL_IMAGES}) SELECT uid, CAST(k AS INT) AS i, CAST(floor(width * k / 7.0) AS INT) AS \"left\", CAST(floor(height * k / 7.0) AS INT) AS top, CAST(floor(width * (7 - k) / 7.0) AS INT) AS \"right\", CAST(floor(height * (7 - k) / 7.0) AS INT) AS bottom FROM i, range(1, 4) a(k)")
+def crop_centres_all(spark, d):
+    return geometry.centre_crops(_images(spark, d), 3).select("uid", "i", "left", "top", "right", "bottom")
 
 
 @query(f"WITH i AS ({_IMAGES}) SELECT uid, CAST(k AS INT) AS i, CAST(floor(width * k / 7.0) AS INT) AS \"left\", CAST(floor(height * k / 7.0) AS INT) AS top, CAST(floor(width * (7 - k) / 7.0) AS INT) AS \"right\", CAST(floor(height * (7 - k) / 7.0) AS INT) AS bottom FROM i, range(1, 4) a(k)")
 def crop_centres(spark, d):
-    return geometry.centre_crops(_images(spark, d), 3).select("uid", "i", "left", "top", "right", "bottom")
+    return crop_centres_all(spark, d).where("uid <= 200")
+
+
+@query(f"WITH i AS ({_ALL_IMAGES}), l AS (SELECT CAST(x AS INT) AS level, CAST(pow(2, x) AS INT) AS n FROM range(0, 3) a(x)) SELECT uid, level, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(floor(width * tx / n) AS INT) AS \"left\", CAST(floor(height * ty / n) AS INT) AS top, CAST(floor(width * (tx + 1) / n) AS INT) AS \"right\", CAST(floor(height * (ty + 1) / n) AS INT) AS bottom FROM i CROSS JOIN l CROSS JOIN range(0, 4) b(tx) CROSS JOIN range(0, 4) c(ty) WHERE tx < n AND ty < n")
+def crop_quadrants_all(spark, d):
+    return geometry.quadrants(_images(spark, d), 2).select("uid", "level", "tx", "ty", "left", "top", "right", "bottom")
 
 
 @query(f"WITH i AS ({_IMAGES}), l AS (SELECT CAST(x AS INT) AS level, CAST(pow(2, x) AS INT) AS n FROM range(0, 3) a(x)) SELECT uid, level, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(floor(width * tx / n) AS INT) AS \"left\", CAST(floor(height * ty / n) AS INT) AS top, CAST(floor(width * (tx + 1) / n) AS INT) AS \"right\", CAST(floor(height * (ty + 1) / n) AS INT) AS bottom FROM i CROSS JOIN l CROSS JOIN range(0, 4) b(tx) CROSS JOIN range(0, 4) c(ty) WHERE tx < n AND ty < n")
 def crop_quadrants(spark, d):
-    return geometry.quadrants(_images(spark, d), 2).select("uid", "level", "tx", "ty", "left", "top", "right", "bottom")
+    return crop_quadrants_all(spark, d).where("uid <= 200")
 
 
 @query("SELECT CAST(n AS BIGINT) AS n, CAST(r AS BIGINT) AS r, CAST(factorial(CAST(n AS INT)) / (factorial(CAST(r AS INT)) * factorial(CAST(n - r AS INT))) AS BIGINT) AS ways FROM range(0, 19) a(n), range(0, 19) b(r) WHERE r <= n")
@@ -740,10 +759,16 @@ def n_choose_r(spark, d):
     return rows.withColumn("ways", numbers.binomial(F.col("n"), F.col("r")))
 
 
+@query("""WITH k AS (SELECT p_partkey AS n, range(1, CAST(floor(sqrt(p_partkey)) AS BIGINT) + 1) AS small FROM part)
+SELECT n, n > 1 AND len(list_filter(small, lambda x: x > 1 AND n % x = 0)) = 0 AS prime, len(list_filter(small, lambda x: n % x = 0)) AS pairs FROM k""")
+def primes_and_factors_all(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("n"))
+    return rows.select("n", numbers.is_prime(F.col("n")).alias("prime"), F.size(numbers.factor_pairs(F.col("n"))).cast("bigint").alias("pairs"))
+
+
 @query("WITH k AS (SELECT p_partkey AS n FROM part WHERE p_partkey BETWEEN 1 AND 300) SELECT n, n > 1 AND len(list_filter(range(2, n), lambda x: n % x = 0)) = 0 AS prime, len(list_filter(range(1, n + 1), lambda x: n % x = 0 AND x * x <= n)) AS pairs FROM k")
 def primes_and_factors(spark, d):
-    rows = table(spark, d, "part").where("p_partkey between 1 and 300").select(F.col("p_partkey").cast("bigint").alias("n"))
-    return rows.select("n", numbers.is_prime(F.col("n")).alias("prime"), F.size(numbers.factor_pairs(F.col("n"))).cast("bigint").alias("pairs"))
+    return primes_and_factors_all(spark, d).where("n between 1 and 300")
 
 
 @query(f"WITH {V}, f AS (SELECT label, row_number() OVER (ORDER BY min(uid)) AS number FROM v GROUP BY label) SELECT uid, CAST(number AS VARCHAR) AS label, list_transform(vector, lambda x: round(x, 6) + 0.0) AS vector FROM v JOIN f USING (label)")

@@ -46,6 +46,19 @@ def test_query_runs(spark, name):
     assert core.QUERIES[name](spark, DIR).count() > 0
 
 
+@pytest.mark.parametrize("name", ["crop_tiles", "crop_centres", "crop_quadrants", "primes_and_factors"])
+def test_all_parts(spark, name):
+    larger = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{larger}/part.parquet'")
+    for query, parts in ((name, None), (f"{name}_all", con.sql("SELECT count(*) FROM part").fetchall()[0][0])):
+        cursor = con.execute(core.ORACLES[query])
+        columns = [c[0] for c in cursor.description]
+        got = core.QUERIES[query](spark, larger).select(*columns).collect()
+        assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in cursor.fetchall())
+        assert parts is None or len({r[0] for r in got}) == parts > 300
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
