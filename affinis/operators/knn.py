@@ -15,6 +15,8 @@ from affinis.functions import vec
 Metric = Callable[[Column, Column], Column]
 #: Query rows that may be broadcast at once: 16,384 vectors of 1,000 doubles are 130 MB.
 MOST_QUERIES = 16_384
+#: Blocks of a group's rows in a kernel.
+KERNEL_BLOCKS = 8
 
 
 class EmptyIndexError(ValueError):
@@ -76,14 +78,25 @@ def nearest_batch(queries: DataFrame, pool: DataFrame, n: int, by: str | Metric
     return top(pairs(queries, pool, by, digits), n, skip_self)
 
 
-def kernel(rows: DataFrame, by: str | Metric = "hik", digits: int | None = None) -> DataFrame:
-    """Symmetric distance kernel ``(row_id, col_id, dist)``: each unordered pair is computed once and mirrored."""
-    a = rows.select(F.col("uid").alias("row_id"), F.col("vector").alias("a"))
-    b = rows.select(F.col("uid").alias("col_id"), F.col("vector").alias("b"))
+def kernel(rows: DataFrame, by: str | Metric = "hik", digits: int | None = None, within: str | None = None) -> DataFrame:
+    """Symmetric distance kernel ``(row_id, col_id, dist)``: each unordered pair is computed once and mirrored.
+
+    With ``within``, a column of ``rows``, there is one kernel for each of its values, which is kept; rows where it is null are in none.
+    """
+    a = rows.select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), *[within] * bool(within))
+    b = rows.select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), *[within] * bool(within))
+    keys = []
+    if within:
+        # A group is dealt in pairs of blocks, so that a large one isn't in one task.
+        keys, each = [within, "block_a", "block_b"], F.explode(F.sequence(F.lit(0), F.lit(KERNEL_BLOCKS - 1)))
+        own = lambda uid: F.pmod(F.xxhash64(uid), F.lit(KERNEL_BLOCKS)).cast("int")
+        a = a.withColumn("block_a", own("row_id")).withColumn("block_b", each)
+        b = b.withColumn("block_b", own("col_id")).withColumn("block_a", each)
     dist = metric(by)(F.col("a"), F.col("b"))
-    half = a.join(b, F.col("row_id") <= F.col("col_id")).select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"))
+    both = a.join(b, keys).where(F.col("row_id") <= F.col("col_id")) if within else a.join(b, F.col("row_id") <= F.col("col_id"))
+    half = both.select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"), *keys[:1])
     twice = F.explode(F.when(F.col("row_id") == F.col("col_id"), F.array(F.struct("row_id", "col_id"))).otherwise(F.array(F.struct("row_id", "col_id"), F.struct(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id")))))
-    return half.select(twice.alias("p"), "dist").select("p.row_id", "p.col_id", "dist")
+    return half.select(twice.alias("p"), "dist", *keys[:1]).select("p.row_id", "p.col_id", "dist", *keys[:1])
 
 
 def focus(kernel_rows: DataFrame, wanted: DataFrame, background: DataFrame) -> DataFrame:

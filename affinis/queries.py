@@ -177,16 +177,36 @@ def knn_hik(spark, d):
     return knn.nearest_batch(asked(rows), rows, 10, "hik", 6)
 
 
+def _kernels(spark, d) -> DataFrame:
+    """One kernel for each label."""
+    return knn.kernel(histograms(spark, d), "hik", 6, within="label")
+
+
+def _focused(spark, d) -> DataFrame:
+    rows = histograms(spark, d)
+    return knn.focus(_kernels(spark, d), rows.where("uid % 3 = 0").select("uid"), rows.where("uid % 2 = 0").select("uid"))
+
+
+@query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist FROM h a JOIN h b ON a.label = b.label")
+def distance_kernel_symmetric_all(spark, d):
+    return _kernels(spark, d).drop("label")
+
+
+@query(f"""WITH {H}, f AS (SELECT uid, min(bg) AS bg FROM (SELECT uid, uid % 3 <> 0 AS bg FROM h WHERE uid % 3 = 0 OR uid % 2 = 0) GROUP BY uid)
+SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist, fa.bg AS row_background, fb.bg AS col_background FROM h a JOIN f fa ON a.uid = fa.uid JOIN h b ON a.label = b.label JOIN f fb ON b.uid = fb.uid""")
+def kernel_focus_all(spark, d):
+    return _focused(spark, d).drop("label")
+
+
 @query(f"WITH {H}, s AS (SELECT * FROM h WHERE label = 0) SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist FROM s a CROSS JOIN s b")
 def distance_kernel_symmetric(spark, d):
-    return knn.kernel(histograms(spark, d).where("label = 0"), "hik", 6)
+    return _kernels(spark, d).where("label = 0").drop("label")
 
 
 @query(f"""WITH {H}, s AS (SELECT * FROM h WHERE label = 0), f AS (SELECT uid, min(bg) AS bg FROM (SELECT uid, uid % 3 <> 0 AS bg FROM s WHERE uid % 3 = 0 OR uid % 2 = 0) GROUP BY uid)
 SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist, fa.bg AS row_background, fb.bg AS col_background FROM s a JOIN f fa ON a.uid = fa.uid CROSS JOIN s b JOIN f fb ON b.uid = fb.uid""")
 def kernel_focus(spark, d):
-    rows = histograms(spark, d).where("label = 0")
-    return knn.focus(knn.kernel(rows, "hik", 6), rows.where("uid % 3 = 0").select("uid"), rows.where("uid % 2 = 0").select("uid"))
+    return _focused(spark, d).where("label = 0").drop("label")
 
 
 @query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({L2}, 6) AS dist FROM h a CROSS JOIN h b WHERE a.label = 1 AND b.label = 2")
@@ -312,9 +332,14 @@ def lsh_knn(spark, d):
     return lsh.search(rows, q, 10, BITS, "cosine", digits=6)
 
 
+@query(f"WITH {CODED}, m AS (SELECT range AS mask FROM range(0, 256) WHERE bit_count(range) = 2) SELECT uid, xor(code, mask) AS near FROM c CROSS JOIN m")
+def neighbor_codes_all(spark, d):
+    return coded(spark, d).select("uid", F.explode(bits.neighbours(F.col("code"), BITS, 2)).alias("near"))
+
+
 @query(f"WITH {CODED}, m AS (SELECT range AS mask FROM range(0, 256) WHERE bit_count(range) = 2) SELECT uid, xor(code, mask) AS near FROM c CROSS JOIN m WHERE uid % {EVERY} = 0")
 def neighbor_codes(spark, d):
-    return coded(spark, d).where(F.col("uid") % EVERY == 0).select("uid", F.explode(bits.neighbours(F.col("code"), BITS, 2)).alias("near"))
+    return neighbor_codes_all(spark, d).where(F.col("uid") % EVERY == 0)
 
 
 @query(f"WITH {CODED} SELECT uid, CAST(bit_count(code) AS INT) AS ones, list_transform(range(0, 8), lambda i: CAST((code >> (7 - i)) & 1 AS INT)) AS bits, code AS again FROM c")
@@ -417,10 +442,14 @@ def mean_vector(spark, d):
     return hashing.mean_vector(vectors(spark, d)).select("pos", (F.round("mean", 6) + 0.0).alias("mean"))
 
 
+@query(f"WITH {V}, g AS (SELECT unnest(range(0, 64)) AS i), c AS (SELECT a.i, b.i AS j, vector[a.i + 1] AS x, vector[b.i + 1] AS y FROM v CROSS JOIN g a JOIN g b ON a.i <= b.i) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(x, y), 6) + 0.0 AS cov FROM c GROUP BY i, j")
+def covariance_all(spark, d):
+    return hashing.covariance(vectors(spark, d)).select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
+
+
 @query(f"WITH {V}, g AS (SELECT unnest(range(0, 8)) AS i), c AS (SELECT a.i, b.i AS j, vector[a.i + 1] AS x, vector[b.i + 1] AS y FROM v CROSS JOIN g a JOIN g b ON a.i <= b.i) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(x, y), 6) + 0.0 AS cov FROM c GROUP BY i, j")
 def covariance(spark, d):
-    rows = vectors(spark, d).withColumn("vector", F.slice("vector", 1, 8))
-    return hashing.covariance(rows).select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
+    return covariance_all(spark, d).where("i < 8 and j < 8")
 
 
 _MEMBERS = "SELECT l_orderkey % 40 AS grp, l_orderkey AS item, (l_quantity - 1) / 49.0 AS score FROM lineitem"
@@ -550,10 +579,14 @@ def size_ranked_split(spark, d):
 _NAMES = [f"label_{i}" for i in range(64)]
 
 
+@query(f"WITH {V}, u AS (SELECT uid, 'label_' || unnest(range(0, 64)) AS label, unnest(vector) AS confidence FROM v) SELECT uid, label, confidence FROM u")
+def index_label_classifier_all(spark, d):
+    return learn.index_label(vectors(spark, d).drop("label"), _NAMES).select("uid", F.explode("scores").alias("label", "confidence"))
+
+
 @query(f"WITH {V}, u AS (SELECT uid, 'label_' || unnest(range(0, 64)) AS label, unnest(vector) AS confidence FROM v) SELECT uid, label, confidence FROM u WHERE uid % {EVERY} = 0")
 def index_label_classifier(spark, d):
-    rows = vectors(spark, d).where(F.col("uid") % EVERY == 0).drop("label")
-    return learn.index_label(rows, _NAMES).select("uid", F.explode("scores").alias("label", "confidence"))
+    return index_label_classifier_all(spark, d).where(F.col("uid") % EVERY == 0)
 
 
 def _fixed_models() -> dict[str, learn.LinearModel]:

@@ -59,6 +59,18 @@ def test_all_parts(spark, name):
         assert parts is None or len({r[0] for r in got}) == parts > 300
 
 
+def test_all_rows(spark):
+    rows = core.vectors(spark, DIR)
+    labels, n = {r["uid"]: r["label"] for r in rows.collect()}, rows.count()
+    ids = lambda name, column: {r[0] for r in core.QUERIES[name](spark, DIR).select(column).collect()}
+    for name in ("index_label_classifier_all", "neighbor_codes_all"):
+        assert ids(name, "uid") == set(labels)
+    cells = core.QUERIES["distance_kernel_symmetric_all"](spark, DIR)
+    assert {labels[i] for i in ids("kernel_focus_all", "row_id")} == set(labels.values()) and ids("distance_kernel_symmetric_all", "row_id") == set(labels)
+    assert cells.count() == sum(list(labels.values()).count(x) ** 2 for x in set(labels.values())) < n * n and cells.dropDuplicates(["row_id", "col_id"]).count() == cells.count()
+    assert core.QUERIES["covariance_all"](spark, DIR).count() == 64 * 65 // 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
