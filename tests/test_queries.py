@@ -71,6 +71,17 @@ def test_all_rows(spark):
     assert core.QUERIES["covariance_all"](spark, DIR).count() == 64 * 65 // 2
 
 
+def test_recall_of_registered_searches(spark):
+    from affinis.operators import ivf, knn
+
+    larger = "/root/testdata/sf0.1"
+    rows = core.vectors(spark, larger)
+    exact = {by: knn.nearest_batch(core.asked(rows), rows, 10, by).cache() for by in ("cosine", "euclidean")}
+    found = {name: ivf.recall(core.QUERIES[name](spark, larger), exact[by]) for name, by in (("lsh_knn_recall", "cosine"), ("itq_lsh_knn_recall", "cosine"), ("ivf_knn_recall", "euclidean"), ("mrpt_knn_recall", "euclidean"))}
+    print(found)
+    assert min(found.values()) >= 0.9, found
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
