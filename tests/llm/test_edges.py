@@ -104,3 +104,24 @@ def test_pipeline_against_brute_force(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()}
     assert {i: list(r["ids"]) for i, r in got.items()} == {i: library.encode(t) for i, t in seen[3].items()}
     assert all(r["n_tokens"] == len(r["ids"]) for r in got.values())
+
+
+def test_language_stage_acts(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 6)))
+    text = lambda letters: " ".join(word(letters) for _ in range(40))
+    letters = {"low": "abcdefg", "high": "tuvwxyz"}
+    data = {i: (text(letters[lang]), lang) for i, lang in ((i, ("low", "high")[i % 2]) for i in range(100))}
+    data |= {101: (text(letters["high"]), None), 102: (text("абвгде"), None), 104: (text("QJKMNP"), None), 105: ("e", "low"), 106: ("123", "low"), 107: (None, "low")}
+    # Ids outside the fitted rows: a text that is fitted under a label is partly learned under it.
+    wrong, held = (r[0] for r in spark.range(200, 300).where(corpus_pipeline.crc_bucket("id", 5) == 0).limit(2).collect())
+    data[wrong] = (text(letters["low"]), "high")
+    data[held] = (text("αβγδε"), "low")
+    table = spark.createDataFrame([(i, t, lang, "s1", 1) for i, (t, lang) in data.items()], SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["lang"]) for r in corpus_pipeline.identify_language(spark, table, "").collect()}
+    clean = [*range(100), 105]
+    assert {i: got.get(i) for i in clean} == {i: data[i] for i in clean}
+    assert got[wrong][1] == "low" and got[101][1] == "high"
+    assert set(got) == {*clean, wrong, 101}
