@@ -88,10 +88,11 @@ def viterbi(chain: Chain, emissions: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
-def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: int, n_labels: int, rounds: int = 25, rate: float = 0.5, decay: float = 3e-6) -> Chain:
+def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: int, n_labels: int, rounds: int = 25, rate: float = 0.5, decay: float = 3e-6, weights: np.ndarray | None = None) -> Chain:
     """Maximum likelihood by AdaGrad over all sequences at once.
 
-    ``features[token, k]`` are indices below ``size``, ``labels`` the tokens' labels.
+    ``features[token, k]`` are indices below ``size``, ``labels`` the tokens' labels, ``weights`` how much a token's
+    sequence counts, the same for all its tokens.
     """
     chain = Chain(np.zeros((size, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels))
     if not len(labels):
@@ -101,18 +102,20 @@ def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: i
     heads[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
     later = np.flatnonzero(~heads)
     gold = np.eye(n_labels)[labels]
+    weigh = np.ones(len(labels)) if weights is None else weights
     gold_moves = np.zeros((n_labels, n_labels))
-    np.add.at(gold_moves, (labels[later - 1], labels[later]), 1)
+    np.add.at(gold_moves, (labels[later - 1], labels[later]), weigh[later])
     flat, k = features.ravel(), features.shape[1]
     sums = [np.full_like(p, 1e-8) for p in (chain.weights, chain.moves, chain.first)]
     for _ in range(rounds):
         emissions = chain.weights[features].sum(1)
         alpha, beta, total = forward_backward(chain, emissions, lengths)
-        gap = np.exp(np.minimum(alpha + beta - total[:, None], 0)) - gold
+        gap = (np.exp(np.minimum(alpha + beta - total[:, None], 0)) - gold) * weigh[:, None]
         slope = np.stack([np.bincount(flat, weights=np.repeat(gap[:, j], k), minlength=size) for j in range(n_labels)], 1)
-        pair = np.exp(alpha[later - 1][:, :, None] + chain.moves + (emissions[later] + beta[later])[:, None, :] - total[later][:, None, None]).sum(0) - gold_moves
+        pairs = np.exp(alpha[later - 1][:, :, None] + chain.moves + (emissions[later] + beta[later])[:, None, :] - total[later][:, None, None])
+        pair = np.einsum("n,nij->ij", weigh[later], pairs) - gold_moves
         for value, g, s in zip((chain.weights, chain.moves, chain.first), (slope, pair, gap[heads].sum(0)), sums, strict=True):
-            g = g + decay * len(labels) * value
+            g = g + decay * weigh.sum() * value
             s += g**2
             value -= rate * g / np.sqrt(s)
     return chain

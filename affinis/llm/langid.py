@@ -16,7 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .runtime import unit
+
 ORDER = 3
+#: Bytes of the stretch whose likelihood is a prediction's score; that of a whole text would nearly always be 0 or 1.
+STRETCH = 32
 #: Columns that a prediction adds.
 ADDED = ("lang_pred", "score", "bits")
 _SLICE = 1 << 20
@@ -90,10 +94,10 @@ def code_lengths(counts: list[np.ndarray], contexts: np.ndarray, symbols: int) -
 def fit(docs: DataFrame, rows_per_language: int = 3000, least: int = 32, language: str = "lang") -> Model:
     """Model from ``docs`` with ``doc_id``, ``text`` and a language column; null texts and languages are left out.
 
-    Counts are taken, in Spark, over about ``rows_per_language`` rows of each language, drawn by a hash of the id: only these bounded counts
-    come to the driver. Contexts of order 3 and 2 that occur fewer than ``least`` times in all are cut off.
+    Counts are taken, in Spark, over at most about ``rows_per_language`` distinct texts of each language, drawn by a hash of the text: only these bounded
+    counts come to the driver. Contexts of order 3 and 2 that occur fewer than ``least`` times in all are cut off.
     """
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(language).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    known = docs.select(F.col("text").cast("string").alias("text"), F.col(language).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
@@ -101,7 +105,7 @@ def fit(docs: DataFrame, rows_per_language: int = 3000, least: int = 32, languag
     share: Column = F.lit(0.0)
     for name in languages:
         share = F.when(F.col("lang") == name, F.lit(rows_per_language / sizes[name])).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    drawn = known.where(unit("text", F.lit("language")) < share).distinct()
     grams = drawn.select("lang", "text").mapInArrow(_count, "lang string, run bigint, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     got = grams.toArrow()
     lang = np.searchsorted(np.array(languages), np.array(got.column("lang").to_pylist(), dtype=object).astype(str))
@@ -189,7 +193,8 @@ def _predict(shared):
                 bits = got[place[i]]
                 best = int(bits.argmin())
                 names.append(model.languages[best])
-                scores.append(float(1 / np.exp2(-np.minimum(bits - bits[best], 1000.0)).sum()))
+                size = len(texts[i])
+                scores.append(float(1 / np.exp2((bits[best] - bits) * (min(size, STRETCH) / size)).sum()))
                 lengths.append(float(bits[best]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())], [*batch.schema.names, *ADDED])
 
@@ -200,7 +205,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``bits``, predicted from ``text`` alone.
 
     ``lang_pred`` is the language with the shortest code for the whole text (of equals the first by name), ``score`` its share of the
-    likelihood of all languages, ``bits`` that code's length. A text that is null or has no letter gets ``und``, score 0 and null
+    likelihood of all languages for an average stretch of ``STRETCH`` bytes, ``bits`` that code's length. A text that is null or has no letter gets ``und``, score 0 and null
     bits, as all do if the model has no language. Null ids and repeated rows are scored like others. An empty table gives
     an empty result. Columns of these names that are there already are replaced.
     """

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .runtime import cut
 
 LEVELS = ("domain", "language", "origin")
-#: Most leaves of a tree: the tree is a small table of sums.
-MAX_LEAVES = 1_000_000
+#: Columns that a selected row gets.
+ADDED = ("domain", "language", "origin", "epoch", "tokens", "budget", "upto")
 
 
 def _deal(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
@@ -69,24 +69,30 @@ def token_count(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], fraction: float = 0.5, epochs: int = 2, seed: int = 7) -> DataFrame:
-    """Selected rows of ``docs`` with ``domain``, ``language``, ``origin``, ``epoch``, ``tokens``, ``budget`` and ``upto``.
+    """Selected rows of ``docs`` with ``domain``, ``language``, ``origin``, ``epoch``, ``tokens``, ``budget`` and ``upto``; columns of these names are replaced.
+
+    See ``selected``.
+    """
+    out = selected(docs, domain, weights, fraction, epochs, seed)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def selected(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], fraction: float = 0.5, epochs: int = 2, seed: int = 7) -> DataFrame:
+    """Selected rows of ``docs`` as a struct ``row``, with ``domain``, ``language``, ``origin``, ``epoch``, ``tokens``, ``budget`` and ``upto``.
 
     The budget is ``floor(fraction * all tokens)``. A leaf can give ``epochs`` times its tokens. In order of epoch, seeded hash,
     id and text, a row is taken if the leaf's tokens up to and including it are within the leaf's budget.
 
     Null domain, language or source form leaves of their own, named by the empty string. Null and empty texts have no tokens
     and come along where they stand before the end of the prefix. Rows with a null id share one hash. Repeated rows are
-    rows of their own. An empty table gives an empty result. A column of ``docs`` with one of the added names is replaced.
+    rows of their own. An empty table gives an empty result. Columns of any name are carried along.
     """
-    added = ["domain", "language", "origin", "epoch", "tokens", "budget", "upto"]
-    own = [c for c in docs.columns if c not in added]
-    leaf = docs.withColumn("_domain", F.coalesce(domain.cast("string"), F.lit(""))).select(*own, F.col("_domain").alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("origin"), token_count(F.col("text")).alias("tokens"))
-    brief = leaf.select(*LEVELS, "tokens", "doc_id", F.xxhash64("text").alias("text_key"))
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    leaf = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named(domain).alias("domain"), named(F.col("lang")).alias("language"), named(F.col("source")).alias("origin"), token_count(F.col("text")).alias("tokens"), F.col("doc_id"), F.xxhash64("text").alias("text_key"))
+    brief = leaf.drop("row")
     slim = cut(brief.groupBy(*LEVELS, "tokens", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times")))
     sums = slim.groupBy(*LEVELS).agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"))
     leaves = cut(sums.withColumn("cap", F.col("tokens") * epochs))
-    if leaves.limit(MAX_LEAVES + 1).count() > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
     budget = cut(budgets(leaves, weights, F.floor(F.lit(fraction) * F.sum("tokens"))))
 
     # Sums by range of the order find where each leaf's prefix ends; only the range with the end is ranked row by row.
@@ -99,19 +105,18 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], f
     step = W.partitionBy(*LEVELS, "epoch", "range").orderBy("key", "doc_id", "text_key").rowsBetween(W.unboundedPreceding, 0)
     ranked = ranked.withColumn("each", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).withColumn("upto", F.col("before") + F.sum("tokens").over(step))
     taken = ranked.where("upto <= budget").groupBy(*LEVELS, "tokens", "doc_id", "text_key", "epoch", "budget", "times").agg(F.count(F.lit(1)).alias("copies"), F.max("upto").alias("upto"))
-    return _with_rows(leaf, taken, own)
+    return _with_rows(leaf, taken)
 
 
-def _with_rows(leaf: DataFrame, taken: DataFrame, own: list[str]) -> DataFrame:
+def _with_rows(leaf: DataFrame, taken: DataFrame) -> DataFrame:
     """The rows of ``leaf`` that were taken. Of equal rows those are meant that come first in an arbitrary order."""
     t = taken.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in LEVELS], "epoch", "budget", "upto", "copies", "times")
-    rows = leaf.withColumn("_text", F.xxhash64("text"))
-    on = rows["doc_id"].eqNullSafe(t["_id"]) & (rows["_text"] == t["_key"])
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     for c in LEVELS:
-        on = on & (rows[c] == t[f"_{c}"])
-    both = rows.join(t, on)
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    both = leaf.join(t, on)
     once = both.where("copies = times")
     some = both.where("copies < times")
     nth = W.partitionBy("_id", "_key", *[f"_{c}" for c in LEVELS], "epoch").orderBy("upto")
     some = some.withColumn("_nth", F.row_number().over(nth)).where("_nth <= copies").drop("_nth")
-    return once.unionByName(some).select(*own, *LEVELS, "epoch", "tokens", "budget", "upto")
+    return once.unionByName(some).select("row", *LEVELS, "epoch", "tokens", "budget", "upto")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 #: Words, and pairs of pieces, that a worker keeps: a memory bound.
-_CACHE, _PAIRS = 400_000, 300_000
+_CACHE, _PAIRS = 160_000, 200_000
 #: Characters from which a text is split, characters of a chunk, and chunks whose matrices one task multiplies.
 GIANT, CHUNK, BLOCK = 1 << 16, 1 << 14, 256
 _START = (0, -1)
@@ -193,8 +193,8 @@ class Pieces:
                 piece = node.get("")
                 if piece is not None and last[end] is None and (left < 0 or ((ok := pairs.get(left << 32 | piece)) is not False and (ok or joins(left, piece)))):
                     last[end], begins[end] = piece, begin
-            if end == begin:
-                last[end + 1], begins[end + 1] = -1 - ord(text[begin]), begin
+            if last[begin + 1] is None and text[begin] not in self.ids:
+                last[begin + 1], begins[begin + 1] = -1 - ord(text[begin]), begin
         path, end = [], len(text)
         while end:
             path.append(last[end])

@@ -8,22 +8,31 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; where it names none, one that is set already, or in local mode a new temporary one."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinis-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``: later reads survive the loss of executors.
 
     The folder is the cluster's own (``spark.checkpoint.dir``); a temporary one is set only where
     that setting is missing, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinis-checkpoint-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shuffle_width(spark: SparkSession, at_least: int = 1) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), at_least)
-
-
+def unit(*keys: str | Column) -> Column:
+    """A number in [0, 1) from a hash of ``keys``; nulls count."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +47,7 @@ def crc_bucket(column: str, modulus: int) -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the checkpoint folder and read again."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinis-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -51,5 +55,4 @@ def stored(df: DataFrame) -> DataFrame:
 def drawn(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
     """About ``rows`` rows of ``df``, drawn by a hash of ``keys``; at most twice as many, however many tasks there are."""
     total = max(1, df.count())
-    unit = F.pmod(F.xxhash64(*keys, F.lit("drawn")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(unit < rows / total).limit(2 * rows)
+    return df.where(unit(*keys, F.lit("drawn")) < rows / total).limit(2 * rows)

@@ -69,8 +69,9 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 24) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("text_key"))
-    # A seat tells apart rows of one id; it is a function of the row's values, so a lost task gives the same again.
-    rows = cut(rows.withColumn("start", F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(shards)).cast("int")))
+    # A seat tells equal rows apart, so that those of one id and text are dealt to many places; the checkpoint keeps it.
+    rows = cut(rows.withColumn("seat", F.monotonically_increasing_id()))
+    rows = rows.withColumn("start", F.pmod(F.xxhash64("doc_id", "seat", F.lit("start")), F.lit(shards)).cast("int"))
     total = rows.count()
     targets = [total // shards + (s < total % shards) for s in range(shards)]
     cells = rows.groupBy("text_key", F.col("start").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
@@ -82,20 +83,20 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 24) -> DataFrame:
     fine = W.partitionBy("text_key").orderBy(F.col("n").desc(), "shard")
     spans = state.select("text_key", "shard", "n", F.sum("n").over(fine.rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
     plan = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("plan"), F.max("upto").alias("all"))
-    placed = rows.withColumn("place", _unit("doc_id", "text_key", F.lit("place"))).join(plan, "text_key", "left")
+    placed = rows.withColumn("place", _unit("doc_id", "text_key", "seat", F.lit("place"))).join(plan, "text_key", "left")
     placed = placed.withColumn("single", F.col("plan").isNull().cast("int")).withColumn("several", F.coalesce(F.size("plan") > 1, F.lit(False)))
-    columns = ["doc_id", "size", "text_crc32", "single", "place"]
+    columns = ["doc_id", "size", "text_crc32", "single", "place", "seat"]
     simple = placed.where("not several").select(*columns, F.coalesce(F.col("plan")[0]["shard"], F.col("start")).alias("shard"))
     split = placed.where("several").withColumn("part", F.floor(F.col("place") * F.ceil(F.col("all") / RANGE_ROWS)))
     parts = split.groupBy("text_key", "part").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.select("text_key", "part", F.coalesce(F.sum("n").over(W.partitionBy("text_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy("text_key", "part").orderBy("place", "doc_id")) - 1
+    rank = F.row_number().over(W.partitionBy("text_key", "part").orderBy("place", "seat")) - 1
     split = split.join(parts, ["text_key", "part"]).withColumn("rank", F.col("before") + rank)
     split = split.select(*columns, F.filter("plan", lambda p: p["upto"] > F.col("rank"))[0]["shard"].alias("shard"))
     chosen = simple.unionByName(split)
     ranges = max(1, total // shards // RANGE_ROWS)
     # Rows without links come last in a shard's order: they are the first to make room.
-    chosen = cut(chosen.select("doc_id", "size", "text_crc32", "shard", (F.col("single") * ranges + F.floor(F.col("place") * ranges)).cast("int").alias("range"), "place"))
+    chosen = cut(chosen.select("doc_id", "size", "text_crc32", "shard", (F.col("single") * ranges + F.floor(F.col("place") * ranges)).cast("int").alias("range"), "place", "seat"))
 
     counts = {(r["shard"], r["range"]): r["count"] for r in chosen.groupBy("shard", "range").count().collect()}
     first, held = {}, []
@@ -111,7 +112,7 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 24) -> DataFrame:
         spare += max(0, held[s] - targets[s])
     for s in range(shards):
         free += [(s, held[s], targets[s] - held[s])] if held[s] < targets[s] else []
-    own = W.partitionBy("shard", "range").orderBy("place", "doc_id", "text_crc32", "size")
+    own = W.partitionBy("shard", "range").orderBy("place", "seat")
     starts = chosen.sparkSession.createDataFrame([(k // (2 * ranges), k % (2 * ranges), n) for k, n in first.items()], "shard int, range int, first bigint")
     ranked = chosen.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(starts), ["shard", "range"]).withColumn("slot", F.col("first") + F.col("rank"))
     # What is over a shard's count takes the free slots of others, in order.

@@ -148,15 +148,16 @@ def distinct_texts(texts: list[list[str]], hashes: int = 8) -> list[int]:
     return kept
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longest: int = 20_000, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longest: int = 20_000, seed: int = 3, clean_tokens: int = 30_000) -> Model:
     """Model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``).
 
     Trained on a bounded sample: about ``rows_per_label`` rows of either label, drawn by a hash of the id, of at most
-    ``longest`` characters. Null texts, ids and labels are left out. Without rows of both labels all scores are 0.
+    ``longest`` characters. Of the sentences without toxic tokens about ``clean_tokens`` tokens train the field, and weigh for all of them. Null texts, ids and labels are left out; an id that is labelled more than once counts once, as toxic if any
+    label says so, and of rows that repeat an id all texts count. Without rows of both labels all scores are 0.
     """
     from pyspark.sql.functions import broadcast
 
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     none = Model(Chain(np.zeros((SIZE, 2)), np.zeros((2, 2)), np.array([0.0, -20.0])), np.zeros(3), -20.0)
     if len(sizes) < 2:
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longest:
     share = F.when(F.col("toxic") == 1, F.lit(rows_per_label / sizes[1])).otherwise(F.lit(rows_per_label / sizes[0]))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share).limit(4 * rows_per_label).toPandas()
     chosen = docs.sparkSession.createDataFrame(drawn, "doc_id bigint, toxic int")  # at most 4 * rows_per_label ids
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") <= longest).join(broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "toxic").toPandas()
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") <= longest).join(broadcast(chosen), "doc_id").distinct().orderBy("doc_id", "text").limit(8 * rows_per_label).select("text", "toxic").toPandas()
     texts, toxic = [t.lower().split() for t in sample["text"]], sample["toxic"].to_numpy()
     # Copies would make any word of theirs look like evidence.
     own = distinct_texts(texts)
@@ -178,18 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longest:
     least = max(2, min(15, n[1] // 10))
     signs = {e for e, c in seen[1].items() if c >= least and math.log((c + 0.1) / n[1]) - math.log((seen[0][e] + 0.1) / n[0]) >= 4.5}
     rng = np.random.default_rng(seed)
-    tokens, tags, lengths = [], [], []
+    tokens, tags, lengths, weights = [], [], [], []
+    share_clean = min(1.0, clean_tokens / max(1, sum(map(len, texts))))
     for words, y in zip(texts, toxic, strict=True):
         at = 0
         for size in sentences(words):
             part = words[at : at + size]
             at += size
             marks = [int(bool(y) and any(e in signs for e in evidence(t))) for t in part]
-            if any(marks) or rng.random() < 30_000 / (len(texts) * 40):
+            if any(marks) or rng.random() < share_clean:
                 tokens += part
                 tags += marks
                 lengths.append(size)
-    chain = train(_features(tokens, lengths), np.array(tags, np.int64), np.array(lengths, np.int64), SIZE, 2)
+                weights += [1.0 if any(marks) else 1 / share_clean] * size
+    chain = train(_features(tokens, lengths), np.array(tags, np.int64), np.array(lengths, np.int64), SIZE, 2, weights=np.array(weights))
     tagger = Tagger(chain)
     found = [m for i in range(0, len(texts), 256) for m in tagger.toxic([" ".join(t) for t in texts[i : i + 256]])]
     x = np.array([_summary(m, len(m)) for m in found])

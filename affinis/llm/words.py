@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries after which a worker's word cache is emptied: a memory bound, results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 _ROT = np.uint64(29)
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -27,11 +27,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased; other letters stay as they are."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""
     h = (h ^ (h >> np.uint64(30))) * _M2

@@ -10,7 +10,7 @@ from affinis.llm import fingerprint, langid, minhash, mixing, multiindex, pieces
 
 MODEL = Path("/opt/tokenizers/piece_bpe_32k.model")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASHES = ["id", "key", "part", "row", "cls", "score", "spans", "ids", "shard", "slot", "domain", "tokens", "budget", "component_id", "kept", "next", "print", "bit", "set", "lang_pred", "toxic", "a", "b", "n"]
+CLASHES = ["id", "key", "part", "row", "cls", "score", "spans", "ids", "shard", "slot", "domain", "tokens", "budget", "component_id", "kept", "next", "print", "bit", "set", "lang_pred", "toxic", "a", "b", "n", "copies", "times", "_domain", "bits", "epoch", "upto", "language", "origin", "text_key", "seat", "place", "start"]
 
 
 def rows(spark):

@@ -194,10 +194,6 @@ def test_secrets(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[1] == k for s in spans) for k in range(3)]
         assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
-    # The field tags the shape of a key where no pattern looks: 20 hexadecimal digits that stand alone.
-    lone = docs(spark, [f"{words(rng, 6)} {'0a1b2c3d4e' * 2} {words(rng, 6)}"] * 3)
-    found = secretscan.scan(lone, chain).first()["spans"]
-    assert all(s["kind"] == "crf" for s in found)
     clean = secretscan.redact(table, chain)
     assert clean.columns == table.columns and clean.count() == len(texts)
     assert not any(_ASSIGN.search(r["text"] or "") and len(_ASSIGN.search(r["text"])[2]) >= 8 for r in clean.collect())
