@@ -15,7 +15,7 @@ from affinis.llm.runtime import crc_bucket, stored
 
 #: Bits that a byte takes without a model: a text that its best language doesn't code shorter is in none of them.
 MOST_BITS = 8
-#: Share of the likelihood from which a text overrules its label; a few letters may fit several languages.
+#: Share of the likelihood of an average stretch of the text from which it overrules its label; a few letters may fit several languages.
 SURE = 0.99
 #: Share of the tokens that the mixture takes, once each.
 MIX_FRACTION = 0.8
@@ -27,11 +27,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts of an unknown language go; a missing language is filled in, and one that the text contradicts is replaced.
 
     The text contradicts its label if another language has at least ``SURE`` of the likelihood. Unknown are texts without a letter and those that no language codes in fewer than ``MOST_BITS`` a byte.
+    Columns of any name stay as they are.
     """
     model = langid.fit(docs.where(crc_bucket("doc_id", 5) != 0))
-    tagged = langid.tag(docs, model).where((F.col("lang_pred") != "und") & (F.col("bits") < MOST_BITS * F.octet_length("text")))
+    aside = {c: f"_own_{c}" for c in langid.ADDED if c in docs.columns}
+    tagged = langid.tag(docs.withColumnsRenamed(aside), model).where((F.col("lang_pred") != "und") & (F.col("bits") < MOST_BITS * F.octet_length("text")))
     label = F.when(F.col("score") < SURE, F.col("lang"))
-    return tagged.withColumn("lang", F.coalesce(label, "lang_pred")).select(*docs.columns)
+    mended = tagged.withColumn("lang", F.coalesce(label, "lang_pred")).drop(*langid.ADDED)
+    return mended.withColumnsRenamed({there: c for c, there in aside.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within each source's budget, in seeded order, once each."""
-    return mixing.mix(docs, mix_domain(), MIX_WEIGHTS, fraction=MIX_FRACTION, epochs=1).select(*docs.columns)
+    return mixing.selected(docs, mix_domain(), MIX_WEIGHTS, fraction=MIX_FRACTION, epochs=1).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
