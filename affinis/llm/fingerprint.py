@@ -1,24 +1,22 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-The k-mers of a text are numbered by occurrence, hashed and dealt to bins by their hash. Each bin selects its ``ell``
-smallest ones, keeps them in text order and hashes them to one value, so that the fingerprint depends on the
-order of what it keeps and is sensitive to edit distance. The fraction of equal bins is the likeness of two texts.
+The k-mers of a text are numbered by occurrence, hashed and dealt to bins by their hash. For each bin the ``ell``
+smallest ones are selected, kept in text order and hashed to one value, so that the fingerprint depends on the
+order of what it keeps and is sensitive to edit distance. A bin that has fewer of its own takes the next ones of the bins that follow, so
+that short texts fill all bins with tuples too. The share of equal bins is the likeness of two texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Bits of a packed position in a text; longer texts wrap, which only shortens the order that is kept.
-POSITION = 24
-#: Bits of a hash beside a position.
-HASH = 63 - POSITION
-#: Doubling steps of the occurrence numbers: they are exact up to 2 ** STEPS.
-STEPS = 20
-#: Ranges of ids in which neighbours are looked up.
-RANGES = 256
+#: Bits of a packed position in a text, and those for texts of more tokens.
+POSITION, POSITION_LONG = 24, 31
+#: Quantiles of the ids by which rows are dealt to ranges, and bytes and rows for which one more range is opened.
+QUANTILES, RANGE_BYTES, RANGE_ROWS = 256, 64 << 20, 50_000
 
 
 def _let(value: Column, body) -> Column:
@@ -26,67 +24,69 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _occurrences(packed: Column) -> Column:
-    """For sorted ``hash << POSITION | position``: how many earlier entries have the same hash.
-
-    Counts of up to ``2**t`` follow from counts of up to ``2**(t-1)``; a step runs only where counts have reached their bound.
-    """
-    same = F.transform(packed, lambda x, i: F.when((i > 0) & (F.shiftright(x, POSITION) == F.shiftright(F.get(packed, i - 1), POSITION)), F.lit(1)).otherwise(F.lit(0)))
-    def doubled(counts: Column, step: int) -> Column:
-        return _let(counts, lambda c: F.when(F.array_max(c) < step, c).otherwise(F.transform(c, lambda n, i: F.when(n == step, n + F.get(c, i - step)).otherwise(n))))
-
-    counts = same
-    for t in range(STEPS):
-        counts = doubled(counts, 1 << t)
-    return counts
+def _occurrences(packed: Column, bits: int) -> Column:
+    """For sorted ``hash << bits | position``: how many earlier entries have the same hash."""
+    first = F.transform(packed, lambda x, i: F.when((i == 0) | (F.shiftright(x, bits) != F.shiftright(F.get(packed, F.greatest(i - 1, F.lit(0))), bits)), i))
+    run = lambda heads: F.flatten(F.transform(heads, lambda at, j: F.sequence(F.lit(0), F.coalesce(F.get(heads, j + 1), F.size(packed)) - at - 1)))
+    return _let(F.array_compact(first), run)
 
 
 def order_minhash(text: Column, k: int = 3, ell: int = 2, bins: int = 64) -> Column:
-    """Sorted array of ``bin << 57 | hash``, one entry for each bin that has k-mers.
+    """Array of one 64-bit number for each of ``bins`` bins.
 
     Tokens are runs of up to 16 characters without ASCII white space; a text with fewer than ``k`` tokens is one
     k-mer, a null or blank one gives an empty array.
     """
-    low = (1 << HASH) - 1
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,16}"), F.lit(0))
+    return _let(tokens, lambda w: F.when(F.size(w) <= 1 << POSITION, _of_tokens(w, k, ell, bins, POSITION)).otherwise(_of_tokens(w, k, ell, bins, POSITION_LONG)))
+
+
+def _of_tokens(w: Column, k: int, ell: int, bins: int, bits: int) -> Column:
+    rank = 63 - bits - max(1, (bins - 1).bit_length())
+    place = lambda x: x.bitwiseAND((1 << bits) - 1)
+    bin_of = lambda x: F.shiftright(x, bits + rank)
 
     def packed(w: Column) -> Column:
         n = F.size(w)
-        windows = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.shiftleft(F.xxhash64(*[F.get(w, i + j) for j in range(k)]).bitwiseAND(low), POSITION).bitwiseOR(F.pmod(i, F.lit(1 << POSITION)).cast("bigint")))
+        low = (1 << (63 - bits)) - 1
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.shiftleft(F.xxhash64(*[F.get(w, i + j) for j in range(k)]).bitwiseAND(low), bits).bitwiseOR(i.cast("bigint")))
         return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(windows))
 
     def numbered(s: Column) -> Column:
-        # bin, then 33 bits of the hash of (k-mer, occurrence), then position: sorted, a bin's smallest come first.
+        # Bin, then bits of the hash of (k-mer, occurrence), then position: sorted, a bin's smallest come first.
         def entry(x: Column, occurrence: Column) -> Column:
-            h = F.xxhash64(F.shiftright(x, POSITION), occurrence)
-            return F.shiftleft(h.bitwiseAND((1 << 39) - 1) % F.lit(bins << 33), POSITION).bitwiseOR(x.bitwiseAND((1 << POSITION) - 1))
+            h = F.xxhash64(F.shiftright(x, bits), occurrence)
+            own = F.shiftleft(F.pmod(h, F.lit(bins)), rank).bitwiseOR(F.shiftrightunsigned(h, 20).bitwiseAND((1 << rank) - 1))
+            return F.shiftleft(own, bits).bitwiseOR(place(x))
 
-        many = F.size(F.array_distinct(F.transform(s, lambda x: F.shiftright(x, POSITION)))) < F.size(s)
+        many = F.size(F.array_distinct(F.transform(s, lambda x: F.shiftright(x, bits)))) < F.size(s)
         none = F.transform(s, lambda x: entry(x, F.lit(0)))
-        return F.array_sort(F.when(many, F.zip_with(s, _occurrences(s), entry)).otherwise(none))
-
-    bin_of = lambda x: F.shiftright(x, POSITION + 33)
+        return F.array_sort(F.when(many, F.zip_with(s, _occurrences(s, bits), entry)).otherwise(none))
 
     def smallest(s: Column) -> Column:
         return F.filter(s, lambda x, i: (i < ell) | (bin_of(F.get(s, F.greatest(i - ell, F.lit(0)))) != bin_of(x)))
 
-    def in_text_order(s: Column) -> Column:
-        mask = (1 << POSITION) - 1
-        return F.array_sort(F.transform(s, lambda x: F.shiftleft(bin_of(x), 57).bitwiseOR(F.shiftleft(x.bitwiseAND(mask), 33)).bitwiseOR(F.shiftright(x, POSITION).bitwiseAND((1 << 33) - 1))))
+    def starts(s: Column) -> Column:
+        """For each bin, where its entries begin, or those of the next bin that has any."""
+        before = lambda i: F.when(i == 0, F.lit(-1).cast("bigint")).otherwise(bin_of(F.get(s, F.greatest(i - 1, F.lit(0)))))
+        own = F.transform(s, lambda x, i: F.array_repeat(i, (bin_of(x) - before(i)).cast("int")))
+        return F.concat(F.flatten(own), F.array_repeat(F.lit(0), (bins - 1 - bin_of(F.element_at(s, -1))).cast("int")))
 
     def tuples(s: Column) -> Column:
-        of = lambda x: F.shiftright(x, 57)
-        heads = F.transform(s, lambda x, i: F.when((i > 0) & (of(F.get(s, F.greatest(i - 1, F.lit(0)))) == of(x)), F.lit(None).cast("bigint")).otherwise(
-            F.shiftleft(of(x), 57).bitwiseOR(F.xxhash64(*[F.when(of(F.get(s, i + j)) == of(x), F.get(s, i + j).bitwiseAND((1 << 33) - 1)) for j in range(ell)]).bitwiseAND((1 << 57) - 1))))
-        return F.array_compact(heads)
+        def one(i: Column) -> Column:
+            kept = F.slice(F.concat(F.slice(s, i + 1, F.lit(ell)), s), F.lit(1), F.least(F.lit(ell), F.size(s)))
+            ordered = F.array_sort(F.transform(kept, lambda x: F.shiftleft(place(x), 63 - bits).bitwiseOR(F.shiftright(x, bits))))
+            return F.xxhash64(F.transform(ordered, lambda x: x.bitwiseAND((1 << (63 - bits)) - 1)))
 
-    return _let(tokens, lambda w: _let(packed(w), lambda p: _let(numbered(p), lambda q: _let(smallest(q), lambda r: _let(in_text_order(r), tuples)))))
+        return F.when(F.size(s) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(starts(s), one))
+
+    return _let(packed(w), lambda p: _let(numbered(p), lambda q: _let(smallest(q), tuples)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal entries by bins that either fingerprint uses; 1 for two empty ones."""
-    bins = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 57)), F.transform(b, lambda x: F.shiftright(x, 57))))
-    return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
+    """Share of bins with equal entries; 1 for two empty fingerprints, 0 for one."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")), F.lit(0), lambda n, x: n + x)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a), F.size(b)))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -94,37 +94,63 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ",")
 
 
+def _ranged(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with the number ``_range`` of each row's range: ranges follow each other, from the highest to the lowest, as rows do in descending id and ascending hash.
+
+    Ranges lie between quantiles of the id, and are divided further, by id, as the table grows. An id of several quantiles is hot: it has ranges of its own,
+    divided by the hash.
+    """
+    quantiles = F.percentile_approx("_id", [i / QUANTILES for i in range(1, QUANTILES)], F.lit(100_000))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column)).alias("bytes"), F.min("_id").alias("low"), F.max("_id").alias("high"), quantiles.alias("bounds")).first()
+    if not size["n"]:
+        return docs.withColumn("_range", F.lit(0).cast("bigint"))
+    parts = ceil(max((size["bytes"] or 0) / RANGE_BYTES, size["n"] / RANGE_ROWS) / QUANTILES) or 1
+    slots = {b: size["bounds"].count(b) for b in size["bounds"]}
+    bounds = sorted(slots | {size["high"]: 1})
+
+    # Ids up to the i-th bound are in place i; found by halving the list of bounds.
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("_id") <= bounds[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("_place") + 1)
+    hot = [max(1, slots.get(b, 1)) * parts if slots.get(b, 1) > 1 else 0 for b in bounds]
+    is_hot = (of(hot, "int") > 0) & (F.col("_id") == of(bounds, "bigint"))
+    lows = [float(x) for x in [size["low"] - 1, *bounds[:-1]]]
+    width = [max(1.0, float(b) - a) for a, b in zip(lows, bounds, strict=True)]
+    by_id = F.least(F.floor((F.col("_id").cast("double") - of(lows, "double")) / of(width, "double") * parts), F.lit(parts - 1))
+    unit = F.shiftrightunsigned("_hash", 1) / F.lit(float(1 << 63))
+    by_hash = of(hot, "int") - 1 - F.least(F.floor(unit * of(hot, "int")), of(hot, "int") - 1)
+    within = F.when(is_hot, by_hash).otherwise(F.greatest(by_id, F.lit(0)))
+    number = F.shiftleft((2 * F.col("_place") + is_hot.cast("int")).cast("bigint"), 40) + within.cast("bigint")
+    return docs.withColumn("_place", place(0, len(bounds) - 1)).withColumn("_range", number).drop("_place")
+
+
 def with_next(docs: DataFrame, column: str, extra: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """``docs`` with the columns of ``extra`` and ``next``: a struct of ``column`` and them of the following row in descending ``doc_id``.
 
-    ``extra`` are functions of ``column``. The first row follows the last. Rows are dealt to ranges between
-    quantiles of the id, so no task sorts the whole table; the first row of each range is looked up among one
-    row per range. Equal ids follow each other in the order of ``column``.
+    ``extra`` are functions of ``column``. The first row follows the last. Rows are dealt to ranges of the order, so no task sorts the whole
+    table; the last row of a range is followed by the first of the next one, looked up among one row per range. Equal ids follow each other in the
+    order of a hash of ``column``.
     """
-    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    quantiles = F.percentile_approx("_id", [i / RANGES for i in range(1, RANGES)], F.lit(100_000))
-    bounds = sorted(set(docs.agg(quantiles).first()[0] or []))
-    spot = F.lit(0)
-    if bounds:
-        # Ids up to the i-th quantile are in range i; found by halving the list of quantiles.
-        def place(low: int, high: int) -> Column:
-            if low == high:
-                return F.lit(low)
-            mid = (low + high) // 2
-            return F.when(F.col("_id") <= bounds[mid], place(low, mid)).otherwise(place(mid + 1, high))
-
-        spot = place(0, len(bounds))
-    ranged = docs.withColumn("_range", spot)
+    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64(column))
+    ranged = _ranged(docs, column)
     whole = lambda c: F.struct(c.alias(column), *[f(c).alias(name) for name, f in extra.items()])
-    here = W.partitionBy("_range").orderBy(F.col("_id").desc(), column)
+    # Halving keeps the hash's unsigned order in a signed number.
+    order = [F.col("_id").desc(), F.shiftrightunsigned("_hash", 1), F.col(column)]
+    here = W.partitionBy("_range").orderBy(*order)
     led = ranged.withColumns({name: f(F.col(column)) for name, f in extra.items()})
     led = led.withColumn("next", F.lead(F.struct(column, *extra)).over(here)).withColumn("_last", F.lead(F.lit(1)).over(here).isNull())
-    heads = ranged.groupBy("_range").agg(F.min_by(column, F.struct(-F.col("_id").cast("decimal(20,0)"), column)).alias("_first"))
-    heads = heads.select("_range", whole(F.col("_first")).alias("_head"))
+    first = F.min_by(column, F.struct(-F.col("_id").cast("decimal(20,0)"), F.shiftrightunsigned("_hash", 1), column))
+    heads = ranged.groupBy("_range").agg(first.alias("_first"))
     chain = W.orderBy(F.col("_range").desc())
-    ends = W.orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = heads.withColumn("_head", F.coalesce(F.lead("_head").over(chain), F.first("_head").over(ends)))  # at most RANGES rows
-    return led.join(heads.withColumn("_last", F.lit(True)), ["_range", "_last"], "left").withColumn("next", F.coalesce("next", "_head")).drop("_range", "_last", "_head", "_id")
+    ends = chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    links = heads.select("_range").withColumn("_after", F.coalesce(F.lead("_range").over(chain), F.first("_range").over(ends)))  # a number for each range
+    heads = links.join(heads.withColumnRenamed("_range", "_after"), "_after").select("_range", whole(F.col("_first")).alias("_head"))
+    out = led.join(heads.withColumn("_last", F.lit(True)), ["_range", "_last"], "left").withColumn("next", F.coalesce("next", "_head"))
+    return out.drop("_range", "_last", "_head", "_id", "_hash")
 
 
 def fingerprints(docs: DataFrame, k: int = 3, ell: int = 2, bins: int = 64) -> DataFrame:
@@ -133,7 +159,7 @@ def fingerprints(docs: DataFrame, k: int = 3, ell: int = 2, bins: int = 64) -> D
     The edited text has its last ``floor(n_chars / 2)`` characters replaced by the first as many, or all, of the
     next document's in descending ``doc_id`` (after the last comes the first). Likenesses are from 0 to 1.
 
-    A null text counts as empty. Null ids come last. Rows with equal ids follow each other by text; repeated rows are rows of their own; a
+    A null text counts as empty. Null ids come last. Rows with equal ids follow each other by a hash of the text; repeated rows are rows of their own; a
     table of one row follows itself. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

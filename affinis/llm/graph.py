@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from .runtime import cut
 
 
+def hub_join(rows: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has a row for each value of ``keys``.
+
+    The join is by a hash of the keys: what an aggregate has dealt out by the keys themselves is dealt out again, and so adaptive
+    skew joins can split the many ``rows`` of one key.
+    """
+    mixed = F.xxhash64(*keys, F.lit("hub"))
+    named = one.withColumn("_k", mixed).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return rows.withColumn("_k", mixed).join(named, "_k").where(same).drop("_k", *[f"_{k}" for k in keys])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` of every id that an edge ``(a, b)`` touches, component = smallest reachable id.
 
@@ -20,9 +34,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = stars.select(a.alias("u"), b.alias("v")).unionByName(stars.select(b.alias("u"), a.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = hub_join(both, low, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(down, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+        moved = hub_join(large, down, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         stars = cut(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31))).first()
         if now == mark:

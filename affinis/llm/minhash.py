@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .graph import components
+from .graph import components, hub_join
 from .runtime import cut
 from .words import WordHashes, mix, shingles
 
-#: Buckets of up to this many documents are compared pair by pair; larger ones are joined in blocks.
+#: Buckets of up to this many documents are compared pair by pair, larger ones with a few heads and, where these leave them apart, in blocks.
 SMALL = 32
-#: Members of a block of a large bucket.
-BLOCK = 512
+#: Orders in which the first member of a large bucket is a head of it.
+HEADS = 3
+#: Members of a block and shingles of its sets, about.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 
 #: Size of the filter for documents whose sets are needed. At any number of documents it is correct; the more, the less it saves.
 BITMAP_BYTES = 1 << 24
@@ -131,13 +133,13 @@ def linked(size_a: int, size_b: int | np.ndarray, shared: int | np.ndarray, perc
     return 100 * shared >= percent * (size_a + size_b - shared)
 
 
-def join_sets(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def join_sets(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join all sets whose Jaccard similarity reaches ``percent``, at most one fewer than there are sets.
 
     Sets of side 0 and 1 are compared with each other, and all with all where only one side occurs.
     Shingles are ordered by how rare they are here: two sets can only reach the threshold if
-    they share one of the rarest ``n - ceil(percent / 100 * n) + 1`` of theirs. Sets that are linked already
-    are not compared.
+    they share one of the rarest ``n - ceil(percent / 100 * n) + 1`` of theirs. Sets that are linked already,
+    among them those of equal ``joined``, are not compared.
     """
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -148,7 +150,8 @@ def join_sets(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent
     starts = np.concatenate([[0], np.cumsum(sizes)])
     elements = [np.sort(rank[codes[starts[i] : starts[i + 1]]]) for i in range(n)]
     both = len(np.unique(side)) > 1
-    root, postings, found = np.arange(n), {}, []
+    root = np.arange(n) if joined is None else np.unique(joined, return_inverse=True)[1]
+    postings, found = {}, []
     mark = np.zeros(len(counts), bool)
     for i in range(n):
         e = elements[i]
@@ -178,12 +181,39 @@ def _block_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         sets = table.column("shingles").combine_chunks()
         ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
-        pairs = join_sets(table.column("id").to_numpy(), table.column("side").to_numpy(), [flat[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)], percent)
+        pairs = join_sets(table.column("id").to_numpy(), table.column("side").to_numpy(), [flat[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)], percent, table.column("component").to_numpy())
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
+def _apart(crowd: DataFrame, confirmed: DataFrame, brief: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between members of large buckets that ``confirmed`` leaves apart, None if there are no large buckets.
+
+    What is one component already needs no comparison. The rest is taken together by the left half of its buckets: those outside the
+    largest component there are compared with all others, in pairs of blocks of bounded size, on whole sets.
+    """
+    if crowd.isEmpty():
+        return None
+    spot = ["i", "x"]
+    named = crowd.select("id", *spot).distinct().join(components(confirmed), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = named.join(brief.select("id", "n_shingles"), "id")
+    blocks = lambda n, w: F.ceil(n / BLOCK + w / BLOCK_SHINGLES).cast("int")
+    sizes = members.groupBy(*spot, "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    per = sizes.groupBy(*spot).agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("parts > 1")
+    per = per.select(*spot, F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("others"))
+    members = cut(hub_join(members.drop("n_shingles"), per, *spot))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rest, main = members.where("component <> main"), members.where("component = main")
+    columns = ["id", "component", *spot]
+    x = rest.select(*columns, F.lit(0).alias("kind"), own("others").alias("b1"), each("mains").alias("b2"), F.lit(0).alias("side"))
+    y = main.select(*columns, F.lit(0).alias("kind"), each("others").alias("b1"), own("mains").alias("b2"), F.lit(1).alias("side"))
+    z = rest.withColumn("own", own("others")).withColumn("other", each("others")).select(*columns, F.lit(1).alias("kind"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    placed = x.unionByName(y).unionByName(z).join(sets.withColumnRenamed("doc_id", "id"), "id")
+    return placed.groupBy(*spot, "kind", "b1", "b2").applyInArrow(_block_links(percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor: Tensor | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs``.
 
@@ -207,15 +237,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     # Tables of the left halves come first: what no other document shares there is in no bucket of a pair of halves.
     left = nodes.select("id", F.posexplode("lefts").alias("i", "x"))
     common = left.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "x")
-    shared_halves = left.join(common, ["i", "x"]).groupBy("id").agg(F.collect_list(F.struct("i", "x")).alias("halves"))
+    shared_halves = hub_join(left, common, "i", "x").groupBy("id").agg(F.collect_list(F.struct("i", "x")).alias("halves"))
     halves = shared_halves.join(nodes.select("id", "rights"), "id").select("id", "rights", F.inline("halves"))
     cells = halves.select("id", "i", "x", F.posexplode("rights").alias("j", "y")).select("id", "i", "x", F.xxhash64("i", "x", "j", "y").alias("key"))
     counts = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = cut(cells.join(counts, "key"))
+    cells = cut(hub_join(cells, counts, "key"))
 
     lists = cells.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
-    heads = lists.select("ids", F.posexplode("ids").alias("p", "a"))
-    pairs = heads.select("a", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("b")).distinct()
+    firsts = lists.select("ids", F.posexplode("ids").alias("p", "a"))
+    pairs = firsts.select("a", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("b")).distinct()
     brief = nodes.select("id", "n_shingles", "sketch")
     a = brief.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     b = brief.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -223,31 +253,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     hashes, share = 2 * tensor.rows * tensor.half, percent / 100
     least = int(hashes * share - 5.6 * (hashes * share * (1 - share)) ** 0.5)
     agree = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(a, "a").join(b, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree >= least)).select("a", "b")
+    # A large bucket is compared with its heads, the first of its members in a few orders that all buckets share: pairs grow in proportion to the members.
+    crowd = cut(cells.where(F.col("n") > SMALL).select("id", "i", "x", "key"))
+    orders = [F.col("id") if k == 0 else F.xxhash64("id", F.lit(k)) for k in range(HEADS)]
+    heads = crowd.groupBy("key").agg(F.array(*[F.min_by("id", o) for o in orders]).alias("heads"))
+    headed = hub_join(crowd.select("id", "key"), heads, "key").select("id", F.explode("heads").alias("head")).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    pairs = pairs.unionByName(headed).distinct().join(a, "a").join(b, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree >= least)).select("a", "b")
     pairs = cut(pairs)
 
-    crowd = cells.where(F.col("n") > SMALL).select("id", "i", "x").distinct()
-    blocks = crowd.groupBy("i", "x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    crowd = cut(crowd.join(blocks, ["i", "x"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct()
     sets = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(_shingle_sets(width, bitmap(wanted)), "doc_id bigint, shingles array<bigint>"))
 
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-    confirmed = pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    # A large bucket is compared in pairs of blocks, which bounds a task's rows.
-    placed = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "i", "x", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    members = placed.join(sets.withColumnRenamed("doc_id", "id"), "id")
-    within = members.groupBy("i", "x", "b1", "b2").applyInArrow(_block_links(percent), "a bigint, b bigint")
+    confirmed = cut(pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    within = _apart(crowd, confirmed, brief, sets, percent)
 
     # A document that occurs with several texts belongs to each one's class.
     several = usable.groupBy("doc_id").agg(F.min("cls").alias("c1"), F.max("cls").alias("c2")).where("c1 <> c2").select("doc_id")
     same = usable.select("doc_id", "cls").join(several, "doc_id", "left_semi").join(classes, "cls").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    found = components(confirmed.unionByName(within).unionByName(same)).select(F.col("id").alias("rep"), "component")
+    found = components(confirmed.unionByName(same) if within is None else confirmed.unionByName(within).unionByName(same)).select(F.col("id").alias("rep"), "component")
     home = classes.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("cls")).alias("cls"))
     alone = rows.where(F.col("cls").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -258,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor: Tensor | None = None) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
-    Of rows that repeat an id one stays; rows with a null id stay. Only rows whose bit is set among the ids to drop are moved
+    Of rows that repeat an id the one whose text has the smallest hash stays; rows with a null id stay. Only rows whose bit is set among the ids to drop are moved
     to be compared with those ids.
     """
     groups = near_duplicates(docs, width, percent, tensor)
@@ -270,5 +297,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ten
     rows = rows.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part", "left")
     at = "bitmap_bit_position(bit)"
     rows = rows.withColumn("set", F.expr(f"coalesce(shiftright(cast(conv(hex(substring(bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1, 0) = 1"))
-    maybe = rows.where("set").select("doc_id", "row").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return rows.where("not set").select("row.*").unionByName(maybe.select("row.*"))
+    maybe = rows.where("set and doc_id is not null").select("doc_id", "row").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return rows.where("not set or doc_id is null").select("row.*").unionByName(maybe.select("row.*"))

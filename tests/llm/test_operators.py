@@ -323,27 +323,87 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1
 
 
-def test_fingerprint_entries(spark):
-    def brute(text, k=3, ell=2, bins=64):
-        tokens = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
-        return len(tokens), len({tuple(tokens[i : i + k]) for i in range(max(1, len(tokens) - k + 1))})
+def _hash(*values):
+    """Spark's xxhash64 of strings, longs and ints."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack(*v), seed)
+    return seed
+
+
+def _order_minhash(text, k=3, ell=2, bins=64, bits=24):
+    """Order MinHash by definition: for each bin the smallest numbered k-mers of it or, circularly, the bins after it, hashed in text order."""
+    tokens = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
+    if not tokens:
+        return []
+    rank = 63 - bits - max(1, (bins - 1).bit_length())
+    seen, found = {}, []
+    for i in range(max(1, len(tokens) - k + 1)):
+        kmer = _hash(*tokens[i : i + k]) & ((1 << (63 - bits)) - 1)
+        seen[kmer] = seen.get(kmer, -1) + 1
+        h = _hash(("<q", kmer), ("<i", seen[kmer]))
+        signed = h - (1 << 64) if h >> 63 else h
+        found.append((signed % bins, (h >> 20) & ((1 << rank) - 1), i))
+    found.sort()
+    # Of a bin only its own smallest are ever taken.
+    kept = [x for n, x in enumerate(found) if n < ell or found[n - ell][0] != x[0]]
+    out = []
+    for b in range(bins):
+        at = next((n for n, x in enumerate(kept) if x[0] >= b), 0)
+        taken = [kept[(at + j) % len(kept)] for j in range(min(ell, len(kept)))]
+        h = _hash(*[("<q", x[0] << rank | x[1]) for x in sorted(taken, key=lambda x: (x[2], x[:2]))])
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
+
+
+def test_fingerprints_against_definition(spark):
+    rng = random.Random(12)
+    texts = ["", " \n", "x", "x y", "x y z", "z y x", "la " * 10, "la " * 11, "ab " * 700, *[words(rng, n, "abc") for n in (4, 20, 66, 130, 900)], words(rng, 5) + "y" * 100]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for k, ell, bins in ((3, 2, 64), (2, 3, 100), (3, 1, 1)):
+        got = [list(r[0]) for r in rows.select(fingerprint.order_minhash(F.col("text"), k, ell, bins)).collect()]
+        assert got == [_order_minhash(t, k, ell, bins) for t in texts]
+    tokens = [F.split(F.lit(words(rng, 40)), " ")]
+    assert spark.range(1).select(fingerprint._of_tokens(tokens[0], 3, 2, 64, fingerprint.POSITION_LONG)).first()[0]
+
 
-    a = "la la la la la la la la la la"
-    b = "la la la la la la la la la la la"
-    rows = spark.createDataFrame([(a,), (b,), ("x y z",), ("z y x",)], "text string").select("text", fingerprint.order_minhash(F.col("text")).alias("p")).collect()
-    # Ten equal words give eight 3-mers that differ by occurrence: more than one entry, and all of them in the longer text's reach.
-    assert brute(a)[1] == 1 and len(rows[0]["p"]) > 3 and rows[0]["p"] != rows[1]["p"]
-    assert len(rows[2]["p"]) == 1 and rows[2]["p"] != rows[3]["p"]
+def test_fingerprints_see_order(spark):
+    """Passages of short texts that change places change the fingerprint, though the k-mers hardly change."""
+    rng = random.Random(13)
+    texts = [words(rng, n).split() for n in (20, 40, 66) for _ in range(20)]
+    rows = [(" ".join(t), " ".join(t[len(t) // 2 :] + t[: len(t) // 2]), " ".join([*t[:-1], "zzz"])) for t in texts]
+    prints = [fingerprint.order_minhash(F.col(c)).alias(c) for c in "abc"]
+    got = spark.createDataFrame(rows, "a string, b string, c string").select(*prints).select(fingerprint.likeness(F.col("a"), F.col("b")), fingerprint.likeness(F.col("a"), F.col("c"))).collect()
+    moved, changed = (sum(r[i] for r in got) / len(got) for i in (0, 1))
+    assert moved < 0.65 < 0.8 < changed
 
 
 def test_occurrences(spark):
     rng = random.Random(12)
     hashes = sorted(rng.choice([3, 5, 9, 11]) for _ in range(300))
     packed = [h << fingerprint.POSITION | i for i, h in enumerate(hashes)]
-    got = spark.createDataFrame([(packed,)], "p array<bigint>").select(fingerprint._occurrences(F.col("p"))).first()[0]
+    got = spark.createDataFrame([(packed,)], "p array<bigint>").select(fingerprint._occurrences(F.col("p"), fingerprint.POSITION)).first()[0]
     assert got == [i - hashes.index(h) for i, h in enumerate(hashes)]
 
 
+def test_neighbours_in_ranges(spark, monkeypatch):
+    """However the rows are dealt to ranges, each is followed by the next one, hot and null ids included."""
+    rng = random.Random(14)
+    data = [(rng.choice([None, 7, 7, rng.randrange(100), rng.randrange(-(10**15), 10**15)]), words(rng, 3)) for _ in range(600)]
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    signed = lambda h: h >> 1
+    order = sorted(data, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), signed(_hash(r[1])), r[1]))
+    want = sorted((str(i), t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order))
+    for size in (64 << 20, 16):
+        monkeypatch.setattr(fingerprint, "RANGE_BYTES", size)
+        got = fingerprint.with_next(table, "text", {}).select("doc_id", "text", "next.text").collect()
+        assert sorted((str(r[0]), r[1], r[2]) for r in got) == want
+
+
 # URL rules
 
 
