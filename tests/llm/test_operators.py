@@ -13,6 +13,7 @@ import pytest
 import sentencepiece
 
 from affinis.llm import crf, fingerprint, langid, minhash, mixing, multiindex, pieces, secretscan, sharding, toxicity, urlrules
+from affinis.llm.runtime import cut
 from pyspark.sql import functions as F
 
 MODEL = Path("/opt/tokenizers/piece_bpe_32k.model")
@@ -243,6 +244,28 @@ def test_near_duplicates(spark, monkeypatch, width, percent, small):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_crowd_apart(spark, monkeypatch):
+    """A large group of copies about the threshold: heads leave some apart, blocks find the rest."""
+    rng = random.Random(8)
+    base, texts = words(rng, 60).split(), []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append(" ".join(w))
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HEADS", 1)
+    called = []
+    blocks = minhash._apart
+    monkeypatch.setattr(minhash, "_apart", lambda *a: called.append(cut(blocks(*a))) or called[-1])
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = _components(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < 100
+    assert called[0].count() > 0
+
+
 def test_set_join():
     rng = random.Random(7)
     base = [rng.sample(range(200), 30) for _ in range(6)]
