@@ -245,24 +245,30 @@ def test_near_duplicates(spark, monkeypatch, width, percent, small):
 
 
 def test_crowd_apart(spark, monkeypatch):
-    """Copies that drift away from one another: heads leave most apart, blocks find the rest."""
+    """Copies that drift away from one another: blocks alone find the links that heads leave out."""
     rng = random.Random(8)
     texts, w = [], words(rng, 80).split()
     for i in range(150):
         for _ in range(4 if i % 25 == 24 else 1):
             w[rng.randrange(len(w))] = words(rng, 1)
         texts.append(" ".join(w))
-    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "SMALL", 0)
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "HEADS", 1)
-    called = []
-    blocks = minhash._apart
-    monkeypatch.setattr(minhash, "_apart", lambda *a: called.append(cut(blocks(*a))) or called[-1])
+    links, apart = [], minhash._apart
+
+    def blocks_alone(crowd, confirmed, *rest):
+        """What blocks find if heads have found nothing but a few links."""
+        links.append([tuple(r) for r in confirmed.where("a < 9").collect()])
+        found = cut(apart(crowd, confirmed.where("a < 9"), *rest))
+        links.append([tuple(r) for r in found.collect()])
+        return found
+
+    monkeypatch.setattr(minhash, "_apart", blocks_alone)
     sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
     want = _components(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), 3, 85).collect()}
     assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < 100
-    assert called[0].count() > 0
+    assert links[0] and len(links[1]) > 50 and _components(len(texts), links[0] + links[1]) == want
 
 
 def test_set_join():
