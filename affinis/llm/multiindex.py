@@ -4,7 +4,9 @@ Each half of a unit vector has a codebook of its own; the product of both codebo
 cells. A vector lies in the cell of its two nearest centroids and visits cells in multi-sequence order,
 by rising lower bound of the distance that a vector there can have. The traversal ends where that bound
 exceeds the distance of the similarity threshold, so that the target recall of 1 is reached by
-construction; every candidate is then verified in double precision.
+construction; every candidate is then verified in double precision. Of two cells only the lower one's vectors visit the other.
+The codebooks grow with the square root of the number of vectors. Vectors are moved to the rows of the grid that they visit, once for each
+row and block there.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .graph import components
+from .graph import components, hub_join
 from .runtime import cut, drawn
 
 #: Rows of which the codebooks are fitted; all rows are indexed.
-SAMPLE = 4096
+SAMPLE = 8192
+#: Vectors of a cell, about, and most entries of a codebook.
+CELL, MOST = 64, 512
 #: Vectors of a task's block, on either side.
 BLOCK = 1024
 
@@ -73,7 +77,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _place(codebooks, limit: float):
+def _place(codebooks, limit: float, vector: pa.DataType):
+    """Each vector's own cell ``(a, b)``, and for each row of the grid from ``a`` on the columns that it visits there."""
+    visit = pa.list_(pa.struct([("i", pa.int32()), ("js", pa.list_(pa.int32()))]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
@@ -81,52 +88,79 @@ def _place(codebooks, limit: float):
                 part = batch.filter(pa.array(widths == width))
                 x = _matrix(part.column(3))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                a, b = codebooks[int(width)]
-                (home_a, low_a), (home_b, low_b) = _bounds(x[:, : width // 2], a), _bounds(x[:, width // 2 :], b)
-                cells = [[i * len(b) + j for i, j in multi_sequence(p, q, limit)] for p, q in zip(low_a, low_b, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home_a * len(b) + home_b, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["id", "label", "copies", "vector", "cell", "visits"])
+                half = int(width) // 2
+                first, second = codebooks.get(int(width)) or (np.zeros((1, half)), np.zeros((1, int(width) - half)))
+                (home_a, low_a), (home_b, low_b) = _bounds(x[:, :half], first), _bounds(x[:, half:], second)
+                visits = []
+                for own, p, q in zip(zip(home_a.tolist(), home_b.tolist(), strict=True), low_a, low_b, strict=True):
+                    rows: dict[int, list[int]] = {}
+                    for i, j in multi_sequence(p, q, limit):
+                        if (i, j) >= own:
+                            rows.setdefault(i, []).append(j)
+                    visits.append([{"i": i, "js": js} for i, js in rows.items()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(3).cast(vector), pa.array(home_a, pa.int32()), pa.array(home_b, pa.int32()), pa.array(visits, visit)], ["id", "label", "copies", "vector", "a", "b", "visits"])
 
     return run
 
 
+def joined(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For ``n`` points, the least one that links ``(p, q)`` reach from each."""
+    label = np.arange(n)
+    while len(p):
+        least = np.minimum(label[p], label[q])
+        before = label.copy()
+        np.minimum.at(label, p, least)
+        np.minimum.at(label, q, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+_LINK = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
+
+
 def _compare(threshold: float):
+    """Links between the vectors that visit a row of the grid and those that lie there, as counts and a forest."""
+
     def run(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return _LINK.empty_table()
         q, v = _matrix(asked.column("vector")), _matrix(held.column("vector"))
-        if not len(q) or not len(v):
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        ids, others, copies = asked.column("id").to_numpy(), held.column("id").to_numpy(), held.column("copies").to_numpy()
-        near = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)) >= threshold
-        near &= ids[:, None] != others
-        n = near @ copies.astype(np.float64)
-        some = np.flatnonzero(n)
-        # Links of this block as a forest: one row for each vector at most, plus those that join what is still apart.
-        first = others[near[some].argmax(1)] if len(some) else some
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = x = root[up]
-            return x
-
-        rows = []
-        for r, i in enumerate(some.tolist()):
-            rows.append((int(ids[i]), int(n[i]), int(first[r])))
-            root[find(int(ids[i]))] = find(int(first[r]))
-        for i in some.tolist():
-            for j in others[near[i]].tolist():
-                if (x := find(int(ids[i]))) != (y := find(int(j))):
-                    root[x] = y
-                    rows.append((int(ids[i]), 0, int(j)))
-        return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "other": pa.array([r[2] for r in rows], pa.int64())})
+        q_norm, v_norm = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
+        q_ids, v_ids, v_cell = asked.column("id").to_numpy(), held.column("id").to_numpy(), held.column("b").to_numpy()
+        js = asked.column("js").combine_chunks()
+        visitor, column = np.repeat(np.arange(len(q)), js.value_lengths().to_numpy()), js.flatten().to_numpy()
+        ps, vs = [], []
+        for j in np.unique(v_cell):
+            some, here = visitor[column == j], np.flatnonzero(v_cell == j)
+            if len(some):
+                near = (q[some] @ v[here].T) / (q_norm[some][:, None] * v_norm[here]) >= threshold
+                near &= q_ids[some][:, None] != v_ids[here]
+                x, y = np.nonzero(near)
+                ps.append(some[x])
+                vs.append(here[y])
+        p, r = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (ps, vs))
+        if not len(p):
+            return _LINK.empty_table()
+        ids, at = np.unique(np.concatenate([q_ids, v_ids]), return_inverse=True)
+        own, other = at[: len(q)], at[len(q) :]
+        # Vectors of one cell meet twice; others once, which counts for both.
+        same = (asked.column("a").to_numpy()[p] == key[2].as_py()) & (asked.column("b").to_numpy()[p] == v_cell[r])
+        n = np.bincount(own[p], weights=held.column("copies").to_numpy()[r], minlength=len(ids))
+        n += np.bincount(other[r[~same]], weights=asked.column("copies").to_numpy()[p[~same]], minlength=len(ids))
+        label = joined(len(ids), own[p], other[r])
+        some = np.flatnonzero((n > 0) | (label != np.arange(len(ids))))
+        return pa.table([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(ids[label[some]])], schema=_LINK)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, centroids: int = 24, sample: int = SAMPLE, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, centroids: int | None = None, sample: int = SAMPLE, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors``.
 
     Vectors are linked if their labels are equal and not null and their cosine is at least ``threshold``.
-    Codebooks of ``centroids`` entries for each half are fitted on up to ``sample`` rows, all rows are
+    Codebooks of ``centroids`` entries for each half, or as many as give cells of about ``CELL`` vectors, are fitted on up to ``sample`` rows, all rows are
     indexed. Equal vectors of a label are compared once, with their number. ``n_links`` counts other rows
     linked directly; ``component_id`` is the smallest id that links reach.
 
@@ -139,28 +173,31 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, centroids: int = 2
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(good, F.col("vector"))).withColumn("code", F.when(good, F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)))
     classes = cut(rows.where(F.col("code").isNotNull()).groupBy("label", "code").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")))
-    # Ids may repeat with other vectors, so a class has a number of its own within this job.
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    # Ids may repeat with other vectors, so a class has a number of its own within this job. Floats are moved as floats.
+    kind = "float" if dict(vectors.dtypes)[vector_column] == "array<float>" else "double"
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("vector", F.col("vector").cast(f"array<{kind}>")))
+    k = centroids or min(MOST, max(2, round((classes.count() / CELL) ** 0.5)))
     taken = drawn(classes, sample, "code").select("vector").collect()
     codebooks = {}
-    for width in {len(r.vector) for r in taken} | {r.w for r in classes.select(F.size("vector").alias("w")).distinct().limit(1000).collect()}:
-        x = np.array([r.vector for r in taken if len(r.vector) == width], np.float64).reshape(-1, width)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((1, width))
-        codebooks[width] = (k_means(x[:, : width // 2], centroids), k_means(x[:, width // 2 :], centroids, 1))
+    for width in {len(r.vector) for r in taken}:
+        x = np.array([r.vector for r in taken if len(r.vector) == width], np.float64)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        codebooks[width] = (k_means(x[:, : width // 2], k), k_means(x[:, width // 2 :], k, 1))
     limit = (2 - 2 * threshold) * (1 + 1e-9) + 1e-9
-    placed = cut(classes.select("id", "label", "copies", "vector").mapInArrow(_place(codebooks, limit), "id bigint, label string, copies bigint, vector array<double>, cell bigint, visits array<bigint>"))
+    schema = f"id bigint, label string, copies bigint, vector array<{kind}>, a int, b int, visits array<struct<i:int,js:array<int>>>"
+    placed = cut(classes.select("id", "label", "copies", "vector").mapInArrow(_place(codebooks, limit, pa.list_(pa.float32() if kind == "float" else pa.float64())), schema).withColumn("width", F.size("vector")))
 
-    visits = placed.select("id", "label", F.size("vector").alias("width"), F.explode("visits").alias("cell"))
-    spot = ["label", "width", "cell"]
-    held = placed.withColumn("width", F.size("vector")).groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("v_blocks"))
-    asked = visits.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q_blocks"))
-    grid = cut(held.join(asked, spot))
+    spot = ["label", "width", "i"]
+    brief = placed.select("id", "label", "width", F.explode("visits.i").alias("i"))
+    blocks = lambda rows, name: rows.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    grid = cut(blocks(placed.withColumn("i", F.col("a")), "v_blocks").join(blocks(brief, "q_blocks"), spot))
     part = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    q = visits.join(grid, spot).withColumn("q", part("q_blocks")).withColumn("v", each("v_blocks")).join(placed.select("id", "vector"), "id").select(*spot, "q", "v", "id", "vector")
-    v = placed.withColumn("width", F.size("vector")).join(grid, spot).withColumn("v", part("v_blocks")).withColumn("q", each("q_blocks")).select(*spot, "q", "v", "id", "copies", "vector")
+    asked = placed.select("id", "label", "width", "copies", "vector", "a", "b", F.inline("visits"))
+    q = hub_join(asked, grid, *spot).withColumn("q", part("q_blocks")).withColumn("v", each("v_blocks"))
+    v = hub_join(placed.withColumn("i", F.col("a")), grid, *spot).withColumn("v", part("v_blocks")).withColumn("q", each("q_blocks"))
     at = [*spot, "q", "v"]
-    q, v = q.toDF(*q.columns), v.toDF(*v.columns)
+    q, v = q.select(*at, "id", "js", "copies", "vector", "a", "b").toDF(*at, "id", "js", "copies", "vector", "a", "b"), v.select(*at, "id", "b", "copies", "vector").toDF(*at, "id", "b", "copies", "vector")
     links = cut(q.groupBy(*at).cogroup(v.groupBy(*at)).applyInArrow(_compare(threshold), "id bigint, n bigint, other bigint"))
 
     totals = links.groupBy("id").agg(F.sum("n").alias("n"))
