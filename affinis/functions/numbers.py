@@ -27,10 +27,13 @@ def factor_pairs(n: Column) -> Column:
 
 
 def prime_factors(n: Column) -> Column:
-    """Prime factors with multiplicity, ascending."""
-    primes = F.filter(F.sequence(F.lit(2).cast("bigint"), F.greatest(n.cast("bigint"), F.lit(2).cast("bigint"))), lambda d: (n % d == 0) & is_prime(d))
-    powers = F.transform(primes, lambda p: F.transform(F.filter(F.sequence(F.lit(1), F.lit(62)), lambda e: F.pow(p.cast("double"), e) <= n), lambda e: F.when(n % F.pow(p.cast("double"), e).cast("bigint") == 0, p)))
-    return F.array_compact(F.flatten(powers))
+    """Prime factors with multiplicity, ascending: those up to the root, and what is left of ``n`` without them."""
+    n = n.cast("bigint")
+    one, two = F.lit(1).cast("bigint"), F.lit(2).cast("bigint")
+    primes = F.filter(F.sequence(two, F.greatest(F.floor(F.sqrt(n)).cast("bigint"), two)), lambda d: (n % d == 0) & is_prime(d))
+    powers = F.flatten(F.transform(primes, lambda p: F.filter(F.transform(F.sequence(F.lit(1), F.lit(62)), lambda e: F.when((F.pow(p.cast("double"), e) <= n) & (n % F.pow(p.cast("double"), e).cast("bigint") == 0), p)), lambda x: x.isNotNull())))
+    left = lambda found: F.aggregate(found, n, lambda m, p: F.floor(m / p).cast("bigint"))
+    return F.transform(F.array(powers), lambda found: F.when(left(found) > one, F.array_append(found, left(found))).otherwise(found))[0]
 
 
 def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, Column]:

@@ -62,3 +62,22 @@ def source_of(uri: Column) -> Column:
 def content_ids(content: Column) -> dict[str, Column]:
     """Hashes that identify a content; the SHA-1 is an element's id."""
     return {"uid": F.sha1(content), "md5": F.md5(content), "sha512": F.sha2(content, 512)}
+
+
+def random_characters(n: int, *seed: Column, letters: str = "abcdefghijklmnopqrstuvwxyz0123456789") -> Column:
+    """``n`` characters that follow from ``seed``: the same seed gives the same ones."""
+    return F.concat(*[F.substring(F.lit(letters), (F.crc32(F.concat_ws(":", *[s.cast("string") for s in seed], F.lit(str(i)))) % len(letters)).cast("int") + 1, F.lit(1)) for i in range(n)])
+
+
+def json_list(text: Column) -> Column:
+    """Strings of a JSON list; fails on what is no list, null stays null."""
+    trimmed = F.trim(text)
+    whole = trimmed.startswith("[") & trimmed.endswith("]")
+    parsed = F.from_json(text, "array<string>")
+    return F.when(text.isNull(), F.lit(None).cast("array<string>")).when(whole & parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit("not a JSON list")))
+
+
+def detection_uid(uid: Column, low: Column, high: Column, labels: Column) -> Column:
+    """Id of a detection: SHA-1 of its element's uid, its box and its labels in order."""
+    corners = F.array_join(F.transform(F.concat(low, high), lambda x: F.format_string("%.6f", x.cast("double"))), ",")
+    return F.sha1(F.concat_ws("|", uid, corners, F.array_join(F.array_sort(labels), ",")))

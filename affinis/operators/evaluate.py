@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from affinis.functions import numbers
 
+from . import knn
+
 
 def argmax_label(scores: DataFrame) -> DataFrame:
     """``(uid, label, score)`` of ``(uid, scores MAP)``: the greatest score, of equal ones the first label by name."""
@@ -16,7 +18,7 @@ def argmax_label(scores: DataFrame) -> DataFrame:
 def confusion(pairs: DataFrame) -> DataFrame:
     """``(truth, predicted, n)`` with a row for each pair of the labels that occur on either side."""
     labels = pairs.select(F.col("truth").alias("label")).union(pairs.select("predicted")).distinct()
-    cells = labels.select(F.col("label").alias("truth")).crossJoin(F.broadcast(labels.select(F.col("label").alias("predicted"))))  # labels, not rows
+    cells = labels.select(F.col("label").alias("truth")).crossJoin(labels.select(F.col("label").alias("predicted")))  # labels, not rows
     counts = pairs.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
     return cells.join(counts, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
@@ -31,16 +33,32 @@ def confusion_uids(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("truth", "predicted").agg(F.sort_array(F.collect_list("uid")).alias("uids"))
 
 
+#: Parts of a numeric order, between quantiles.
+PARTS = 200
+
+
+def quantile_parts(rows: DataFrame, by: list[str], column: str, parts: int = PARTS) -> DataFrame:
+    """``rows`` with ``_at``, the number of the part of ``column``'s order, between approximate quantiles within ``by``; equal values share a part."""
+    bounds = rows.groupBy(*by).agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000).alias("_bounds"))
+    joined = rows.join(bounds, by) if by else rows.crossJoin(F.broadcast(bounds))  # without ``by`` one row
+    return joined.withColumn("_at", F.size(F.filter("_bounds", lambda b: b < F.col(column)))).drop("_bounds")
+
+
 def cumulative(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``(score, p, n, tp, fp, all_p, all_n)`` by distinct score, descending, of ``(score, truth 0/1)`` rows.
 
-    The running sums are over distinct scores, which one aggregate has made few before they meet.
+    Sums by part of the scores' order go before running sums within a part, so that many distinct scores are not in one task.
     """
     by = by or []
     steps = scored.groupBy(*by, "score").agg(F.sum("truth").cast("bigint").alias("p"), F.sum(1 - F.col("truth")).cast("bigint").alias("n"))
+    steps = quantile_parts(steps, by, "score")
+    totals = steps.groupBy(*by, "_at").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    run = whole.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return steps.select(*by, "score", "p", "n", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    before = whole.orderBy(F.col("_at").desc()).rowsBetween(W.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    totals = totals.select(*by, "_at", earlier("_p").alias("_tp"), earlier("_n").alias("_fp"), F.sum("_p").over(whole).alias("all_p"), F.sum("_n").over(whole).alias("all_n"))
+    run = W.partitionBy(*by, "_at").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    return steps.join(totals, [*by, "_at"]).select(*by, "score", "p", "n", (F.col("_tp") + F.sum("p").over(run)).alias("tp"), (F.col("_fp") + F.sum("n").over(run)).alias("fp"), "all_p", "all_n")
 
 
 def _share(a: str, b: str) -> Column:
@@ -64,9 +82,10 @@ def pr_curve(scored: DataFrame, by: list[str] | None = None, digits: int = 6) ->
 
 def pr_auc(scored: DataFrame, by: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from recall 0 at precision 1."""
+    # What stands one score above follows from the sums without this score's own.
     c = cumulative(scored, by).withColumn("r", _share("tp", "all_p")).withColumn("q", F.col("tp") / (F.col("tp") + F.col("fp")))
-    order = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.col("score").desc())
-    c = c.withColumn("r0", F.coalesce(F.lag("r").over(order), F.lit(0.0))).withColumn("q0", F.coalesce(F.lag("q").over(order), F.lit(1.0)))
+    tp, all_ = F.col("tp") - F.col("p"), F.col("tp") + F.col("fp") - F.col("p") - F.col("n")
+    c = c.withColumn("r0", F.when(F.col("all_p") > 0, tp / F.col("all_p")).otherwise(0.0)).withColumn("q0", F.when(all_ > 0, tp / all_).otherwise(1.0))
     return c.groupBy(*(by or [])).agg(F.round(F.sum((F.col("r") - F.col("r0")) * (F.col("q") + F.col("q0")) / 2), digits).alias("auc"))
 
 
@@ -119,8 +138,8 @@ def bag_of_words(quantised: DataFrame, bins: int, digits: int = 6) -> DataFrame:
 
 def pyramid(quantised: DataFrame, digits: int = 6) -> DataFrame:
     """``(item, region, bin, share)`` of ``(item, x, y, bin)``: the whole (0), quadrants (1-4) and horizontal thirds (5-7)."""
-    mx, my = F.max("x").over(W.partitionBy("item")), F.max("y").over(W.partitionBy("item"))
-    placed = quantised.withColumn("mx", F.ceil(mx / 2)).withColumn("my", F.ceil(my / 2)).withColumn("third", F.ceil(my / 3))
+    sizes = quantised.groupBy("item").agg(F.ceil(F.max("x") / 2).alias("mx"), F.ceil(F.max("y") / 2).alias("my"), F.ceil(F.max("y") / 3).alias("third"))
+    placed = quantised.join(sizes, "item")
     quadrant = F.lit(1) + (F.col("x") >= F.col("mx")).cast("int") + 2 * (F.col("y") >= F.col("my")).cast("int")
     band = F.lit(5) + F.least(F.floor(F.col("y") / F.greatest(F.col("third"), F.lit(1))), F.lit(2)).cast("int")
     rows = placed.select("item", "bin", F.explode(F.array(F.lit(0), quadrant, band)).alias("region")).groupBy("item", "region", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -144,27 +163,53 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return n.select("label", "part", "n", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy("label")), 6).alias("percent"))
 
 
-def hash_order(column: str = "uid", seed: int = 0) -> Column:
-    """A random order that SQL engines share: the MD5 of seed and id."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")))
+def ranked(rows: DataFrame, by: list[str], order: list[Column], part: Column) -> DataFrame:
+    """``rows`` with ``rank`` from 1 in ``order`` within ``by``, and ``all``, the number of rows there.
+
+    ``part`` is a number that grows with the order and takes few values: a small table of counts by part is summed up, and only the rows of one part
+    are ordered together.
+    """
+    placed = rows.withColumn("_part", part)
+    counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*by, "_part", before.alias("_before"), F.sum("_n").over(whole).alias("all"))
+    rank = F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order)) + F.col("_before")
+    return placed.join(starts, [*by, "_part"]).withColumn("rank", rank).drop("_part", "_before")
+
+
+def _hashed(rows: DataFrame, by: list[str], seed: int) -> DataFrame:
+    order = knn.hash_order(seed=seed)
+    return ranked(rows, by, [order, F.col("uid")], F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
 
 
 def stratified_folds(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``fold`` from 0 to ``k - 1``, dealt round within each label in a seeded order."""
-    rank = F.row_number().over(W.partitionBy("label").orderBy(hash_order(seed=seed), "uid"))
-    return rows.withColumn("fold", ((rank - 1) % k).cast("int"))
+    return _hashed(rows, ["label"], seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).select(*rows.columns, "fold")
 
 
 def stratified_split(rows: DataFrame, test_share: float, seed: int = 0) -> DataFrame:
     """``part`` train or test, with the rounded share of each label in test."""
-    own = W.partitionBy("label")
-    rank, n = F.row_number().over(own.orderBy(hash_order(seed=seed), "uid")), F.count(F.lit(1)).over(own)
-    return rows.withColumn("part", F.when(rank <= F.round(n * test_share), "test").otherwise("train"))
+    return _hashed(rows, ["label"], seed).withColumn("part", F.when(F.col("rank") <= F.round(F.col("all") * test_share), "test").otherwise("train")).select(*rows.columns, "part")
 
 
 def size_ranked_split(members: DataFrame, group: str, parts: tuple[str, ...] = ("train1", "train2", "train3", "test")) -> DataFrame:
-    """Groups by size and id, descending, are dealt round to ``parts``; members follow their group."""
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("size").desc(), F.col(group).desc()))
-    part = F.element_at(F.array(*[F.lit(p) for p in parts]), ((rank - 1) % len(parts) + 1).cast("int"))
-    return members.join(sizes.select(group, part.alias("part")), group)
+    """Groups by size and numeric id, descending, are dealt round to ``parts``; members follow their group."""
+    sizes = quantile_parts(members.groupBy(group).agg(F.count(F.lit(1)).alias("size")), [], group)
+    order = ranked(sizes, [], [F.col(group).desc()], F.struct(-F.col("size"), -F.col("_at")))
+    part = F.element_at(F.array(*[F.lit(p) for p in parts]), ((F.col("rank") - 1) % len(parts) + 1).cast("int"))
+    return members.join(order.select(group, part.alias("part")), group)
+
+
+def cross_validated(rows: DataFrame, fit, k: int = 5, seed: int = 0) -> DataFrame:
+    """``(uid, truth_label, scores, fold)``: each row of ``(uid, vector, label)`` is scored by a model fitted on the other folds.
+
+    ``fit`` gives a model with ``scores(vector)`` for ``(vector, label)`` rows.
+    """
+    folds = stratified_folds(rows.select("uid", "vector", "label"), k, seed)
+    out = None
+    for fold in range(k):
+        model = fit(folds.where(F.col("fold") != fold).select("vector", "label"))
+        one = folds.where(F.col("fold") == fold).select("uid", F.col("label").cast("string").alias("truth_label"), model.scores(F.col("vector")).alias("scores"), "fold")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -17,6 +17,11 @@ from . import knn, learn
 _STATE = "role string, uid string, vector array<double>"
 
 
+def working_set(positives: DataFrame, pool: DataFrame, neighbours: int, by: str = "euclidean", digits: int | None = None) -> DataFrame:
+    """Distinct uids of the nearest pool rows of all ``positives (qid, qvector)``."""
+    return knn.nearest_batch(positives, pool, neighbours, by, digits).select("uid").distinct()
+
+
 @dataclass
 class Session:
     """One user's search over ``pool (uid, vector)``."""
@@ -71,7 +76,7 @@ class Session:
         if new := seeds - self.seeds_used:
             ids = {u for _, u in new}
             asked = self.examples(True).where(F.col("uid").isin(list(ids))).select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"))
-            near = knn.nearest_batch(asked, self.pool, self.neighbours, self.by).select("uid").distinct()
+            near = working_set(asked, self.pool, self.neighbours, self.by)
             self.working = near if self.working is None else self.working.unionByName(near).distinct()
             self.seeds_used |= new
         if self.working is None:
@@ -84,6 +89,8 @@ class Session:
             raise ValueError("the working set is empty")
         pool = self.pool.join(self.working, "uid", "left_semi").select("uid", "vector")
         ranker = ranker or learn.intersection_relevancy
+        if self.results is not None:
+            self.results.unpersist()
         self.results = ranker(pool, self.examples(True), self.examples(False)).persist()
         self.feedback = learn.margin_feedback(self.results, feedback)
         return self.results
@@ -119,6 +126,8 @@ class Session:
         pick = lambda role: [(r["uid"], r["vector"]) for r in got if r["role"] == role]
         self.positive, self.negative = {u for u, _ in pick("pos")}, {u for u, _ in pick("neg")}
         self.external_positive, self.external_negative = dict(pick("ext_pos")), dict(pick("ext_neg"))
+        if self.results is not None:
+            self.results.unpersist()
         self.working = self.results = self.feedback = None
         self.seeds_used, self.version = set(), self.version + 1
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from affinis.functions import vec
@@ -27,8 +28,28 @@ def _order(vector, centroids: list[list[float]]):
     return F.transform(F.array_sort(F.transform(table, lambda t: F.struct(vec.squared_euclidean(vector, t["c"]).alias("d"), t["cell"].alias("cell")))), lambda t: t["cell"])
 
 
+#: Centroids up to which their distances are expressions; more are compared as a matrix, in Arrow batches.
+MOST_LITERALS = 64
+
+
+def nearest_cells(rows: DataFrame, column: str, centroids: list[list[float]], n: int = 1) -> DataFrame:
+    """``rows`` with ``cells``, the numbers of the ``n`` nearest centroids of ``column``."""
+    if len(centroids) <= MOST_LITERALS:
+        return rows.withColumn("cells", F.slice(_order(F.col(column), centroids), 1, n))
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(centroids, np.float64))
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        c = shared.value
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return rows.withColumn("cells", nearest(column))
+
+
 def assign(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    return rows.withColumn("cell", _order(F.col("vector"), centroids)[0])
+    return nearest_cells(rows, "vector", centroids).withColumn("cell", F.col("cells")[0]).drop("cells")
 
 
 def search(indexed: DataFrame, queries: DataFrame, centroids: list[list[float]], n: int, probes: int = 1, by="euclidean", digits: int | None = None) -> DataFrame:
@@ -36,7 +57,7 @@ def search(indexed: DataFrame, queries: DataFrame, centroids: list[list[float]],
 
     ``indexed`` is ``(uid, vector, cell)``; stored partitioned by ``cell``, only the probed partitions are read.
     """
-    asked = queries.withColumn("cell", F.explode(F.slice(_order(F.col("qvector"), centroids), 1, probes)))
+    asked = nearest_cells(queries, "qvector", centroids, probes).withColumn("cell", F.explode("cells")).drop("cells")
     dist = knn.metric(by)(F.col("vector"), F.col("qvector"))
     found = indexed.join(asked, "cell").select("qid", "uid", (F.round(dist, digits) if digits else dist).alias("dist"))
     return knn.top(found, n)

@@ -15,8 +15,13 @@ from affinis.functions import vec
 Metric = Callable[[Column, Column], Column]
 #: Query rows that may be broadcast at once: 16,384 vectors of 1,000 doubles are 130 MB.
 MOST_QUERIES = 16_384
-#: Blocks of a group's rows in a kernel.
-KERNEL_BLOCKS = 8
+#: Blocks of a group's rows in a kernel, and of a pool that is joined with more queries than may be broadcast.
+KERNEL_BLOCKS, POOL_PARTS = 8, 64
+
+
+def hash_order(column: str = "uid", seed: int = 0) -> Column:
+    """A random order that SQL engines share: the MD5 of seed and id."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")))
 
 
 class EmptyIndexError(ValueError):
@@ -47,17 +52,16 @@ def nearest(pool: DataFrame, query: list[float], n: int, by: str | Metric = "euc
 def crossed(pool: DataFrame, queries: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """All pairs of pool rows and queries.
 
-    The queries are broadcast if there are at most ``MOST_QUERIES`` (``most`` is a known bound), else dealt by ``key`` in blocks of about that size, one after the other.
+    The queries are broadcast if there are at most ``MOST_QUERIES`` (``most`` is a known bound), else dealt by ``key`` in blocks of about half that size, and the pool by its first column.
     """
     if most is not None and most <= MOST_QUERIES or queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
         return pool.crossJoin(F.broadcast(queries))
-    blocks = 2 * -(-queries.count() // MOST_QUERIES)
-    part = queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        one = pool.crossJoin(F.broadcast(part.where(F.col("block") == b).drop("block")))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # Both sides are dealt to blocks, and each pair of blocks is one key of an equi-join.
+    blocks, parts = 2 * -(-queries.count() // MOST_QUERIES), POOL_PARTS
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_q", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("_p", each(parts))
+    p = pool.withColumn("_p", F.pmod(F.xxhash64(pool.columns[0]), F.lit(parts)).cast("int")).withColumn("_q", each(blocks))
+    return p.join(q, ["_q", "_p"]).drop("_q", "_p")
 
 
 def pairs(queries: DataFrame, pool: DataFrame, by: str | Metric = "euclidean", digits: int | None = None) -> DataFrame:
@@ -83,20 +87,17 @@ def kernel(rows: DataFrame, by: str | Metric = "hik", digits: int | None = None,
 
     With ``within``, a column of ``rows``, there is one kernel for each of its values, which is kept; rows where it is null are in none.
     """
-    a = rows.select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), *[within] * bool(within))
-    b = rows.select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), *[within] * bool(within))
-    keys = []
-    if within:
-        # A group is dealt in pairs of blocks, so that a large one isn't in one task.
-        keys, each = [within, "block_a", "block_b"], F.explode(F.sequence(F.lit(0), F.lit(KERNEL_BLOCKS - 1)))
-        own = lambda uid: F.pmod(F.xxhash64(uid), F.lit(KERNEL_BLOCKS)).cast("int")
-        a = a.withColumn("block_a", own("row_id")).withColumn("block_b", each)
-        b = b.withColumn("block_b", own("col_id")).withColumn("block_a", each)
+    # Rows are dealt in pairs of blocks, which are keys of an equi-join, so that a large group isn't in one task.
+    keys, each = [*[within] * bool(within), "block_a", "block_b"], F.explode(F.sequence(F.lit(0), F.lit(KERNEL_BLOCKS - 1)))
+    own = F.pmod(F.xxhash64("uid"), F.lit(KERNEL_BLOCKS)).cast("int")
+    a = rows.select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), *[within] * bool(within), own.alias("block_a"), each.alias("block_b"))
+    b = rows.select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), *[within] * bool(within), own.alias("block_b"), each.alias("block_a"))
     dist = metric(by)(F.col("a"), F.col("b"))
-    both = a.join(b, keys).where(F.col("row_id") <= F.col("col_id")) if within else a.join(b, F.col("row_id") <= F.col("col_id"))
-    half = both.select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"), *keys[:1])
+    both = a.join(b, keys).where(F.col("row_id") <= F.col("col_id"))
+    keys = [within] * bool(within)
+    half = both.select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"), *keys)
     twice = F.explode(F.when(F.col("row_id") == F.col("col_id"), F.array(F.struct("row_id", "col_id"))).otherwise(F.array(F.struct("row_id", "col_id"), F.struct(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id")))))
-    return half.select(twice.alias("p"), "dist", *keys[:1]).select("p.row_id", "p.col_id", "dist", *keys[:1])
+    return half.select(twice.alias("p"), "dist", *keys).select("p.row_id", "p.col_id", "dist", *keys)
 
 
 def focus(kernel_rows: DataFrame, wanted: DataFrame, background: DataFrame) -> DataFrame:
@@ -126,5 +127,30 @@ def page(ranked: DataFrame, first: int, last: int, order: list[Column]) -> DataF
 
 
 def shuffled(rows: DataFrame, seed: int, first: int, last: int) -> DataFrame:
-    """A page of the uids in a seeded random order."""
-    return page(rows.select("uid"), first, last, [F.xxhash64("uid", F.lit(seed)), F.col("uid")])
+    """A page ``(uid, ord)`` of the uids in a seeded random order."""
+    return page(rows.select("uid", hash_order(seed=seed).alias("ord")), first, last, [F.col("ord"), F.col("uid")])
+
+
+def kernel_with(kernel_rows: DataFrame, rows: DataFrame, new: DataFrame, by: str | Metric = "hik", digits: int | None = None, within: str | None = None) -> DataFrame:
+    """A kernel ``(row_id, col_id, dist)`` over ``rows`` with the rows and columns of ``new``: only pairs with a new row are computed.
+
+    With ``within``, a column of both, only pairs of equal values are in the kernel.
+    """
+    if within:
+        # A group is dealt in blocks by the old rows, so that a large one isn't in one task.
+        q = new.select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), within).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(KERNEL_BLOCKS - 1))))
+        v = rows.select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), within, F.pmod(F.xxhash64("uid"), F.lit(KERNEL_BLOCKS)).cast("int").alias("block"))
+        dist = metric(by)(F.col("b"), F.col("a"))
+        old = v.join(q, [within, "block"]).select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"))
+    else:
+        q = new.select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"))
+        old = pairs(q, rows, by, digits).select(F.col("qid").alias("row_id"), F.col("uid").alias("col_id"), "dist")
+    mirrored = old.select(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"), "dist")
+    own = kernel(new, by, digits, within).select("row_id", "col_id", "dist")
+    return kernel_rows.select("row_id", "col_id", "dist").unionByName(old).unionByName(mirrored).unionByName(own)
+
+
+def kernel_without(kernel_rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """The kernel without the rows and columns of ``uids``."""
+    gone = uids.select("uid")
+    return kernel_rows.join(gone.withColumnRenamed("uid", "row_id"), "row_id", "left_anti").join(gone.withColumnRenamed("uid", "col_id"), "col_id", "left_anti")

@@ -65,6 +65,69 @@ def logistic(examples: DataFrame, c: float = 1.0, rounds: int = 100) -> LinearMo
     return LinearModel(list(index.labels), model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist())
 
 
+@dataclass
+class MarginModel:
+    """Linear margins with a sigmoid for each label, ``1 / (1 + exp(slope * margin + offset))``, normalised over the labels."""
+
+    labels: list[str]
+    weights: list[list[float]]
+    bias: list[float]
+    sigmoids: list[tuple[float, float]]
+
+    def margins(self, vector: Column) -> Column:
+        return F.array(*[vec.dot(vector, knn.literal(w)) + F.lit(float(b)) for w, b in zip(self.weights, self.bias, strict=True)])
+
+    def scores(self, vector: Column) -> Column:
+        sigmoids = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in self.sigmoids])
+        p = F.zip_with(self.margins(vector), sigmoids, lambda m, s: 1.0 / (1.0 + F.exp(s["a"] * m + s["b"])))
+        shares = F.transform(F.array(p), lambda q: F.transform(q, lambda x: x / vec.total(q)))[0]
+        return F.map_from_arrays(F.array(*[F.lit(x) for x in self.labels]), shares)
+
+
+def linear_svm(examples: DataFrame, c: float = 1.0, rounds: int = 100, balanced: bool = True) -> MarginModel:
+    """Linear support vector machine over ``(vector, label)``, one label against the rest; needs two labels.
+
+    With ``balanced``, classes weigh by the geometric mean of their sizes over their own. The machines and the sigmoids of their margins are fitted in Spark ML, distributed.
+    """
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+
+    named = examples.select(F.col("label").cast("string").alias("label"), array_to_vector("vector").alias("features")).persist()
+    sizes = {r["label"]: r["count"] for r in named.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        raise LabelError("training needs at least two labels")
+    mean = float(np.exp(np.mean(np.log(list(sizes.values())))))
+    weight = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(mean / n if balanced else 1.0))])
+    weights, bias, sigmoids = [], [], []
+    labels = sorted(sizes)
+    for label in labels:
+        two = named.select("features", (F.col("label") == label).cast("double").alias("y"), F.element_at(weight, F.col("label")).alias("w"))
+        model = LinearSVC(labelCol="y", weightCol="w", regParam=1.0 / (c * sum(sizes.values())), maxIter=rounds, standardization=False).fit(two)
+        scored = VectorAssembler(inputCols=["m"], outputCol="x").transform(model.transform(two).select(vector_element("rawPrediction", 1).alias("m"), "y"))
+        curve = LogisticRegression(featuresCol="x", labelCol="y", standardization=False, maxIter=50).fit(scored)
+        weights.append(model.coefficients.toArray().tolist())
+        bias.append(float(model.intercept))
+        sigmoids.append((-float(curve.coefficients[0]), -float(curve.intercept)))
+    named.unpersist()
+    return MarginModel(labels, weights, bias, sigmoids)
+
+
+def vector_element(column: str, i: int) -> Column:
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(column)[i]
+
+
+def adjusted_scores(scored: DataFrame, adjustment: dict[str, float], negate: bool = False) -> DataFrame:
+    """``scores`` moved towards labels with a high ``adjustment``, or away from them with ``negate``; labels not named have 0."""
+    sign = -1.0 if negate else 1.0
+    known = F.create_map(*[x for label, a in adjustment.items() for x in (F.lit(label), F.lit(sign * a))]) if adjustment else F.create_map().cast("map<string,double>")
+    keys, values = F.map_keys("scores"), F.map_values("scores")
+    moved = vec.checked_adjustment(values, F.transform(keys, lambda k: F.coalesce(F.element_at(known, k), F.lit(0.0))))
+    return scored.withColumn("scores", F.map_from_arrays(keys, moved))
+
+
 def classify(rows: DataFrame, model: LinearModel) -> DataFrame:
     return rows.withColumn("scores", model.scores(F.col("vector")))
 
@@ -202,9 +265,10 @@ def classifier_relevancy(pool: DataFrame, positives: DataFrame, negatives: DataF
     return pool.select("uid", F.coalesce(F.element_at(model.scores(F.col("vector")), "pos"), F.lit(0.0)).alias("score"))
 
 
-def margin_feedback(scored: DataFrame, n: int, centre: float = 0.5) -> DataFrame:
+def margin_feedback(scored: DataFrame, n: int, centre: float = 0.5, digits: int | None = None) -> DataFrame:
     """The ``n`` rows whose score is nearest to ``centre``, to be labelled next; ties by uid."""
-    return scored.withColumn("gap", F.abs(F.col("score") - centre)).orderBy("gap", "uid").limit(n)
+    gap = F.abs(F.col("score") - centre)
+    return scored.withColumn("gap", F.round(gap, digits) if digits else gap).orderBy("gap", "uid").limit(n)
 
 
 def quantise(features: DataFrame, codebook: list[list[float]], k: int = 1) -> DataFrame:

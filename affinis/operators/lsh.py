@@ -25,9 +25,10 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, n: int, width: int) -> D
     """``(qid, code, bits, distance)``: for each query ``(qid, qcode)`` the ``n`` nearest distinct codes.
 
     ``distance`` is the share of bits that differ; ties by code. Codes are ranked once for each distinct code asked for,
-    of which there are at most ``2 ** width``, and then given to all queries of that code.
+    of which there are at most ``2 ** width``, and then given to all queries of that code. Codes of more than 62 bits are arrays of words.
     """
-    differ = bits.hamming(F.col("code"), F.col("qcode"))
+    wide = dict(codes.dtypes)["code"].startswith("array")
+    differ = (bits.wide_hamming if wide else bits.hamming)(F.col("code"), F.col("qcode"))
     found = knn.crossed(codes.select("code").distinct(), queries.select("qcode").distinct(), "qcode", 2**width).select("qcode", "code", differ.alias("bits"))
     rank = F.row_number().over(W.partitionBy("qcode").orderBy("bits", "code"))
     near = found.withColumn("rank", rank).where(F.col("rank") <= n).select(F.col("qcode").alias("near"), "code", "bits", (F.col("bits") / F.lit(float(width))).alias("distance"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from affinis.functions import vec
 
 from . import knn
 
+#: Medians are exact for nodes of up to so many rows, beyond that their rank is off by a share of one in so many.
+ACCURACY = 10_000
+
 
 def bases(dimensions: int, trees: int, depth: int, seed: int | None = 0) -> list[list[list[float]]]:
     """A direction for each level of each tree; 0 is a seed like others, None draws a new one."""
@@ -18,33 +21,43 @@ def bases(dimensions: int, trees: int, depth: int, seed: int | None = 0) -> list
 def build(rows: DataFrame, directions: list[list[list[float]]]) -> tuple[DataFrame, dict[tuple[int, int], float]]:
     """``(uid, vector, tree, leaf)`` and the split values by ``(tree, node)``.
 
-    All trees grow together: per level one aggregate gives the nodes' medians (``2 ** depth`` values a tree come to the driver) and one
-    rank within nodes sends the lower half left.
+    All trees grow together. Per level one aggregate gives the nodes' medians, from sketches of bounded size, ``2 ** depth`` values a tree come to the
+    driver, and each row goes left where its value is below its node's, as queries do. Rows of equal values stay together.
     """
     table = F.array(*[F.array(*[knn.literal(d) for d in tree]) for tree in directions])
     out = rows.select("uid", "vector", F.posexplode(table).alias("tree", "dirs")).withColumn("node", F.lit(1))
     splits: dict[tuple[int, int], float] = {}
     for level in range(len(directions[0])):
         out = out.withColumn("p", vec.dot(F.col("vector"), F.col("dirs")[level]))
-        for r in out.groupBy("tree", "node").agg(F.percentile("p", 0.5).alias("m")).collect():
-            splits[r["tree"], r["node"]] = r["m"]
-        own = W.partitionBy("tree", "node")
-        lower = F.row_number().over(own.orderBy("p", "uid")) <= F.floor(F.count(F.lit(1)).over(own) / 2)
-        out = out.withColumn("node", F.col("node") * 2 + F.when(lower, 0).otherwise(1)).drop("p")
+        new = {(r["tree"], r["node"]): r["m"] for r in out.groupBy("tree", "node").agg(F.percentile_approx("p", 0.5, ACCURACY).alias("m")).collect()}
+        splits |= new
+        out = out.withColumn("node", F.col("node") * 2 + F.when(F.col("p") < _split(new, F.col("node")), 0).otherwise(1)).drop("p")
     return out.select("uid", "vector", "tree", F.col("node").alias("leaf")), splits
 
 
+def _split(splits: dict[tuple[int, int], float], node: Column) -> Column:
+    """The split value of a row's ``tree`` and ``node``."""
+    known = F.map_from_arrays(F.array(*[F.lit(f"{t}:{n}") for t, n in splits]), F.array(*[F.lit(float(v)) for v in splits.values()]))
+    return F.element_at(known, F.concat_ws(":", F.col("tree").cast("string"), node.cast("string")))
+
+
 def leaves(queries: DataFrame, directions: list[list[list[float]]], splits: dict[tuple[int, int], float]) -> DataFrame:
     """``(qid, qvector, tree, leaf)``: a query goes left where its value is below the split."""
     table = F.array(*[F.array(*[knn.literal(d) for d in tree]) for tree in directions])
-    known = F.map_from_arrays(F.array(*[F.lit(f"{t}:{n}") for t, n in splits]), F.array(*[F.lit(float(v)) for v in splits.values()]))
     out = queries.select("qid", "qvector", F.posexplode(table).alias("tree", "dirs")).withColumn("leaf", F.lit(1))
     for level in range(len(directions[0])):
-        at = F.element_at(known, F.concat_ws(":", F.col("tree").cast("string"), F.col("leaf").cast("string")))
-        out = out.withColumn("leaf", F.col("leaf") * 2 + F.when(vec.dot(F.col("qvector"), F.col("dirs")[level]) < at, 0).otherwise(1))
+        out = out.withColumn("leaf", F.col("leaf") * 2 + F.when(vec.dot(F.col("qvector"), F.col("dirs")[level]) < _split(splits, F.col("leaf")), 0).otherwise(1))
     return out.drop("dirs")
 
 
+def axes(rows: DataFrame, trees: int, depth: int, seed: int = 0, among: int = 40) -> list[list[list[float]]]:
+    """Directions of kd-trees: at each level one of the ``among`` dimensions of the greatest variance, by chance."""
+    spread = rows.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v")).orderBy(F.col("v").desc(), "i").collect()
+    rng, width = np.random.default_rng(seed), len(spread)
+    widest = [r["i"] for r in spread[: max(among, depth)]]
+    return [[np.eye(width)[i].tolist() for i in rng.permutation(widest)[:depth]] for _ in range(trees)]
+
+
 def search(built: DataFrame, queries: DataFrame, directions, splits, n: int, squared: bool = True, digits: int | None = None) -> DataFrame:
     """``(qid, uid, dist, rank)`` from the union of the queries' leaves, by squared Euclidean distance."""
     asked = leaves(queries, directions, splits)

@@ -54,6 +54,11 @@ def unhashed(inputs: DataFrame, buckets: DataFrame) -> DataFrame:
     return inputs.join(buckets.select(F.explode("uids").alias("uid")), "uid", "left_anti")
 
 
+def unique_vs_total(rows: DataFrame, key: str = "uid") -> DataFrame:
+    """``(total, distinct_uids)`` of ``rows``."""
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(key).alias("distinct_uids"))
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).unionByName(b.subtract(a))
 

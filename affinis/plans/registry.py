@@ -56,6 +56,13 @@ class Registry:
         return self.known[name](**config[name])
 
 
+    def factory(self, config: dict) -> Callable:
+        """A function that makes an object of ``config`` anew, with keywords that replace some of its parameters."""
+        name = config.get("type")
+        self.make(config)
+        return lambda **given: self.known[name](**(config[name] | given))
+
+
 def default_config(make: Callable) -> dict:
     """Parameters of a constructor and their defaults, null where there is none."""
     found = inspect.signature(make).parameters.values()

@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from affinis.functions import bits, geometry, numbers, text, vec
-from affinis.operators import evaluate, hashing, knn, learn, lsh, mrpt, sets
-from affinis.plans.indexes import Ivf, Lsh, Mrpt
+from affinis.operators import balls, evaluate, hashing, iqr, knn, learn, lsh, mrpt, sets
+from affinis.plans import descriptors, sql
+from affinis.plans.indexes import Ivf, KdTree, Lsh
 from affinis.sources import files
 from affinis.streaming import incremental
 
-#: A query ``..._all`` is the whole job. Beside it, where a fixed SQL asks for some ids only, the query of the plain name gives its rows of these ids.
 QUERIES: dict = {}
 ORACLES: dict = {}
 #: Queries against all rows: every id that this divides, and bits of the fixed projection.
 EVERY, BITS = 50, 8
+#: Codes that the hash index looks at, and trees and their depth: as many as find nine of ten neighbours.
+N_CODES, TREES, DEPTH = 100, 12, 3
 
 
 def query(sql: str | None = None):
@@ -118,7 +120,7 @@ FROM h a JOIN h b ON a.uid % {EVERY} = 0""")
 def dist_family(spark, d):
     rows = histograms(spark, d)
     a, b = F.col("qvector"), F.col("vector")
-    found = rows.crossJoin(F.broadcast(asked(rows)))
+    found = knn.crossed(rows, asked(rows), "qid")
     r = lambda x: F.round(x, 6)
     return found.select("qid", "uid", r(vec.manhattan(a, b)).alias("l1"), r(vec.minkowski(a, b, 3)).alias("minkowski3"), r(vec.chebyshev(a, b)).alias("greatest"), r(vec.hellinger(a, b)).alias("hellinger"), r(vec.kullback_leibler(a, b)).alias("kl"))
 
@@ -127,7 +129,7 @@ def dist_family(spark, d):
 def dist_hamming(spark, d):
     rows = coded(spark, d).select("uid", "code")
     q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("code").alias("qcode"))
-    return rows.crossJoin(F.broadcast(q)).select("qid", "uid", bits.hamming(F.col("code"), F.col("qcode")).alias("bits"))
+    return knn.crossed(rows, q, "qid").select("qid", "uid", bits.hamming(F.col("code"), F.col("qcode")).alias("bits"))
 
 
 @query(f"""WITH {V} SELECT uid, list_transform(vector, lambda x: round(x / sqrt(list_sum(list_transform(vector, lambda y: y * y))), 6) + 0.0) AS l2,
@@ -188,25 +190,25 @@ def _focused(spark, d) -> DataFrame:
 
 
 @query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist FROM h a JOIN h b ON a.label = b.label")
-def distance_kernel_symmetric_all(spark, d):
+def distance_kernel_symmetric(spark, d):
     return _kernels(spark, d).drop("label")
 
 
 @query(f"""WITH {H}, f AS (SELECT uid, min(bg) AS bg FROM (SELECT uid, uid % 3 <> 0 AS bg FROM h WHERE uid % 3 = 0 OR uid % 2 = 0) GROUP BY uid)
 SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist, fa.bg AS row_background, fb.bg AS col_background FROM h a JOIN f fa ON a.uid = fa.uid JOIN h b ON a.label = b.label JOIN f fb ON b.uid = fb.uid""")
-def kernel_focus_all(spark, d):
+def kernel_focus(spark, d):
     return _focused(spark, d).drop("label")
 
 
-@query(f"WITH {H}, s AS (SELECT * FROM h WHERE label = 0) SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist FROM s a CROSS JOIN s b")
-def distance_kernel_symmetric(spark, d):
-    return _kernels(spark, d).where("label = 0").drop("label")
-
-
-@query(f"""WITH {H}, s AS (SELECT * FROM h WHERE label = 0), f AS (SELECT uid, min(bg) AS bg FROM (SELECT uid, uid % 3 <> 0 AS bg FROM s WHERE uid % 3 = 0 OR uid % 2 = 0) GROUP BY uid)
-SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist, fa.bg AS row_background, fb.bg AS col_background FROM s a JOIN f fa ON a.uid = fa.uid CROSS JOIN s b JOIN f fb ON b.uid = fb.uid""")
-def kernel_focus(spark, d):
-    return _focused(spark, d).where("label = 0").drop("label")
+@query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({HIK}, 6) AS dist FROM h a JOIN h b ON a.label = b.label")
+def kernel_update(spark, d):
+    """The kernels of all labels, from those without a third of the rows, to which these are added."""
+    rows = histograms(spark, d)
+    old, new = rows.where("uid % 3 <> 1"), rows.where("uid % 3 = 1")
+    start = knn.kernel_without(knn.kernel(rows.where("uid % 3 <> 2 or uid % 2 = 0"), "hik", 6, within="label"), new.select("uid"))
+    late = old.where("uid % 3 = 2 and uid % 2 <> 0")
+    first = knn.kernel_with(start, old.where("uid % 3 <> 2 or uid % 2 = 0"), late, "hik", 6, within="label")
+    return knn.kernel_with(first, old, new, "hik", 6, within="label")
 
 
 @query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({L2}, 6) AS dist FROM h a CROSS JOIN h b WHERE a.label = 1 AND b.label = 2")
@@ -225,7 +227,7 @@ def result_page(spark, d):
 
 @query("SELECT uid, ord FROM (SELECT vec_id AS uid, md5('7:' || vec_id) AS ord FROM embeddings) ORDER BY ord, uid LIMIT 25")
 def random_uids(spark, d):
-    return vectors(spark, d).select("uid", evaluate.hash_order(seed=7).alias("ord")).orderBy("ord", "uid").limit(25)
+    return knn.shuffled(vectors(spark, d), 7, 0, 25)
 
 
 # Keyed collections.
@@ -324,22 +326,31 @@ def hamming_topn_codes(spark, d):
     return lsh.nearest_codes(rows, q, 5, BITS)
 
 
-@query(f"""WITH {_NEAR}, p AS (SELECT t.qid, b.uid, round({ANGULAR}, 6) AS dist FROM t JOIN c b ON b.code = t.code JOIN c a ON a.uid = t.qid WHERE r <= 10)
+@query(f"""WITH {_NEAR}, p AS (SELECT t.qid, b.uid, round({ANGULAR}, 6) AS dist FROM t JOIN c b ON b.code = t.code JOIN c a ON a.uid = t.qid WHERE r <= {N_CODES})
 SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, uid) AS rank FROM p) WHERE rank <= 10""")
 def lsh_knn(spark, d):
     rows = coded(spark, d)
     q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"), F.col("code").alias("qcode"))
-    return lsh.search(rows, q, 10, BITS, "cosine", digits=6)
+    return lsh.search(rows, q, 10, BITS, "cosine", n_codes=N_CODES, digits=6)
 
 
-@query(f"WITH {CODED}, m AS (SELECT range AS mask FROM range(0, 256) WHERE bit_count(range) = 2) SELECT uid, xor(code, mask) AS near FROM c CROSS JOIN m")
-def neighbor_codes_all(spark, d):
-    return coded(spark, d).select("uid", F.explode(bits.neighbours(F.col("code"), BITS, 2)).alias("near"))
+WIDE, WIDE_CODES = 80, 1000
+_WIDE_BITS = "list_transform([" + ", ".join(f"list_sum(list_transform(range(1, len(vector) + 1), lambda i: vector[i] * ({[int(row[j]) for row in hashing.sign_matrix(64, WIDE)]})[i]))" for j in range(WIDE)) + "], lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END)"
+_WIDE_DIFFER = f"list_sum(list_transform(range(1, {WIDE + 1}), lambda i: abs(q.bits[i] - k.bits[i])))"
+
+
+@query(f"""WITH {V}, c AS (SELECT uid, vector, {_WIDE_BITS} AS bits FROM v), k AS (SELECT DISTINCT bits FROM c), n AS (SELECT q.uid AS qid, k.bits, {_WIDE_DIFFER} AS differ FROM c q CROSS JOIN k WHERE q.uid % {EVERY} = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY differ, bits) AS r FROM n), p AS (SELECT t.qid, b.uid, round({ANGULAR}, 6) AS dist FROM t JOIN c b ON b.bits = t.bits JOIN c a ON a.uid = t.qid WHERE r <= {WIDE_CODES})
+SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, uid) AS rank FROM p) WHERE rank <= 10""")
+def lsh_wide_knn(spark, d):
+    rows = hashing.with_codes(vectors(spark, d), hashing.Projection([[float(x) for x in row] for row in hashing.sign_matrix(64, WIDE)]))
+    q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"), F.col("code").alias("qcode"))
+    return lsh.search(rows, q, 10, WIDE, "cosine", n_codes=WIDE_CODES, digits=6)
 
 
-@query(f"WITH {CODED}, m AS (SELECT range AS mask FROM range(0, 256) WHERE bit_count(range) = 2) SELECT uid, xor(code, mask) AS near FROM c CROSS JOIN m WHERE uid % {EVERY} = 0")
+@query(f"WITH {CODED}, m AS (SELECT range AS mask FROM range(0, 256) WHERE bit_count(range) = 2) SELECT uid, xor(code, mask) AS near FROM c CROSS JOIN m")
 def neighbor_codes(spark, d):
-    return neighbor_codes_all(spark, d).where(F.col("uid") % EVERY == 0)
+    return coded(spark, d).select("uid", F.explode(bits.neighbours(F.col("code"), BITS, 2)).alias("near"))
 
 
 @query(f"WITH {CODED} SELECT uid, CAST(bit_count(code) AS INT) AS ones, list_transform(range(0, 8), lambda i: CAST((code >> (7 - i)) & 1 AS INT)) AS bits, code AS again FROM c")
@@ -348,53 +359,42 @@ def code_bits(spark, d):
     return coded(spark, d).select("uid", bits.popcount(F.col("code")).alias("ones"), b.alias("bits"), bits.to_int(b).alias("again"))
 
 
-@query()
-def itq_hash(spark, d):
-    rows = vectors(spark, d)
-    return hashing.with_codes(rows, hashing.fit_itq(rows, BITS)).select("uid", "code")
+_RANDOM = hashing.random_projection(64, BITS, seed=3).matrix
+_RANDOM_CODE = " + ".join(f"(CASE WHEN list_sum(list_transform(range(1, 65), lambda i: vector[i] * ({[row[j] for row in _RANDOM]}::DOUBLE[])[i])) >= 0 THEN {1 << (BITS - 1 - j)} ELSE 0 END)" for j in range(BITS))
 
 
-@query()
-def itq_lsh_knn(spark, d):
-    rows = vectors(spark, d)
-    return Lsh(bits=BITS).build(rows).search(asked(rows), 10)
+@query(f"WITH {V} SELECT uid, CAST({_RANDOM_CODE} AS BIGINT) AS code FROM v")
+def random_projection_codes(spark, d):
+    return hashing.with_codes(vectors(spark, d), hashing.random_projection(64, BITS, seed=3)).select("uid", "code")
 
 
-@query()
-def ivf_knn(spark, d):
-    rows = vectors(spark, d)
-    return Ivf(cells=16, probes=4).build(rows).search(asked(rows), 10)
-
-
-# The searches above and ``mrpt_knn`` keep the settings of their SQL or first registration, which find few neighbours; these find nine of ten or more.
-
-
-@query()
-def lsh_knn_recall(spark, d):
+@query(f"WITH {_NEAR} SELECT qid, code, bits, bits / 8.0::DOUBLE AS distance FROM t WHERE r <= 5")
+def ball_codes(spark, d):
     rows = coded(spark, d)
-    q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"), F.col("code").alias("qcode"))
-    return lsh.search(rows, q, 10, BITS, "cosine", n_codes=100)
+    members, shapes = balls.build(rows, 16)
+    q = rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("code").alias("qcode"))
+    return balls.nearest_codes(members, shapes, q, 5, BITS)
 
 
 @query()
-def itq_lsh_knn_recall(spark, d):
+def itq_hash(spark, d):
     rows = vectors(spark, d)
-    return Lsh(bits=BITS, n_codes=200).build(rows).search(asked(rows), 10)
+    return hashing.with_codes(rows, hashing.fit_itq(rows, BITS)).select("uid", "code")
 
 
 @query()
-def ivf_knn_recall(spark, d):
+def itq_lsh_knn(spark, d):
     rows = vectors(spark, d)
-    return Ivf(cells=16, probes=11).build(rows).search(asked(rows), 10)
+    return Lsh(bits=BITS, n_codes=200).build(rows).search(asked(rows), 10)
 
 
 @query()
-def mrpt_knn_recall(spark, d):
+def ivf_knn(spark, d):
     rows = vectors(spark, d)
-    return Mrpt(trees=12, depth=3).build(rows).search(asked(rows), 10)
+    return Ivf(cells=16, probes=11).build(rows).search(asked(rows), 10)
 
 
-_DIRECTIONS = [[[float(x) for x in c] for c in _COLUMNS[t * 3 : t * 3 + 3]] for t in range(2)]
+_DIRECTIONS = [[[float(row[t * DEPTH + level]) for row in hashing.sign_matrix(64, TREES * DEPTH)] for level in range(DEPTH)] for t in range(TREES)]
 
 
 def _mrpt_sql() -> str:
@@ -403,10 +403,10 @@ def _mrpt_sql() -> str:
         parts.append(f"t{t}_0 AS (SELECT uid, vector, CAST(1 AS BIGINT) AS node FROM v), q{t}_0 AS (SELECT uid AS qid, vector AS qvector, CAST(1 AS BIGINT) AS node FROM v WHERE uid % {EVERY} = 0)")
         for level, direction in enumerate(tree):
             p = lambda x, direction=direction: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i] * ({[int(y) for y in direction]})[i]))"
-            parts.append(f"p{t}_{level} AS (SELECT *, {p('vector')} AS p FROM t{t}_{level}), s{t}_{level} AS (SELECT node, quantile_cont(p, 0.5) AS m FROM p{t}_{level} GROUP BY node)")
-            parts.append(f"t{t}_{level + 1} AS (SELECT uid, vector, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY p, uid) <= floor(count(*) OVER (PARTITION BY node) / 2) THEN 0 ELSE 1 END AS node FROM p{t}_{level})")
+            parts.append(f"p{t}_{level} AS (SELECT *, {p('vector')} AS p FROM t{t}_{level}), s{t}_{level} AS (SELECT node, quantile_disc(p, 0.5) AS m FROM p{t}_{level} GROUP BY node)")
+            parts.append(f"t{t}_{level + 1} AS (SELECT uid, vector, x.node * 2 + CASE WHEN p < s.m THEN 0 ELSE 1 END AS node FROM p{t}_{level} x JOIN s{t}_{level} s ON x.node = s.node)")
             parts.append(f"q{t}_{level + 1} AS (SELECT qid, qvector, q.node * 2 + CASE WHEN {p('qvector')} < s.m THEN 0 ELSE 1 END AS node FROM q{t}_{level} q JOIN s{t}_{level} s ON q.node = s.node)")
-    hits = " UNION ".join(f"SELECT q.qid, x.uid FROM q{t}_3 q JOIN t{t}_3 x ON q.node = x.node" for t in range(2))
+    hits = " UNION ".join(f"SELECT q.qid, x.uid FROM q{t}_{DEPTH} q JOIN t{t}_{DEPTH} x ON q.node = x.node" for t in range(TREES))
     return f"""WITH {', '.join(parts)}, hits AS ({hits}),
 d AS (SELECT h.qid, h.uid, round(list_sum(list_transform(range(1, len(a.vector) + 1), lambda i: (a.vector[i] - b.vector[i]) * (a.vector[i] - b.vector[i]))), 6) AS dist FROM hits h JOIN v a ON a.uid = h.qid JOIN v b ON b.uid = h.uid)
 SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, uid) AS rank FROM d) WHERE rank <= 10"""
@@ -419,6 +419,12 @@ def mrpt_knn(spark, d):
     return mrpt.search(built, asked(rows), _DIRECTIONS, splits, 10, digits=6)
 
 
+@query()
+def kdtree_knn(spark, d):
+    rows = vectors(spark, d)
+    return KdTree(trees=20, depth=3).build(rows).search(asked(rows), 10)
+
+
 # Labels, scores and folds. A vector's score for a label is its share in ten bins of its histogram.
 
 _SCORES = f"{H}, s AS (SELECT uid, label, list_transform(range(0, 10), lambda b: list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i % 10 = b THEN vector[i] ELSE 0.0 END))) AS s FROM h)"
@@ -471,13 +477,8 @@ def mean_vector(spark, d):
 
 
 @query(f"WITH {V}, g AS (SELECT unnest(range(0, 64)) AS i), c AS (SELECT a.i, b.i AS j, vector[a.i + 1] AS x, vector[b.i + 1] AS y FROM v CROSS JOIN g a JOIN g b ON a.i <= b.i) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(x, y), 6) + 0.0 AS cov FROM c GROUP BY i, j")
-def covariance_all(spark, d):
-    return hashing.covariance(vectors(spark, d)).select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
-
-
-@query(f"WITH {V}, g AS (SELECT unnest(range(0, 8)) AS i), c AS (SELECT a.i, b.i AS j, vector[a.i + 1] AS x, vector[b.i + 1] AS y FROM v CROSS JOIN g a JOIN g b ON a.i <= b.i) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(x, y), 6) + 0.0 AS cov FROM c GROUP BY i, j")
 def covariance(spark, d):
-    return covariance_all(spark, d).where("i < 8 and j < 8")
+    return hashing.covariance(vectors(spark, d)).select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
 
 
 _MEMBERS = "SELECT l_orderkey % 40 AS grp, l_orderkey AS item, (l_quantity - 1) / 49.0 AS score FROM lineitem"
@@ -520,7 +521,7 @@ def positive_weight(spark, d):
 
 @query("SELECT count(*) AS total, count(DISTINCT sha1(text)) AS distinct_uids FROM documents")
 def unique_vs_total(spark, d):
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total"), F.count_distinct(F.sha1("text")).alias("distinct_uids"))
+    return sets.unique_vs_total(table(spark, d, "documents").select(F.sha1("text").alias("uid")))
 
 
 _BINS = "SELECT user_id AS item, event_id % 16 AS bin, event_id % 50 AS x, CAST(floor(event_id / 50) % 40 AS BIGINT) AS y FROM events"
@@ -608,13 +609,8 @@ _NAMES = [f"label_{i}" for i in range(64)]
 
 
 @query(f"WITH {V}, u AS (SELECT uid, 'label_' || unnest(range(0, 64)) AS label, unnest(vector) AS confidence FROM v) SELECT uid, label, confidence FROM u")
-def index_label_classifier_all(spark, d):
-    return learn.index_label(vectors(spark, d).drop("label"), _NAMES).select("uid", F.explode("scores").alias("label", "confidence"))
-
-
-@query(f"WITH {V}, u AS (SELECT uid, 'label_' || unnest(range(0, 64)) AS label, unnest(vector) AS confidence FROM v) SELECT uid, label, confidence FROM u WHERE uid % {EVERY} = 0")
 def index_label_classifier(spark, d):
-    return index_label_classifier_all(spark, d).where(F.col("uid") % EVERY == 0)
+    return learn.index_label(vectors(spark, d).drop("label"), _NAMES).select("uid", F.explode("scores").alias("label", "confidence"))
 
 
 def _fixed_models() -> dict[str, learn.LinearModel]:
@@ -633,8 +629,7 @@ def classifier_collection(spark, d):
 @query(f"WITH {V}, s AS (SELECT uid, {_logit(0, 0.25)} AS score FROM v) SELECT uid, score, round(abs(score - 0.5), 6) AS gap FROM s ORDER BY gap, uid LIMIT 10")
 def rank_margin_feedback(spark, d):
     scores = vectors(spark, d).select("uid", F.round(F.element_at(_fixed_models()["a"].scores(F.col("vector")), "pos"), 6).alias("score"))
-    out = scores.withColumn("gap", F.round(F.abs(F.col("score") - 0.5), 6)).orderBy("gap", "uid").limit(10)
-    return out
+    return learn.margin_feedback(scores, 10, digits=6)
 
 
 @query(f"WITH {H}, p AS (SELECT b.uid, row_number() OVER (PARTITION BY a.uid ORDER BY {HIK} DESC, b.uid) AS r FROM h a JOIN h b ON a.uid % 100 = 0) SELECT DISTINCT uid FROM p WHERE r <= 2")
@@ -646,7 +641,7 @@ def auto_negatives(spark, d):
 @query(f"WITH {_ranked(V, 'v', L2, 10)[5:].replace('SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM', 'SELECT DISTINCT uid FROM')}")
 def seed_working_set(spark, d):
     rows = vectors(spark, d)
-    return knn.nearest_batch(asked(rows), rows, 10, "euclidean", 6).select("uid").distinct()
+    return iqr.working_set(asked(rows), rows, 10, digits=6)
 
 
 @query(f"WITH {V}, k AS (SELECT uid AS bin, vector FROM v WHERE uid < 8), p AS (SELECT b.uid AS item, a.bin, row_number() OVER (PARTITION BY b.uid ORDER BY list_sum(list_transform(range(1, 65), lambda i: (b.vector[i] - a.vector[i]) * (b.vector[i] - a.vector[i]))), a.bin) AS r FROM v b CROSS JOIN k a) SELECT item, CAST(bin AS INT) AS bin, CAST(r AS INT) AS rank FROM p WHERE r <= 2")
@@ -658,9 +653,7 @@ def quantise_codebook(spark, d):
 
 @query()
 def iqr_refine(spark, d):
-    from affinis.operators.iqr import Session
-
-    session = Session(histograms(spark, d).select("uid", "vector"), neighbours=40, by="hik")
+    session = iqr.Session(histograms(spark, d).select("uid", "vector"), neighbours=40, by="hik")
     session.adjudicate(new_pos=[0, 1], new_neg=[2, 3])
     session.update_working_set()
     session.refine()
@@ -673,6 +666,57 @@ def hik_relevancy(spark, d):
     return learn.intersection_relevancy(rows.select("uid", "vector"), rows.where("uid in (0, 5)").select("uid", "vector"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_TEXTS = "d AS (SELECT DISTINCT sha1(text) AS uid, lower(text) AS t FROM documents WHERE length(text) > 0)"
+_SHARES = ", ".join(f"round((length(t) - length(replace(t, '{c}', ''))) / length(t), 6)" for c in _LETTERS)
+
+
+def _elements(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.sha1("text").alias("uid"), F.col("text").cast("binary").alias("content"), F.lit("text/plain").alias("content_type"), (F.col("doc_id") % 3).alias("third"))
+
+
+def _rounded(column: str):
+    return F.transform(column, lambda x: F.round(x, 6))
+
+
+@query(f"WITH {_TEXTS}, o AS (SELECT DISTINCT sha1(text) AS uid FROM documents WHERE doc_id % 3 = 0 AND length(text) > 0) SELECT uid, CASE WHEN uid IN (SELECT uid FROM o) THEN [1.0::DOUBLE] ELSE [{_SHARES}] END AS vector FROM d")
+def compute_many_descriptors(spark, d):
+    """What a third of the documents have already stays, the others are described, each content once."""
+    elements = _elements(spark, d)
+    done = elements.where("third = 0 and octet_length(content) > 0").select("uid", F.array(F.lit(1.0)).alias("vector")).distinct()
+    return descriptors.compute(elements, descriptors.Letters(), done).select("uid", _rounded("vector").alias("vector"))
+
+
+_TWICE = "unnest(['whole', 'half']) AS transform"
+
+
+@query(f"WITH {_TEXTS}, x AS (SELECT uid, 'whole' AS transform, t FROM d UNION ALL SELECT uid, 'half', left(t, CAST(length(t) // 2 AS INT)) FROM d) SELECT uid, transform, [{_SHARES}] AS vector FROM x WHERE length(t) > 0")
+def transformed_descriptors(spark, d):
+    text_of = lambda c: c.cast("string")
+    transforms = {"whole": lambda c: c, "half": lambda c: F.substring(text_of(c), F.lit(1), F.floor(F.char_length(text_of(c)) / 2).cast("int"))}
+    return descriptors.compute_transformed(_elements(spark, d), transforms, descriptors.Letters()).select("uid", "transform", _rounded("vector").alias("vector"))
+
+
+@query()
+def svm_classify(spark, d):
+    rows = vectors(spark, d)
+    model = learn.linear_svm(rows.where("uid % 2 = 0").select("vector", "label"))
+    return learn.classify(rows.where("uid % 2 = 1"), model).select("uid", F.map_keys("scores").alias("labels"), F.transform(F.map_values("scores"), lambda x: F.round(x, 6)).alias("confidences"))
+
+
+@query()
+def kfold_validation(spark, d):
+    """Areas under the curves of classifiers that were fitted on the other folds."""
+    scores = evaluate.cross_validated(vectors(spark, d), learn.logistic, 3)
+    return evaluate.roc_auc(evaluate.one_vs_rest(scores), ["label"])
+
+
+@query(f"WITH {V}, s AS (SELECT uid, {_logit(0, 0.25)[6:-4]} AS p FROM v) SELECT uid, round(p * exp(-1.0) / (p * exp(-1.0) + (1 - p)), 5) AS positive FROM s")
+def adjusted_classification(spark, d):
+    scored = learn.classify(vectors(spark, d), _fixed_models()["a"])
+    return learn.adjusted_scores(scored, {"pos": 1.0}, negate=True).select("uid", F.round(F.element_at("scores", "pos"), 5).alias("positive"))
+
+
 @query()
 def logreg_classify(spark, d):
     rows = vectors(spark, d)
@@ -706,7 +750,7 @@ def ttl_cache_hits(spark, d):
 def high_water_mark(spark, d):
     rows = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     low, high = rows.agg(F.min("us"), F.max("us")).first()
-    return rows.where(F.col("us") > low + (high - low) // 2).select("event_id")
+    return incremental.since(rows, F.timestamp_micros(F.lit(low + (high - low) // 2)), F.timestamp_micros(F.lit(high))).select("event_id")
 
 
 @query(f"WITH {CODED} SELECT uid, CASE WHEN uid % 5 = 0 THEN xor(code, 1) ELSE code END AS code FROM c WHERE uid % 3 = 0 OR uid % 5 = 0")
@@ -773,10 +817,7 @@ def bbox_intersection(spark, d):
     return rows.select("uid", both["low"].alias("low"), both["high"].alias("high"), geometry.hypervolume(F.col("low"), F.col("high")).alias("volume"))
 
 
-_IMAGES = "SELECT p_partkey AS uid, CAST(40 + p_partkey % 13 AS INT) AS width, CAST(30 + p_partkey % 7 AS INT) AS height FROM part WHERE p_partkey <= 200"
-
-
-_ALL_IMAGES = "SELECT p_partkey AS uid, CAST(40 + p_partkey % 13 AS INT) AS width, CAST(30 + p_partkey % 7 AS INT) AS height FROM part"
+_IMAGES = "SELECT p_partkey AS uid, CAST(40 + p_partkey % 13 AS INT) AS width, CAST(30 + p_partkey % 7 AS INT) AS height FROM part"
 
 
 def _images(spark, d):
@@ -784,34 +825,47 @@ def _images(spark, d):
     return table(spark, d, "part").select(k.alias("uid"), (40 + k % 13).cast("int").alias("width"), (30 + k % 7).cast("int").alias("height"))
 
 
-@query(f"WITH i AS ({_ALL_IMAGES}) SELECT uid, CAST(x AS INT) AS \"left\", CAST(y AS INT) AS top, CAST(x + 10 AS INT) AS \"right\", CAST(y + 8 AS INT) AS bottom FROM i, range(0, 60, 5) a(x), range(0, 60, 8) b(y) WHERE x + 10 <= width AND y + 8 <= height")
-def crop_tiles_all(spark, d):
-    return geometry.tiles(_images(spark, d), 10, 8, (5, 8)).select("uid", "left", "top", "right", "bottom")
-
-
 @query(f"WITH i AS ({_IMAGES}) SELECT uid, CAST(x AS INT) AS \"left\", CAST(y AS INT) AS top, CAST(x + 10 AS INT) AS \"right\", CAST(y + 8 AS INT) AS bottom FROM i, range(0, 60, 5) a(x), range(0, 60, 8) b(y) WHERE x + 10 <= width AND y + 8 <= height")
 def crop_tiles(spark, d):
-    return crop_tiles_all(spark, d).where("uid <= 200")
-
-
-@query(f"WITH i AS ({_ALL_IMAGES}) SELECT uid, CAST(k AS INT) AS i, CAST(floor(width * k / 7.0) AS INT) AS \"left\", CAST(floor(height * k / 7.0) AS INT) AS top, CAST(floor(width * (7 - k) / 7.0) AS INT) AS \"right\", CAST(floor(height * (7 - k) / 7.0) AS INT) AS bottom FROM i, range(1, 4) a(k)")
-def crop_centres_all(spark, d):
-    return geometry.centre_crops(_images(spark, d), 3).select("uid", "i", "left", "top", "right", "bottom")
+    return geometry.tiles(_images(spark, d), 10, 8, (5, 8)).select("uid", "left", "top", "right", "bottom")
 
 
 @query(f"WITH i AS ({_IMAGES}) SELECT uid, CAST(k AS INT) AS i, CAST(floor(width * k / 7.0) AS INT) AS \"left\", CAST(floor(height * k / 7.0) AS INT) AS top, CAST(floor(width * (7 - k) / 7.0) AS INT) AS \"right\", CAST(floor(height * (7 - k) / 7.0) AS INT) AS bottom FROM i, range(1, 4) a(k)")
 def crop_centres(spark, d):
-    return crop_centres_all(spark, d).where("uid <= 200")
+    return geometry.centre_crops(_images(spark, d), 3).select("uid", "i", "left", "top", "right", "bottom")
 
 
-@query(f"WITH i AS ({_ALL_IMAGES}), l AS (SELECT CAST(x AS INT) AS level, CAST(pow(2, x) AS INT) AS n FROM range(0, 3) a(x)) SELECT uid, level, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(floor(width * tx / n) AS INT) AS \"left\", CAST(floor(height * ty / n) AS INT) AS top, CAST(floor(width * (tx + 1) / n) AS INT) AS \"right\", CAST(floor(height * (ty + 1) / n) AS INT) AS bottom FROM i CROSS JOIN l CROSS JOIN range(0, 4) b(tx) CROSS JOIN range(0, 4) c(ty) WHERE tx < n AND ty < n")
-def crop_quadrants_all(spark, d):
+@query(f"WITH i AS ({_IMAGES}), l AS (SELECT CAST(x AS INT) AS level, CAST(pow(2, x) AS INT) AS n FROM range(0, 3) a(x)) SELECT uid, level, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(floor(width * tx / n) AS INT) AS \"left\", CAST(floor(height * ty / n) AS INT) AS top, CAST(floor(width * (tx + 1) / n) AS INT) AS \"right\", CAST(floor(height * (ty + 1) / n) AS INT) AS bottom FROM i CROSS JOIN l CROSS JOIN range(0, 4) b(tx) CROSS JOIN range(0, 4) c(ty) WHERE tx < n AND ty < n")
+def crop_quadrants(spark, d):
     return geometry.quadrants(_images(spark, d), 2).select("uid", "level", "tx", "ty", "left", "top", "right", "bottom")
 
 
-@query(f"WITH i AS ({_IMAGES}), l AS (SELECT CAST(x AS INT) AS level, CAST(pow(2, x) AS INT) AS n FROM range(0, 3) a(x)) SELECT uid, level, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, CAST(floor(width * tx / n) AS INT) AS \"left\", CAST(floor(height * ty / n) AS INT) AS top, CAST(floor(width * (tx + 1) / n) AS INT) AS \"right\", CAST(floor(height * (ty + 1) / n) AS INT) AS bottom FROM i CROSS JOIN l CROSS JOIN range(0, 4) b(tx) CROSS JOIN range(0, 4) c(ty) WHERE tx < n AND ty < n")
-def crop_quadrants(spark, d):
-    return crop_quadrants_all(spark, d).where("uid <= 200")
+@query("SELECT o_orderkey AS uid, sha1(concat_ws('|', CAST(o_orderkey AS VARCHAR), printf('%.6f,%.6f,%.6f,%.6f', (o_orderkey % 7)::DOUBLE, 0.5::DOUBLE, (o_orderkey % 7 + 2)::DOUBLE, 3.25::DOUBLE), CASE WHEN o_orderkey % 2 = 0 THEN 'cat,dog' ELSE 'ant,dog' END)) AS detection FROM orders")
+def detection_uids(spark, d):
+    k = F.col("o_orderkey")
+    low, high = F.array((k % 7).cast("double"), F.lit(0.5)), F.array((k % 7 + 2).cast("double"), F.lit(3.25))
+    labels = F.array(F.lit("dog"), F.when(k % 2 == 0, F.lit("cat")).otherwise(F.lit("ant")))
+    return table(spark, d, "orders").select(k.alias("uid"), text.detection_uid(k.cast("string"), low, high, labels).alias("detection"))
+
+
+@query("SELECT page_id, [CAST(page_id AS VARCHAR), coalesce(url, '')] AS parts FROM pages")
+def json_lists(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.to_json(F.array(F.col("page_id").cast("string"), F.coalesce("url", F.lit("")))).alias("j"))
+    return rows.select("page_id", text.json_list(F.col("j")).alias("parts"))
+
+
+@query("SELECT o_orderkey AS uid, CAST(x * 4 AS INT) AS \"left\", CAST(y * 3 AS INT) AS top, CAST(x * 4 + 4 AS INT) AS \"right\", CAST(y * 3 + 3 AS INT) AS bottom FROM orders, range(0, 9) a(x), range(0, 9) b(y) WHERE x * 4 + 4 <= 8 + o_orderkey % 5 AND y * 3 + 3 <= 6 + o_orderkey % 3")
+def sql_table_function(spark, d):
+    sql.register(spark)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), (8 + F.col("o_orderkey") % 5).cast("int").alias("width"), (6 + F.col("o_orderkey") % 3).cast("int").alias("height"))
+    return spark.sql("SELECT uid, t.* FROM (SELECT uid, crop_tiles(width, height, 4, 3) AS boxes FROM {rows}) LATERAL VIEW inline(boxes) t", rows=rows)
+
+
+@query(f"WITH {V} SELECT a.uid AS qid, b.uid AS uid, round({L2}, 6) AS dist, round({COS}, 6) AS likeness FROM v a JOIN v b ON a.uid % {EVERY} = 0")
+def sql_scalar_functions(spark, d):
+    sql.register(spark)
+    rows = vectors(spark, d)
+    return spark.sql("SELECT /*+ BROADCAST(q) */ qid, uid, round(euclidean_distance(vector, qvector), 6) AS dist, round(cosine_likeness(vector, qvector), 6) AS likeness FROM {rows} CROSS JOIN {q} q", rows=rows, q=asked(rows))
 
 
 @query("SELECT CAST(n AS BIGINT) AS n, CAST(r AS BIGINT) AS r, CAST(factorial(CAST(n AS INT)) / (factorial(CAST(r AS INT)) * factorial(CAST(n - r AS INT))) AS BIGINT) AS ways FROM range(0, 19) a(n), range(0, 19) b(r) WHERE r <= n")
@@ -822,16 +876,11 @@ def n_choose_r(spark, d):
 
 @query("""WITH k AS (SELECT p_partkey AS n, range(1, CAST(floor(sqrt(p_partkey)) AS BIGINT) + 1) AS small FROM part)
 SELECT n, n > 1 AND len(list_filter(small, lambda x: x > 1 AND n % x = 0)) = 0 AS prime, len(list_filter(small, lambda x: n % x = 0)) AS pairs FROM k""")
-def primes_and_factors_all(spark, d):
+def primes_and_factors(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("n"))
     return rows.select("n", numbers.is_prime(F.col("n")).alias("prime"), F.size(numbers.factor_pairs(F.col("n"))).cast("bigint").alias("pairs"))
 
 
-@query("WITH k AS (SELECT p_partkey AS n FROM part WHERE p_partkey BETWEEN 1 AND 300) SELECT n, n > 1 AND len(list_filter(range(2, n), lambda x: n % x = 0)) = 0 AS prime, len(list_filter(range(1, n + 1), lambda x: n % x = 0 AND x * x <= n)) AS pairs FROM k")
-def primes_and_factors(spark, d):
-    return primes_and_factors_all(spark, d).where("n between 1 and 300")
-
-
 @query(f"WITH {V}, f AS (SELECT label, row_number() OVER (ORDER BY min(uid)) AS number FROM v GROUP BY label) SELECT uid, CAST(number AS VARCHAR) AS label, list_transform(vector, lambda x: round(x, 6) + 0.0) AS vector FROM v JOIN f USING (label)")
 def libsvm_roundtrip(spark, d):
     lines = files.libsvm_lines(vectors(spark, d))

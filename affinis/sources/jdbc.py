@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 @dataclass(frozen=True)
@@ -17,9 +17,11 @@ class Table:
     password: str | None = None
     fetch: int = 10_000
     batch: int = 1_000
+    #: Column types of a table that is to be made, as in SQL; Spark's own where none are given.
+    types: str | None = None
 
     def options(self) -> dict[str, str]:
-        given = {"url": self.url, "dbtable": self.name, "user": self.user, "password": self.password, "fetchsize": str(self.fetch), "batchsize": str(self.batch)}
+        given = {"url": self.url, "dbtable": self.name, "user": self.user, "password": self.password, "fetchsize": str(self.fetch), "batchsize": str(self.batch), "createTableColumnTypes": self.types}
         return {k: v for k, v in given.items() if v is not None}
 
 
@@ -36,9 +38,38 @@ def write(rows: DataFrame, table: Table, mode: str = "append") -> None:
     rows.write.format("jdbc").options(**table.options()).mode(mode).save()
 
 
-def overwrite_merged(spark: SparkSession, table: Table, new: DataFrame, key: str) -> None:
-    """Upsert as a merge by key into a new version of the table."""
-    from affinis.operators.sets import upsert
+def upsert(spark: SparkSession, table: Table, new: DataFrame, key: str) -> None:
+    """Replaces the rows of ``new``'s keys and adds the others.
 
-    merged = upsert(read(spark, table), new, key).checkpoint()
-    write(merged, table, "overwrite")
+    The merged table is written beside the old one first, and only then put in its place within one transaction of the database: a failure before leaves
+    the old table as it was.
+    """
+    from affinis.operators.sets import upsert as merged
+
+    beside = replace(table, name=f"{table.name}_next")
+    write(merged(read(spark, table), new, key), beside, "overwrite")
+    names = ", ".join(f'"{c}"' for c in new.columns)
+    statements = [f"DELETE FROM {table.name}", f"INSERT INTO {table.name} ({names}) SELECT {names} FROM {beside.name}"]
+    execute(spark, table, statements)
+    execute(spark, table, [f"DROP TABLE {beside.name}"])
+
+
+def execute(spark: SparkSession, table: Table, statements: list[str]) -> None:
+    """Runs ``statements`` in one transaction, on the driver's connection."""
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(table.url, table.user, table.password) if table.user else spark.sparkContext._jvm.java.sql.DriverManager.getConnection(table.url)
+    try:
+        connection.setAutoCommit(False)
+        run = connection.createStatement()
+        for s in statements:
+            run.execute(s)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def of_type(spark: SparkSession, table: Table, label: str, column: str = "type_label") -> DataFrame:
+    """Rows of one descriptor type; the filter runs in the database."""
+    return read(spark, table).where(F.col(column) == label)
