@@ -21,13 +21,13 @@ from .words import WordHashes, mix, shingles
 
 #: Buckets of up to this many documents are compared pair by pair, larger ones with a few heads and, where these leave them apart, in blocks.
 SMALL = 32
-#: Orders in which the first member of a large bucket is a head of it.
-HEADS = 3
+#: Orders in which the first member of a large bucket is a head of it. More heads leave fewer members apart, for more pairs.
+HEADS = 1
 #: Members of a block and shingles of its sets, about.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 
 #: Size of the filter for documents whose sets are needed. At any number of documents it is correct; the more, the less it saves.
-BITMAP_BYTES = 1 << 24
+BITMAP_BYTES = 1 << 22
 
 _SIGNATURE = "doc_id bigint, cls string, n_shingles bigint, lefts array<bigint>, rights array<bigint>, sketch array<tinyint>"
 
@@ -187,16 +187,16 @@ def _block_links(percent: int):
     return run
 
 
-def _apart(crowd: DataFrame, confirmed: DataFrame, brief: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links between members of large buckets that ``confirmed`` leaves apart, None if there are no large buckets.
+def _apart(crowd: DataFrame, found: DataFrame, brief: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between members of large buckets that the components ``found`` so far leave apart, None if there are no large buckets.
 
-    What is one component already needs no comparison. The rest is taken together by the left half of its buckets: those outside the
+    Members of one component need no comparison. The others are taken together by the left half of their buckets: those outside the
     largest component there are compared with all others, in pairs of blocks of bounded size, on whole sets.
     """
     if crowd.isEmpty():
         return None
     spot = ["i", "x"]
-    named = crowd.select("id", *spot).distinct().join(components(confirmed), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = crowd.select("id", *spot).distinct().join(found, "id", "left").select("id", *spot, F.coalesce("component", "id").alias("component"))
     members = named.join(brief.select("id", "n_shingles"), "id")
     blocks = lambda n, w: F.ceil(n / BLOCK + w / BLOCK_SHINGLES).cast("int")
     sizes = members.groupBy(*spot, "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     crowd = cut(cells.where(F.col("n") > SMALL).select("id", "i", "x", "key"))
     orders = [F.col("id") if k == 0 else F.xxhash64("id", F.lit(k)) for k in range(HEADS)]
     heads = crowd.groupBy("key").agg(F.array(*[F.min_by("id", o) for o in orders]).alias("heads"))
-    headed = hub_join(crowd.select("id", "key"), heads, "key").select("id", F.explode("heads").alias("head")).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    headed = hub_join(crowd.select("id", "key"), heads, "key").groupBy("id").agg(F.collect_set("heads").alias("heads"))
+    headed = headed.select("id", F.explode(F.array_distinct(F.flatten("heads"))).alias("head")).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     pairs = pairs.unionByName(headed).distinct().join(a, "a").join(b, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree >= least)).select("a", "b")
     pairs = cut(pairs)
 
@@ -268,13 +269,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("bigint")
     confirmed = cut(pairs.join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    within = _apart(crowd, confirmed, brief, sets, percent)
+    found = components(confirmed)
+    within = _apart(crowd, found, brief, sets, percent)
 
     # A document that occurs with several texts belongs to each one's class.
     several = usable.groupBy("doc_id").agg(F.min("cls").alias("c1"), F.max("cls").alias("c2")).where("c1 <> c2").select("doc_id")
     same = usable.select("doc_id", "cls").join(several, "doc_id", "left_semi").join(classes, "cls").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    found = components(confirmed.unionByName(same) if within is None else confirmed.unionByName(within).unionByName(same)).select(F.col("id").alias("rep"), "component")
+    # What blocks and repeated ids add are links between the components found so far.
+    more = same if within is None else same.unionByName(within)
+    label = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"to_{end}"))
+    more = cut(more.where("a <> b"))
+    if more.isEmpty():
+        found = found.withColumnRenamed("id", "rep")
+    else:
+        more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"))
+        ends = found.select("id", F.col("component").alias("old")).unionByName(more.select(F.col("a").alias("id"), F.col("x").alias("old"))).unionByName(more.select(F.col("b").alias("id"), F.col("y").alias("old"))).distinct()
+        found = ends.join(components(more.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("id", "old"), "old", "left").select(F.col("id").alias("rep"), F.coalesce("component", "old").alias("component"))
     home = classes.join(found, "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("cls")).alias("cls"))
     alone = rows.where(F.col("cls").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -288,8 +299,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ten
     Of rows that repeat an id the one whose text has the smallest hash stays; rows with a null id stay. Only rows whose bit is set among the ids to drop are moved
     to be compared with those ids.
     """
-    groups = near_duplicates(docs, width, percent, tensor)
-    gone = cut(groups.where(~F.col("kept")).select("doc_id").distinct())
+    groups = cut(near_duplicates(docs, width, percent, tensor))
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
     again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     bits = bit_table(gone.unionByName(again).withColumnRenamed("doc_id", "id"))
     bit = bit_of("doc_id")

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import hashlib
 from pathlib import Path
 
 import pytest
@@ -42,6 +43,41 @@ def test_one_row_for_each(spark, name):
     assert run(rows(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["language", "secrets", "shards", "toxicity", "fingerprints"])
+def test_values_at_the_edges(spark, name):
+    """Other columns change nothing; repeated rows, null ids, null, blank and very long texts get defined values."""
+    run = operators(spark)[name]
+    table = rows(spark)
+    plain = run(table).collect()
+    key = lambda r: repr(tuple(r))
+    if name != "shards":  # slots follow the seats of the rows
+        assert sorted(map(key, run(clashing(table)).select(*plain[0].asDict()).collect())) == sorted(map(key, plain))
+    by = {}
+    for r in plain:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert {i: len(x) for i, x in by.items()} == {1: 3, 2: 1, None: 3, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    null, empty, blank, long = (by[i][0] for i in (3, 4, 5, 6))
+    if name == "language":
+        assert all((r["lang_pred"], r["score"], r["bits"]) == ("und", 0.0, None) for r in (null, empty, blank))
+        assert long["lang_pred"] in ("en", "fr") and sorted(r["lang_pred"] == "und" for r in by[None]) == [False, True, True]
+        assert len({tuple(r) for r in by[1]}) == 2
+    if name == "secrets":
+        none = hashlib.sha256(b"").hexdigest()
+        assert all((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) == (0, 0, 0, none, "") for r in plain)
+        assert list(plain[0].asDict())[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    if name == "shards":
+        assert [null["size"], empty["size"], blank["size"], long["size"]] == [1, 1, 4, len("word ") * 30_000 + 70_001]
+        assert sorted(r["size"] for r in by[None]) == [1, 1, 18] and sorted((r["shard"], r["slot"]) for r in plain) == [(s, 0) for s in range(12)]
+    if name == "toxicity":
+        assert all(r["spans"] == [] and 0 <= r["score"] < 0.3 for r in (null, empty, blank)) and 0 <= long["score"] <= 1
+        assert null["score"] == empty["score"] == blank["score"]
+    if name == "fingerprints":
+        assert [r["n_chars"] for r in (null, empty, blank)] == [0, 0, 3] and null["fingerprint"] == empty["fingerprint"] == blank["fingerprint"] == ""
+        assert long["n_chars"] == 220_000 and len(long["fingerprint"].split(",")) == 64
+        same = [r["fingerprint"] for r in (*by[1], *by[2])]
+        assert max(map(same.count, same)) == 3
+
+
 def test_repeated_ids(spark):
     got = minhash.near_duplicates(rows(spark), 3, 85).collect()
     assert {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}

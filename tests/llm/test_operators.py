@@ -256,12 +256,13 @@ def test_crowd_apart(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     links, apart = [], minhash._apart
 
-    def blocks_alone(crowd, confirmed, *rest):
+    def blocks_alone(crowd, found, *rest):
         """What blocks find if heads have found nothing but a few links."""
-        links.append([tuple(r) for r in confirmed.where("a < 9").collect()])
-        found = cut(apart(crowd, confirmed.where("a < 9"), *rest))
-        links.append([tuple(r) for r in found.collect()])
-        return found
+        few = found.where("id < 9 and component < 9")
+        links.append([tuple(r) for r in few.collect()])
+        between = cut(apart(crowd, few, *rest))
+        links.append([tuple(r) for r in between.collect()])
+        return between
 
     monkeypatch.setattr(minhash, "_apart", blocks_alone)
     sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
