@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .licenses import Template, as_regex
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP4 = f"""
@@ -75,3 +77,49 @@ times AS (SELECT d.*, e.epoch, md5(concat_ws(':', '{seed}', CAST(e.epoch AS VARC
 sums AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY epoch, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM times)
 SELECT doc_id, domain, language, origin, epoch, tokens, budget, upto FROM sums WHERE upto <= budget
 """
+
+
+def op11(templates: list[Template]) -> str:
+    """Base places from lists of words; all labels and the score from the templates as regular expressions over normalised words."""
+    phrases = ", ".join(f"('{t.label}', {t.parts})" for t in templates if t.kind == "base")
+    patterns = ", ".join(f"('{t.label}', {t.weight}, '{as_regex(t)}')" for t in templates)
+    return f"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+phrases(label, p) AS (VALUES {phrases}),
+patterns(label, weight, pattern) AS (VALUES {patterns}),
+lines AS (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS line FROM words WHERE len(w) > 0),
+starts AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+base AS (SELECT s.r, s.i - 1 AS i, p.label FROM starts s JOIN phrases p ON s.w[s.i] = p.p[1] AND s.w[s.i : s.i + len(p.p) - 1] = p.p),
+found AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
+marks AS (SELECT l.r, string_agg(DISTINCT p.label, ',' ORDER BY p.label) AS labels, max(p.weight) AS score FROM lines l JOIN patterns p ON regexp_matches(l.line, p.pattern) GROUP BY l.r)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(f.n, 0) AS BIGINT) AS n_base, CAST(f.lo AS BIGINT) AS first_word, CAST(f.hi AS BIGINT) AS last_word,
+  coalesce(f.labels, '') AS base_labels, coalesce(m.labels, '') AS labels, CAST(coalesce(m.score, 0) AS DOUBLE) AS score
+FROM words w LEFT JOIN found f USING (r) LEFT JOIN marks m USING (r)
+"""
+
+
+#: CRC-32 by bytes, from its polynomial; one edit apart are words that are equal without a letter at the same place, or of which one is the other without a letter.
+OP13 = f"""
+WITH RECURSIVE steps AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]{{5,}}')) AS run FROM documents),
+several AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS n FROM runs GROUP BY ALL),
+crcs AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(named))), lambda k: CAST(('0x' || hex(encode(named))[2 * k + 1 : 2 * k + 2]) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM several, steps),
+slips AS (SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM crcs),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+counts AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+ranked AS (SELECT word, other, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other COLLATE "C") AS k FROM near),
+forms AS MATERIALIZED (SELECT w.word, r.other AS form, r.n AS form_n FROM words w JOIN ranked r ON w.word = r.word AND r.k = 1 AND r.n >= 2 * w.n),
+ways AS (SELECT word, form AS root FROM forms UNION SELECT y.word, f.form FROM ways y JOIN forms f ON y.root = f.word),
+roots AS (SELECT word, root FROM ways WHERE root NOT IN (SELECT word FROM forms))
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, CAST(coalesce(c.n_near, 0) AS BIGINT) AS n_near, f.form_n
+FROM words w LEFT JOIN counts c USING (word) LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)
+"""

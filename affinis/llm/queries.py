@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, minhash, mixing, multiindex, oracles, pieces, secretscan, sharding, toxicity, urlrules
+from . import fingerprint, langid, licenses, minhash, mixing, multiindex, oracles, pieces, secretscan, sharding, toxicity, urlrules, variants, whitening
 from .runtime import crc_bucket, table
 
 
@@ -75,11 +75,25 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "language", "origin", "epoch", "tokens", "budget", "upto")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_secret_scans, op4_minhash_near_dedup, op5_sharding, op6_toxicity, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources)}
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=16)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.count_words(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_secret_scans, op4_minhash_near_dedup, op5_sharding, op6_toxicity, op7_embedding_near_dedup, op8_document_fingerprints, op9_url_filters, op10_mixing_sources, op11_license_scans, op12_embedding_whitening, op13_spelling_variants)}
 
 ORACLES = {
     "op4_minhash_near_dedup": oracles.OP4,
     "op7_embedding_near_dedup": oracles.OP7,
     "op9_url_filters": oracles.OP9,
     "op10_mixing_sources": oracles.op10(seed=7, fraction=0.5, epochs=2, weights=MIX_WEIGHTS),
+    "op11_license_scans": oracles.op11(licenses.TEMPLATES),
+    "op13_spelling_variants": oracles.OP13,
 }
