@@ -108,24 +108,23 @@ def _ranged(docs: DataFrame, column: str) -> DataFrame:
     slots = {b: size["bounds"].count(b) for b in size["bounds"]}
     bounds = sorted(slots | {size["high"]: 1})
 
-    # Ids up to the i-th bound are in place i; found by halving the list of bounds.
-    def place(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("_id") <= bounds[mid], place(low, mid)).otherwise(place(mid + 1, high))
-
-    of = lambda values, kind: F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("_place") + 1)
     hot = [max(1, slots.get(b, 1)) * parts if slots.get(b, 1) > 1 else 0 for b in bounds]
-    is_hot = (of(hot, "int") > 0) & (F.col("_id") == of(bounds, "bigint"))
     lows = [float(x) for x in [size["low"] - 1, *bounds[:-1]]]
     width = [max(1.0, float(b) - a) for a, b in zip(lows, bounds, strict=True)]
-    by_id = F.least(F.floor((F.col("_id").cast("double") - of(lows, "double")) / of(width, "double") * parts), F.lit(parts - 1))
-    unit = F.shiftrightunsigned("_hash", 1) / F.lit(float(1 << 63))
-    by_hash = of(hot, "int") - 1 - F.least(F.floor(unit * of(hot, "int")), of(hot, "int") - 1)
-    within = F.when(is_hot, by_hash).otherwise(F.greatest(by_id, F.lit(0)))
-    number = F.shiftleft((2 * F.col("_place") + is_hot.cast("int")).cast("bigint"), 40) + within.cast("bigint")
-    return docs.withColumn("_place", place(0, len(bounds) - 1)).withColumn("_range", number).drop("_place")
+    spans = F.array(*[F.struct(F.lit(b).cast("bigint").alias("bound"), F.lit(h).alias("hot"), F.lit(a).alias("low"), F.lit(w).alias("width")) for b, h, a, w in zip(bounds, hot, lows, width, strict=True)])
+
+    # Ids up to the i-th bound are in place i.
+    def number(place: Column) -> Column:
+        span = F.element_at(spans, place + 1)
+        by_id = F.least(F.floor((F.col("_id").cast("double") - span["low"]) / span["width"] * parts), F.lit(parts - 1))
+        unit = F.shiftrightunsigned("_hash", 1) / F.lit(float(1 << 63))
+        by_hash = span["hot"] - 1 - F.least(F.floor(unit * span["hot"]), span["hot"] - 1)
+        is_hot = (span["hot"] > 0) & (F.col("_id") == span["bound"])
+        within = F.when(is_hot, by_hash).otherwise(F.greatest(by_id, F.lit(0)))
+        return F.shiftleft((2 * place + is_hot.cast("int")).cast("bigint"), 40) + within.cast("bigint")
+
+    place = F.aggregate(F.array(*[F.lit(b).cast("bigint") for b in bounds[:-1]]).cast("array<bigint>"), F.lit(0), lambda n, b: n + (b < F.col("_id")).cast("int"))
+    return docs.withColumn("_range", _let(place, number))
 
 
 def with_next(docs: DataFrame, column: str, extra: dict[str, Callable[[Column], Column]]) -> DataFrame:

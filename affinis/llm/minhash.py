@@ -296,17 +296,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor: Tensor | None = None) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
-    Of rows that repeat an id the one whose text has the smallest hash stays; rows with a null id stay. Only rows whose bit is set among the ids to drop are moved
-    to be compared with those ids.
+    A document is an id with a text (told by a 64-bit hash of both): one id with unlike texts is several documents, of which each stays that is like no other. Of rows equal in both one stays,
+    and rows with a null id stay. Only rows whose bit is set among the documents to drop are moved to be compared with them. Columns of any name stay as they are.
     """
-    groups = cut(near_duplicates(docs, width, percent, tensor))
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    bits = bit_table(gone.unionByName(again).withColumnRenamed("doc_id", "id"))
-    bit = bit_of("doc_id")
-    rows = docs.select("doc_id", F.struct("*").alias("row"), bit.alias("bit"))
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    named = docs.select(own.alias("key"), F.col("doc_id").cast("bigint").alias("id"), "text")
+    groups = cut(near_duplicates(named.select(F.col("key").alias("doc_id"), "text"), width, percent, tensor).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")))
+    # Groups are by hash; of each the member with the smallest id stays.
+    members = groups.where("key <> component").distinct()
+    members = members.unionByName(members.select(F.col("component").alias("key"), "component").distinct())
+    members = cut(members.join(named.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "key"))
+    kept = members.groupBy("component").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    gone = cut(members.select("key").join(kept, "key", "left_anti"))
+    again = groups.where(F.col("key").isNotNull()).groupBy("key").count().where("count > 1").select("key")
+    bits = bit_table(gone.unionByName(again).withColumnRenamed("key", "id"))
+    rows = docs.select(own.alias("key"), F.struct("*").alias("row")).withColumn("bit", bit_of("key"))
     rows = rows.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part", "left")
     at = "bitmap_bit_position(bit)"
     rows = rows.withColumn("set", F.expr(f"coalesce(shiftright(cast(conv(hex(substring(bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1, 0) = 1"))
-    maybe = rows.where("set and doc_id is not null").select("doc_id", "row").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-    return rows.where("not set or doc_id is null").select("row.*").unionByName(maybe.select("row.*"))
+    maybe = rows.where("set and key is not null").select("key", "row").join(gone, "key", "left_anti").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.where("not set or key is null").select("row.*").unionByName(maybe.select("row.*"))

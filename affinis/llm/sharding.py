@@ -13,6 +13,8 @@ from .runtime import cut
 
 #: Rows for which one more range of a shard's order is opened.
 RANGE_ROWS = 20_000
+#: Equal rows that are numbered together.
+BENCH = 1000
 
 
 def _unit(*columns: str | Column) -> Column:
@@ -29,7 +31,7 @@ def propagate(groups: DataFrame, targets: list[int], rounds: int) -> DataFrame:
 
     ``groups`` has the number ``n`` of a group's members in each ``shard``. A round finds each group's fullest shard
     that has room, asks for the moves there, and grants of the moves into a shard the share that its quota allows.
-    A member moves only from a shard that holds fewer of the group. One group may exceed a shard and then fills several.
+    A member moves only from a shard that holds no more of the group. One group may exceed a shard and then fills several.
     """
     shards = len(targets)
     state = groups
@@ -38,7 +40,8 @@ def propagate(groups: DataFrame, targets: list[int], rounds: int) -> DataFrame:
         room = [max(0, targets[s] - held.get(s, 0)) for s in range(shards)]
         open_ = _literal([r > 0 for r in room], "boolean")
         best = state.where(F.element_at(open_, F.col("shard") + 1)).groupBy("text_key").agg(F.max(F.struct("n", F.pmod(F.xxhash64("text_key", "shard"), F.lit(997)).alias("t"), F.col("shard").alias("to"))).alias("best"))
-        asked = state.join(best, "text_key").where(F.col("shard") != F.col("best.to")).where((F.col("n") < F.col("best.n")) | ((F.col("n") == F.col("best.n")) & (F.pmod(F.xxhash64("text_key", "shard"), F.lit(997)) <= F.col("best.t")))).select("text_key", "shard", "n", F.col("best.to").alias("to"))
+        # Of shards that hold as many, open ones give to the best of them, and full ones give way to it.
+        asked = state.join(best, "text_key").where((F.col("shard") != F.col("best.to")) & (F.col("n") <= F.col("best.n"))).select("text_key", "shard", "n", F.col("best.to").alias("to"))
         asked = cut(asked)
         wish = {r["to"]: r["n"] for r in asked.groupBy("to").agg(F.sum("n").alias("n")).collect()}
         if not any(room[s] for s in wish):
@@ -69,8 +72,12 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 24) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("text_key"))
-    # A seat tells equal rows apart, so that those of one id and text are dealt to many places; the checkpoint keeps it.
-    rows = cut(rows.withColumn("seat", F.monotonically_increasing_id()))
+    # A seat tells rows of one id and text apart, so that they are dealt to many places. Seats are numbers up to the count of such rows, so where rows lie in files changes nothing.
+    alike = rows.groupBy("doc_id", "size", "text_crc32", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    bench = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / BENCH)))
+    alike = alike.withColumn("bench", bench).repartition("doc_id", "text_key", "bench")
+    seats = F.explode(F.sequence(F.col("bench") * BENCH, F.least(F.col("bench") * BENCH + BENCH, F.col("copies")) - 1))
+    rows = cut(alike.withColumn("seat", seats).drop("copies", "bench"))
     rows = rows.withColumn("start", F.pmod(F.xxhash64("doc_id", "seat", F.lit("start")), F.lit(shards)).cast("int"))
     total = rows.count()
     targets = [total // shards + (s < total % shards) for s in range(shards)]

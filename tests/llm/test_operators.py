@@ -312,6 +312,32 @@ def test_multi_sequence_order():
 # Sharding
 
 
+@pytest.mark.parametrize("full", [0, 1])
+def test_a_pair_meets_where_there_is_room(spark, full):
+    """Two equal texts in two shards, one of which has no room: they meet in the other."""
+    groups = spark.createDataFrame([(1, 0, 1), (1, 1, 1)], "text_key bigint, shard int, n bigint")
+    out = sharding.propagate(groups, [1, 5] if full == 0 else [5, 1], 24).collect()
+    assert [tuple(r) for r in out] == [(1, 1 - full, 2)]
+
+
+def test_shards_do_not_depend_on_files(spark):
+    rng = random.Random(4)
+    rows = [(i % 90, words(rng, 3)) for i in range(200)] + [(1, "hot")] * 2500 + [(i, "hot") for i in range(300)] + [(None, None)] * 3
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain, other = (sorted(map(repr, sharding.shard(t, 5).collect())) for t in (table, table.orderBy(F.rand(3)).repartition(7)))
+    assert plain == other and len(plain) == len(rows)
+
+
+def test_one_id_with_unlike_texts_keeps_both(spark):
+    rng = random.Random(5)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = a + " tail"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b + " more", "u"), (4, c, "v"), (4, c, "v"), (None, a, "n"), (5, None, "e"), (5, "", "e"), (0, near, "w")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+    got = sorted(map(repr, (tuple(r) for r in minhash.drop_near_duplicates(table).collect())))
+    assert got == sorted(map(repr, [(0, near, "w"), (2, b, "z"), (4, c, "v"), (None, a, "n"), (5, None, "e"), (5, "", "e")]))
+
+
 def test_shards(spark):
     rng = random.Random(10)
     texts = [words(rng, 5) for _ in range(150)] + ["hot"] * 200 + ["pair"] * 2 + ["x", "x", "x"] + [None, "", None]
