@@ -8,11 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from affinis.functions import vec
 
-from . import knn
+from . import knn, svm
 
 #: Most training examples that are brought to the driver.
 MOST_EXAMPLES = 20_000
@@ -182,58 +183,30 @@ class KernelModel:
     flipped: bool = False
 
     def score(self, vector: Column) -> Column:
-        parts = F.array(*[F.struct(knn.literal(s).alias("s"), F.lit(float(w)).alias("w")) for s, w in zip(self.support, self.weights, strict=True)])
-        margin = F.aggregate(parts, F.lit(float(self.bias)), lambda acc, t: acc + t["w"] * vec.intersection(t["s"], vector))
-        p = 1.0 / (1.0 + F.exp(self.slope * margin + self.offset))
-        return 1.0 - p if self.flipped else p
-
-
-def _solve(kernel: np.ndarray, y: np.ndarray, bound: np.ndarray, rounds: int = 2000) -> tuple[np.ndarray, float]:
-    """Support vector dual by pairwise steps on the most violating pair."""
-    alpha, grad = np.zeros(len(y)), -np.ones(len(y))
-    q = kernel * np.outer(y, y)
-    for _ in range(rounds):
-        up = ((y > 0) & (alpha < bound)) | ((y < 0) & (alpha > 0))
-        low = ((y > 0) & (alpha > 0)) | ((y < 0) & (alpha < bound))
-        v = -y * grad
-        i, j = int(np.where(up, v, -np.inf).argmax()), int(np.where(low, v, np.inf).argmin())
-        if not up.any() or not low.any() or v[i] - v[j] < 1e-6:
-            break
-        step = (v[i] - v[j]) / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12)
-        step = min(step, bound[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else bound[j] - alpha[j])
-        alpha[i] += y[i] * step
-        alpha[j] -= y[j] * step
-        grad += step * (q[:, i] * y[i] - q[:, j] * y[j])
-    v = -y * grad
-    free = (alpha > 1e-9) & (alpha < bound - 1e-9)
-    return alpha, float(v[free].mean() if free.any() else (v[y > 0].max() + v[y < 0].min()) / 2)
-
-
-def _sigmoid(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of ``1 / (1 + exp(a m + b))`` by Newton steps on smoothed targets."""
-    n1, n0 = (y > 0).sum(), (y < 0).sum()
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    beta = np.array([0.0, np.log((n0 + 1) / (n1 + 1))])
-    x = np.stack([margins, np.ones_like(margins)], 1)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(np.clip(x @ beta, -500, 500)))
-        grad = x.T @ (target - p)
-        if np.abs(grad).max() < 1e-9:
-            break
-        beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), grad)
-    return float(beta[0]), float(beta[1])
+        """By sorted support values, in Arrow batches."""
+        margin, bias, slope, offset, flipped = svm.margin_of(INTERSECTION, self.support, self.weights), self.bias, self.slope, self.offset, self.flipped
+
+        @F.pandas_udf("double")
+        def run(vectors: pd.Series) -> pd.Series:
+            p = 1 / (1 + np.exp(np.clip(slope * (margin(np.stack(vectors.to_numpy()).astype(np.float64)) + bias) + offset, -700, 700)))
+            return pd.Series(1 - p if flipped else p)
+
+        return run(vector)
+
+
+INTERSECTION = svm.Kernel("intersection")
 
 
 def fit_intersection_svm(positives: np.ndarray, negatives: np.ndarray, c: float = 2.0) -> KernelModel:
     """SVM with the histogram-intersection kernel; positives weigh ``max(1, negatives / positives)``."""
     x = np.concatenate([positives, negatives])
     y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
-    kernel = np.minimum(x[:, None], x[None]).sum(2)
     bound = np.where(y > 0, c * max(1.0, len(negatives) / len(positives)), c)
-    alpha, bias = _solve(kernel, y, bound)
-    slope, offset = _sigmoid(kernel @ (alpha * y) + bias, y)
+    alpha, bias = svm.solve(INTERSECTION, x, y, bound, gap=1e-6)
     keep = alpha > 1e-9
-    return KernelModel(x[keep], (alpha * y)[keep], bias, slope, offset)
+    support, weights = x[keep], (alpha * y)[keep]
+    slope, offset = svm.sigmoid(svm.margin_of(INTERSECTION, support, weights)(x) + bias, y)
+    return KernelModel(support, weights, bias, slope, offset)
 
 
 def intersection_relevancy(pool: DataFrame, positives: DataFrame, negatives: DataFrame | None = None, c: float = 2.0) -> DataFrame:
