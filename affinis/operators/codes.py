@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from affinis.functions import bits
 
-from . import knn
 from .cutting import cut
 
 #: Bits of a word in wide codes.
@@ -72,10 +71,3 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, n: int, width: int, size
     answer = queries.select("qid", "qcode").join(near, F.col("qcode").eqNullSafe(F.col("near"))).select("qid", "code", "bits", "distance")
     return answer, seen.groupBy("qcode").agg(F.count(F.lit(1)).alias("compared"))
 
-
-def search(coded: DataFrame, queries: DataFrame, n: int, width: int, by="cosine", n_codes: int | None = None, digits: int | None = None, size: int = 8) -> DataFrame:
-    """As ``lsh.search``, with codes found by their pieces."""
-    near = nearest_codes(coded, queries, n_codes or n, width, size)[0].select("qid", "code")
-    asked = near.join(queries.select("qid", "qvector"), "qid")
-    dist = knn.metric(by)(F.col("vector"), F.col("qvector"))
-    return knn.top(coded.join(asked, "code").select("qid", "uid", (F.round(dist, digits) if digits else dist).alias("dist")), n)

@@ -64,16 +64,16 @@ def mean_vector(rows: DataFrame) -> DataFrame:
 def covariance(rows: DataFrame) -> DataFrame:
     """``(i, j, cov)`` for ``i <= j``, with ``n - 1`` in the denominator.
 
-    One pass of sums of products: a row gives ``d * (d + 1) / 2`` of them, combined before the shuffle.
+    Two passes of the tasks' partial sums, of means and of centred products; only these, ``d * d`` numbers, come to the driver.
     """
-    d = rows.select(F.size("vector")).first()[0]
-    x = lambda i: F.col("vector")[i]
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(x(i), x(j)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i, d)]) if d <= 16 else None
-    if sums is not None:
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("cov")) for i in range(d) for j in range(i, d)])
-        return sums.select(F.inline(cells))
-    cells = rows.select(F.posexplode("vector").alias("i", "a"), "vector").select("i", "a", F.posexplode("vector").alias("j", "b")).where("i <= j")
-    return cells.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("cov"))
+    first = rows.where(F.col("vector").isNotNull()).select(F.size("vector")).first()
+    if first is None:
+        return rows.sparkSession.createDataFrame([], "i int, j int, cov double")
+    d = first[0]
+    sums = _partial_sums(rows, lambda x: np.concatenate([[len(x)], x.sum(0)]), d + 1)
+    n, mean = sums[0], sums[1:] / sums[0]
+    scatter = _partial_sums(rows, lambda x: (x - mean).T @ (x - mean), d * d).reshape(d, d)
+    return rows.sparkSession.createDataFrame([(i, j, float(scatter[i, j] / (n - 1)) if n > 1 else None) for i in range(d) for j in range(i, d)], "i int, j int, cov double")
 
 
 def _partial_sums(rows: DataFrame, function, size: int) -> np.ndarray:

@@ -15,8 +15,8 @@ from affinis.functions import vec
 Metric = Callable[[Column, Column], Column]
 #: Query rows that may be broadcast at once: 16,384 vectors of 1,000 doubles are 130 MB.
 MOST_QUERIES = 16_384
-#: Blocks of a group's rows in a kernel, and of a pool that is joined with more queries than may be broadcast.
-KERNEL_BLOCKS, POOL_PARTS = 8, 64
+#: Rows of a block of a kernel's group, and parts of a pool that is joined with more queries than may be broadcast.
+BLOCK_ROWS, POOL_PARTS = 256, 64
 
 
 def hash_order(column: str = "uid", seed: int = 0) -> Column:
@@ -82,18 +82,43 @@ def nearest_batch(queries: DataFrame, pool: DataFrame, n: int, by: str | Metric
     return top(pairs(queries, pool, by, digits), n, skip_self)
 
 
+def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, blocks)``: in how many blocks of about ``BLOCK_ROWS`` a group's rows are dealt."""
+    return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+
+
+def matrix(a: DataFrame, b: DataFrame, by: str | Metric = "euclidean", digits: int | None = None, on: str | None = None) -> DataFrame:
+    """``(row_id, col_id, dist)`` of all rows of ``a`` with all rows of ``b (uid, vector)`` that have the same ``on``, which is kept.
+
+    Each group is dealt to pairs of blocks by its sizes on both sides, so no group is in one task.
+    """
+    keys = [on] if on else ["_all"]
+    a, b = (x if on else x.withColumn("_all", F.lit(0)) for x in (a, b))
+    sizes = _blocks(a, keys).withColumnRenamed("blocks", "blocks_a").join(_blocks(b, keys).withColumnRenamed("blocks", "blocks_b"), keys)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    one = a.join(sizes, keys).select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), *keys, own("blocks_a").alias("block_a"), each("blocks_b").alias("block_b"))
+    two = b.join(sizes, keys).select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), *keys, each("blocks_a").alias("block_a"), own("blocks_b").alias("block_b"))
+    dist = metric(by)(F.col("a"), F.col("b"))
+    return one.join(two, [*keys, "block_a", "block_b"]).select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"), *[on] * bool(on))
+
+
 def kernel(rows: DataFrame, by: str | Metric = "hik", digits: int | None = None, within: str | None = None) -> DataFrame:
     """Symmetric distance kernel ``(row_id, col_id, dist)``: each unordered pair is computed once and mirrored.
 
     With ``within``, a column of ``rows``, there is one kernel for each of its values, which is kept; rows where it is null are in none.
     """
-    # Rows are dealt in pairs of blocks, which are keys of an equi-join, so that a large group isn't in one task.
-    keys, each = [*[within] * bool(within), "block_a", "block_b"], F.explode(F.sequence(F.lit(0), F.lit(KERNEL_BLOCKS - 1)))
-    own = F.pmod(F.xxhash64("uid"), F.lit(KERNEL_BLOCKS)).cast("int")
-    a = rows.select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), *[within] * bool(within), own.alias("block_a"), each.alias("block_b"))
-    b = rows.select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), *[within] * bool(within), own.alias("block_b"), each.alias("block_a"))
+    # Rows are dealt in unordered pairs of blocks, as many as the group's size asks for, which are keys of an equi-join.
+    keys = [within] if within else ["_all"]
+    rows = rows if within else rows.withColumn("_all", F.lit(0))
+    sized = rows.join(_blocks(rows, keys), keys).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("uid", "vector", *keys, "own", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"))
+    spot = [*keys, "block_a", "block_b"]
+    a = dealt.where("own = block_a").select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), *spot)
+    b = dealt.where("own = block_b").select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), *spot)
     dist = metric(by)(F.col("a"), F.col("b"))
-    both = a.join(b, keys).where(F.col("row_id") <= F.col("col_id"))
+    both = a.join(b, spot).where((F.col("block_a") < F.col("block_b")) | (F.col("row_id") <= F.col("col_id")))
     keys = [within] * bool(within)
     half = both.select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"), *keys)
     twice = F.explode(F.when(F.col("row_id") == F.col("col_id"), F.array(F.struct("row_id", "col_id"))).otherwise(F.array(F.struct("row_id", "col_id"), F.struct(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id")))))
@@ -136,15 +161,7 @@ def kernel_with(kernel_rows: DataFrame, rows: DataFrame, new: DataFrame, by: str
 
     With ``within``, a column of both, only pairs of equal values are in the kernel.
     """
-    if within:
-        # A group is dealt in blocks by the old rows, so that a large one isn't in one task.
-        q = new.select(F.col("uid").alias("row_id"), F.col("vector").alias("a"), within).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(KERNEL_BLOCKS - 1))))
-        v = rows.select(F.col("uid").alias("col_id"), F.col("vector").alias("b"), within, F.pmod(F.xxhash64("uid"), F.lit(KERNEL_BLOCKS)).cast("int").alias("block"))
-        dist = metric(by)(F.col("b"), F.col("a"))
-        old = v.join(q, [within, "block"]).select("row_id", "col_id", (F.round(dist, digits) if digits else dist).alias("dist"))
-    else:
-        q = new.select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"))
-        old = pairs(q, rows, by, digits).select(F.col("qid").alias("row_id"), F.col("uid").alias("col_id"), "dist")
+    old = matrix(new, rows, by, digits, within).select("row_id", "col_id", "dist")
     mirrored = old.select(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"), "dist")
     own = kernel(new, by, digits, within).select("row_id", "col_id", "dist")
     return kernel_rows.select("row_id", "col_id", "dist").unionByName(old).unionByName(mirrored).unionByName(own)

@@ -245,11 +245,25 @@ def margin_feedback(scored: DataFrame, n: int, centre: float = 0.5, digits: int
 
 
 def quantise(features: DataFrame, codebook: list[list[float]], k: int = 1) -> DataFrame:
-    """``(item, x, y, bin, rank)``: the ``k`` nearest codewords of each local feature ``vector``."""
-    table = F.array(*[F.struct(F.lit(i).alias("bin"), knn.literal(c).alias("c")) for i, c in enumerate(codebook)])
-    near = F.slice(F.array_sort(F.transform(table, lambda t: F.struct(vec.squared_euclidean(F.col("vector"), t["c"]).alias("d"), t["bin"].alias("bin")))), 1, k)
+    """``(item, x, y, bin, rank)``: the ``k`` nearest codewords of each local feature ``vector``; ties by number.
+
+    The codebook is broadcast, and Arrow batches are compared with it; distances that tie within rounding of the batch product are taken again by their definition.
+    """
+    shared = features.sparkSession.sparkContext.broadcast(np.array(codebook, np.float64))
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        c = shared.value
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        n = min(k + 8, len(c))
+        rough = (c**2).sum(1) - 2 * x @ c.T
+        some = np.sort(np.argpartition(rough, n - 1, axis=1)[:, :n], 1) if n < len(c) else np.broadcast_to(np.arange(len(c)), rough.shape)
+        exact = ((x[:, None] - c[some]) ** 2).sum(2)
+        return pd.Series(list(np.take_along_axis(some, np.argsort(exact, 1, kind="stable")[:, :k], 1).astype(np.int32)))
+
     keep = [c for c in features.columns if c != "vector"]
-    return features.select(*keep, F.posexplode(near).alias("rank", "w")).select(*keep, F.col("w.bin").alias("bin"), (F.col("rank") + 1).alias("rank"))
+    near = features.where(F.col("vector").isNotNull()).withColumn("_bins", nearest("vector"))
+    return near.select(*keep, F.posexplode("_bins").alias("rank", "bin")).select(*keep, "bin", (F.col("rank") + 1).alias("rank"))
 
 
 def clusters(rows: DataFrame, k: int, seed: int = 0, rounds: int = 20) -> DataFrame:

@@ -17,8 +17,9 @@ def buckets(coded: DataFrame) -> DataFrame:
     return coded.groupBy("code").agg(F.sort_array(F.collect_set("uid")).alias("uids"))
 
 
-def count(bucket_rows: DataFrame) -> DataFrame:
-    return bucket_rows.agg(F.coalesce(F.sum(F.size("uids")), F.lit(0)).cast("bigint").alias("n"))
+def count(coded: DataFrame) -> DataFrame:
+    """How many ids the codes hold, each once a code."""
+    return coded.select("code", "uid").distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
 def nearest_codes(codes: DataFrame, queries: DataFrame, n: int, width: int) -> DataFrame:
@@ -37,14 +38,14 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, n: int, width: int) -> D
     return queries.select("qid", "qcode").join(near, F.col("qcode").eqNullSafe(F.col("near"))).select("qid", "code", "bits", "distance")
 
 
-def search(coded: DataFrame, queries: DataFrame, n: int, width: int, by="cosine", n_codes: int | None = None, digits: int | None = None) -> DataFrame:
+def search(coded: DataFrame, queries: DataFrame, n: int, width: int, by="cosine", n_codes: int | None = None, digits: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """``(qid, uid, dist, rank)``: members of each query's ``n`` nearest codes, ranked exactly.
 
     ``coded`` is ``(uid, vector, code)``, ``queries`` ``(qid, qvector, qcode)``. As in the classic index, ``n`` counts codes as
-    well as results; ``n_codes`` sets the number of codes apart.
+    well as results; ``n_codes`` sets the number of codes apart. ``near`` are nearest codes found another way.
     """
-    near = nearest_codes(coded, queries, n_codes or n, width).select("qid", "code")
-    asked = near.join(queries.select("qid", "qvector"), "qid")
+    near = nearest_codes(coded, queries, n_codes or n, width) if near is None else near
+    asked = near.select("qid", "code").join(queries.select("qid", "qvector"), "qid")
     dist = knn.metric(by)(F.col("vector"), F.col("qvector"))
     found = coded.join(asked, "code").select("qid", "uid", (F.round(dist, digits) if digits else dist).alias("dist"))
     return knn.top(found, n)

@@ -18,36 +18,43 @@ def bases(dimensions: int, trees: int, depth: int, seed: int | None = 0) -> list
     return np.random.default_rng(seed).standard_normal((trees, depth, dimensions)).tolist()
 
 
+def _projected(rows: DataFrame, column: str, directions: list[list[list[float]]], keep: list[str]) -> DataFrame:
+    """``keep`` with a row for each tree: ``ps``, the vector along the tree's direction of each level. Vectors don't go along."""
+    table = F.array(*[F.array(*[knn.literal(d) for d in tree]) for tree in directions])
+    along = F.transform(F.array(F.col(column)), lambda v: F.transform(table, lambda tree: F.transform(tree, lambda d: vec.dot(v, d))))[0]
+    return rows.select(*keep, F.posexplode(along).alias("tree", "ps"))
+
+
 def build(rows: DataFrame, directions: list[list[list[float]]]) -> tuple[DataFrame, dict[tuple[int, int], float]]:
-    """``(uid, vector, tree, leaf)`` and the split values by ``(tree, node)``.
+    """``(uid, tree, leaf)`` and the split values by ``(tree, node)``.
 
     All trees grow together. Per level one aggregate gives the nodes' medians, from sketches of bounded size, ``2 ** depth`` values a tree come to the
     driver, and each row goes left where its value is below its node's, as queries do. Rows of equal values stay together.
     """
-    table = F.array(*[F.array(*[knn.literal(d) for d in tree]) for tree in directions])
-    out = rows.select("uid", "vector", F.posexplode(table).alias("tree", "dirs")).withColumn("node", F.lit(1))
+    out = _projected(rows, "vector", directions, ["uid"]).withColumn("node", F.lit(1))
     splits: dict[tuple[int, int], float] = {}
     for level in range(len(directions[0])):
-        out = out.withColumn("p", vec.dot(F.col("vector"), F.col("dirs")[level]))
-        new = {(r["tree"], r["node"]): r["m"] for r in out.groupBy("tree", "node").agg(F.percentile_approx("p", 0.5, ACCURACY).alias("m")).collect()}
+        p = F.col("ps")[level]
+        new = {(r["tree"], r["node"]): r["m"] for r in out.groupBy("tree", "node").agg(F.percentile_approx(p, 0.5, ACCURACY).alias("m")).collect()}
         splits |= new
-        out = out.withColumn("node", F.col("node") * 2 + F.when(F.col("p") < _split(new, F.col("node")), 0).otherwise(1)).drop("p")
-    return out.select("uid", "vector", "tree", F.col("node").alias("leaf")), splits
+        out = out.withColumn("node", _child(new, len(directions), level, p))
+    return out.select("uid", "tree", F.col("node").alias("leaf")), splits
 
 
-def _split(splits: dict[tuple[int, int], float], node: Column) -> Column:
-    """The split value of a row's ``tree`` and ``node``."""
-    known = F.map_from_arrays(F.array(*[F.lit(f"{t}:{n}") for t, n in splits]), F.array(*[F.lit(float(v)) for v in splits.values()]))
-    return F.element_at(known, F.concat_ws(":", F.col("tree").cast("string"), node.cast("string")))
+def _child(splits: dict[tuple[int, int], float], trees: int, level: int, p: Column) -> Column:
+    """The child of a row's ``node`` on ``level`` of its ``tree``: values by place in an array."""
+    width = 1 << level
+    values = F.array(*[F.lit(splits.get((t, width + i))).cast("double") for t in range(trees) for i in range(width)])
+    split = F.element_at(values, F.col("tree") * width + F.col("node") - width + 1)
+    return F.col("node") * 2 + F.when(p < split, 0).otherwise(1)
 
 
 def leaves(queries: DataFrame, directions: list[list[list[float]]], splits: dict[tuple[int, int], float]) -> DataFrame:
-    """``(qid, qvector, tree, leaf)``: a query goes left where its value is below the split."""
-    table = F.array(*[F.array(*[knn.literal(d) for d in tree]) for tree in directions])
-    out = queries.select("qid", "qvector", F.posexplode(table).alias("tree", "dirs")).withColumn("leaf", F.lit(1))
+    """``(qid, tree, leaf)``: a query goes left where its value is below the split."""
+    out = _projected(queries, "qvector", directions, ["qid"]).withColumn("node", F.lit(1))
     for level in range(len(directions[0])):
-        out = out.withColumn("leaf", F.col("leaf") * 2 + F.when(vec.dot(F.col("qvector"), F.col("dirs")[level]) < _split(splits, F.col("leaf")), 0).otherwise(1))
-    return out.drop("dirs")
+        out = out.withColumn("node", _child(splits, len(directions), level, F.col("ps")[level]))
+    return out.select("qid", "tree", F.col("node").alias("leaf"))
 
 
 def axes(rows: DataFrame, trees: int, depth: int, seed: int = 0, among: int = 40) -> list[list[list[float]]]:
@@ -58,9 +65,12 @@ def axes(rows: DataFrame, trees: int, depth: int, seed: int = 0, among: int = 40
     return [[np.eye(width)[i].tolist() for i in rng.permutation(widest)[:depth]] for _ in range(trees)]
 
 
-def search(built: DataFrame, queries: DataFrame, directions, splits, n: int, squared: bool = True, digits: int | None = None) -> DataFrame:
-    """``(qid, uid, dist, rank)`` from the union of the queries' leaves, by squared Euclidean distance."""
-    asked = leaves(queries, directions, splits)
-    found = built.join(asked, ["tree", "leaf"]).dropDuplicates(["qid", "uid"])
+def search(rows: DataFrame, built: DataFrame, queries: DataFrame, directions, splits, n: int, squared: bool = True, digits: int | None = None) -> DataFrame:
+    """``(qid, uid, dist, rank)`` from the union of the queries' leaves, by squared Euclidean distance.
+
+    Hits are pairs of ids, each once, before the vectors of ``rows`` join.
+    """
+    hits = built.join(leaves(queries, directions, splits), ["tree", "leaf"]).select("qid", "uid").distinct()
     dist = (vec.squared_euclidean if squared else vec.euclidean)(F.col("vector"), F.col("qvector"))
+    found = rows.join(hits.join(queries.select("qid", "qvector"), "qid"), "uid")
     return knn.top(found.select("qid", "uid", (F.round(dist, digits) if digits else dist).alias("dist")), n)

@@ -7,12 +7,13 @@ all its rows keeps one without an id. Updates of one index must not run at the s
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from affinis.functions import vec
 from affinis.operators import hashing, ivf, knn, lsh
-from affinis.operators.cutting import cut
+from affinis.operators.cutting import checkpoint_folder, cut
 
 from .indexes import Index, Ivf, Lsh
 
@@ -116,5 +117,10 @@ def save(index: Index, path: str) -> StoredIndex:
     return load(spark, path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder that is not there yet, beside the checkpoints."""
+    return f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, path: str) -> StoredIndex:
     return StoredIndex(spark, path, json.loads(spark.read.text(f"{path}/model").first()["value"]))

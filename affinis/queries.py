@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from affinis.functions import bits, geometry, numbers, text, vec
-from affinis.operators import balls, evaluate, hashing, iqr, knn, learn, lsh, mrpt, sets
-from affinis.plans import descriptors, sql
-from affinis.plans.indexes import Ivf, KdTree, Lsh
+from affinis.operators import balls, codes, evaluate, hashing, iqr, knn, learn, lsh, mrpt, sets, svm, trees
+from affinis.plans import descriptors, sql, stored
+from affinis.plans.indexes import Exact, Graph, Ivf, KdTree, KMeansTree, Lsh
 from affinis.sources import files
 from affinis.streaming import incremental
 
@@ -105,7 +105,10 @@ def dist_hik(spark, d):
     return _all_pairs(spark, d, histograms, "hik")
 
 
-@query(_pairs_sql(H, "h", f"list_sum({ZIP.format('CASE WHEN a.vector[i] + b.vector[i] > 0 THEN (a.vector[i] - b.vector[i]) * (a.vector[i] - b.vector[i]) / (a.vector[i] + b.vector[i]) ELSE 0.0 END')})"))
+_CHI = f"list_sum({ZIP.format('CASE WHEN a.vector[i] + b.vector[i] > 0 THEN (a.vector[i] - b.vector[i]) * (a.vector[i] - b.vector[i]) / (a.vector[i] + b.vector[i]) ELSE 0.0 END')})"
+
+
+@query(_pairs_sql(H, "h", _CHI))
 def dist_chi_square(spark, d):
     return _all_pairs(spark, d, histograms, "chi_square")
 
@@ -211,11 +214,11 @@ def kernel_update(spark, d):
     return knn.kernel_with(first, old, new, "hik", 6, within="label")
 
 
-@query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({L2}, 6) AS dist FROM h a CROSS JOIN h b WHERE a.label = 1 AND b.label = 2")
+@query(f"WITH {H} SELECT a.uid AS row_id, b.uid AS col_id, round({L2}, 6) AS dist FROM h a JOIN h b ON a.label + 1 = b.label")
 def distance_matrix(spark, d):
+    """All rows of each label with all rows of the next."""
     rows = histograms(spark, d)
-    q = rows.where("label = 1").select(F.col("uid").alias("qid"), F.col("vector").alias("qvector"))
-    return knn.pairs(q, rows.where("label = 2"), "euclidean", 6).select(F.col("qid").alias("row_id"), F.col("uid").alias("col_id"), "dist")
+    return knn.matrix(rows.withColumn("label", F.col("label") + 1), rows, "euclidean", 6, on="label").drop("label")
 
 
 @query(f"WITH {V}, p AS (SELECT b.uid, round({L2}, 6) AS dist FROM v a JOIN v b ON a.uid = 0) SELECT uid, dist FROM p ORDER BY dist, uid LIMIT 20 OFFSET 10")
@@ -233,10 +236,12 @@ def random_uids(spark, d):
 # Keyed collections.
 
 
-@query("SELECT w.pos, e.vec_id AS uid, e.label FROM (SELECT CAST(i AS INT) AS pos, (i * 37) % 100 AS uid FROM range(0, 150) t(i)) w JOIN embeddings e ON e.vec_id = w.uid")
+@query("SELECT CAST(p.page_id AS BIGINT) AS pos, e.vec_id AS uid, e.label FROM pages p JOIN embeddings e ON e.vec_id = (p.page_id * 37) % (SELECT count(*) FROM embeddings)")
 def multi_get_ordered(spark, d):
-    wanted = spark.range(150).select(F.col("id").cast("int").alias("pos"), (F.col("id") * 37 % 100).alias("uid"))
-    return sets.ordered_get(vectors(spark, d).select("uid", "label"), wanted).select("pos", "uid", "label")
+    """A vector's label for every page, by a number of the page; many ask for the same."""
+    rows = vectors(spark, d).select("uid", "label")
+    wanted = table(spark, d, "pages").select(F.col("page_id").cast("bigint").alias("pos"), (F.col("page_id") * 37 % rows.count()).alias("uid"))
+    return sets.ordered_get(rows, wanted).select("pos", "uid", "label")
 
 
 @query("SELECT vec_id AS uid, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
@@ -257,10 +262,11 @@ def kv_remove_many(spark, d):
     return sets.remove(rows, rows.where("key % 3 = 0").select("key"))
 
 
-@query("SELECT o.k AS key, coalesce(e.label, -1) AS value FROM (SELECT range AS k FROM range(0, 700)) o LEFT JOIN embeddings e ON e.vec_id = o.k")
+@query("SELECT o.doc_id AS key, coalesce(e.label, -1) AS value FROM documents o LEFT JOIN embeddings e ON e.vec_id = o.doc_id")
 def kv_get_default(spark, d):
+    """The label of the vector of every document's id, -1 for those without."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("value"))
-    return sets.get(rows, spark.range(700).withColumnRenamed("id", "key"), default=-1)
+    return sets.get(rows, table(spark, d, "documents").select(F.col("doc_id").alias("key")), default=-1)
 
 
 _LOG = "SELECT user_id AS sid, event_id % 97 AS uid, CAST(floor(event_id / 50) AS BIGINT) AS batch, CASE WHEN event_id % 7 < 3 THEN 'pos' WHEN event_id % 7 < 5 THEN 'neg' WHEN event_id % 7 = 5 THEN 'un_pos' ELSE 'un_neg' END AS action FROM events"
@@ -305,7 +311,7 @@ def hash_buckets(spark, d):
 
 @query("SELECT count(*) AS n FROM embeddings")
 def index_count(spark, d):
-    return lsh.count(lsh.buckets(coded(spark, d)))
+    return lsh.count(coded(spark, d))
 
 
 @query(f"WITH {CODED} SELECT uid, code FROM c WHERE uid % 4 = 0")
@@ -416,7 +422,7 @@ SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OV
 def mrpt_knn(spark, d):
     rows = vectors(spark, d)
     built, splits = mrpt.build(rows, _DIRECTIONS)
-    return mrpt.search(built, asked(rows), _DIRECTIONS, splits, 10, digits=6)
+    return mrpt.search(rows, built, asked(rows), _DIRECTIONS, splits, 10, digits=6)
 
 
 @query()
@@ -425,6 +431,77 @@ def kdtree_knn(spark, d):
     return KdTree(trees=20, depth=3).build(rows).search(asked(rows), 10)
 
 
+@query()
+def graph_knn(spark, d):
+    rows = vectors(spark, d)
+    return Graph().build(rows).search(asked(rows), 10)
+
+
+#: Leading dimensions of the vectors that the kd-tree and the tree of k-means index.
+KD_DIMS, TREE_DIMS, TREE_BUDGET = 3, 6, 4
+_SHORT = f"{V}, k AS (SELECT uid, vector[1 : {KD_DIMS}] AS vector FROM v)"
+
+
+def short_vectors(spark, d, width: int) -> DataFrame:
+    return vectors(spark, d).withColumn("vector", F.slice("vector", 1, width))
+
+
+@query(_ranked(_SHORT, "k", L2, 10))
+def kd_exact_knn(spark, d):
+    """Exact neighbours in the first dimensions, by branch and bound."""
+    rows = short_vectors(spark, d, KD_DIMS)
+    return trees.kd_search(*trees.kd_build(rows, 32), asked(rows), 10, digits=6)[0]
+
+
+@query()
+def kmeans_tree_knn(spark, d):
+    """Neighbours in the first dimensions, among a quarter of the pool."""
+    rows = short_vectors(spark, d, TREE_DIMS)
+    return KMeansTree(8, 32, budget=rows.count() // TREE_BUDGET).build(rows).search(asked(rows), 10)
+
+
+@query(_ranked(H, "h", _CHI, 10))
+def knn_chi_square(spark, d):
+    rows = histograms(spark, d)
+    return Exact("chi_square").build(rows).search(asked(rows), 10).withColumn("dist", F.round("dist", 6))
+
+
+#: Bits of the codes that are searched by pieces and by a tree of balls.
+PIECED = 32
+_PIECED_CODE = " + ".join(f"(CASE WHEN list_sum(list_transform(range(1, 65), lambda i: vector[i] * ({[int(row[j]) for row in hashing.sign_matrix(64, PIECED)]})[i])) >= 0 THEN {1 << (PIECED - 1 - j)}::BIGINT ELSE 0 END)" for j in range(PIECED))
+_PIECED = f"""WITH {V}, c AS (SELECT uid, CAST({_PIECED_CODE} AS BIGINT) AS code FROM v), k AS (SELECT DISTINCT code FROM c),
+t AS (SELECT q.uid AS qid, k.code, CAST(bit_count(xor(q.code, k.code)) AS INT) AS bits FROM c q CROSS JOIN k WHERE q.uid % {EVERY} = 0)
+SELECT qid, code, bits, bits / {PIECED}.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bits, code) AS r FROM t) WHERE r <= 5"""
+
+
+def pieced(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = hashing.with_codes(vectors(spark, d), hashing.Projection([[float(x) for x in row] for row in hashing.sign_matrix(64, PIECED)])).select("uid", "code")
+    return rows, rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("qid"), F.col("code").alias("qcode"))
+
+
+@query(_PIECED)
+def piece_codes(spark, d):
+    """Nearest codes, exactly, by tables of their pieces."""
+    return codes.nearest_codes(*pieced(spark, d), 5, PIECED)[0]
+
+
+@query(_PIECED)
+def ball_tree_codes(spark, d):
+    """Nearest codes, exactly, by a tree of balls."""
+    rows, q = pieced(spark, d)
+    return balls.nearest_in_tree(rows, *balls.tree(rows), q, 5, PIECED)
+
+
+@query(ORACLES["lsh_knn"])
+def stored_lsh_knn(spark, d):
+    """As ``lsh_knn``, from an index written to a folder and loaded again."""
+    rows = vectors(spark, d)
+    index = Lsh(bits=BITS, n_codes=N_CODES, functor="random")
+    index.projection = projection()
+    index = stored.save(index.build(rows), stored.new_folder(spark))
+    return stored.load(spark, index.path).search(asked(rows), 10).withColumn("dist", F.round("dist", 6))
+
+
 # Labels, scores and folds. A vector's score for a label is its share in ten bins of its histogram.
 
 _SCORES = f"{H}, s AS (SELECT uid, label, list_transform(range(0, 10), lambda b: list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i % 10 = b THEN vector[i] ELSE 0.0 END))) AS s FROM h)"
@@ -632,10 +709,10 @@ def rank_margin_feedback(spark, d):
     return learn.margin_feedback(scores, 10, digits=6)
 
 
-@query(f"WITH {H}, p AS (SELECT b.uid, row_number() OVER (PARTITION BY a.uid ORDER BY {HIK} DESC, b.uid) AS r FROM h a JOIN h b ON a.uid % 100 = 0) SELECT DISTINCT uid FROM p WHERE r <= 2")
+@query(f"WITH {H}, p AS (SELECT b.uid, row_number() OVER (PARTITION BY a.uid ORDER BY {HIK} DESC, b.uid) AS r FROM h a JOIN h b ON a.uid % {EVERY} = 0) SELECT DISTINCT uid FROM p WHERE r <= 2")
 def auto_negatives(spark, d):
     rows = histograms(spark, d)
-    return learn.auto_negatives(rows.where("uid % 100 = 0"), rows, 2)
+    return learn.auto_negatives(rows.where(F.col("uid") % EVERY == 0), rows, 2)
 
 
 @query(f"WITH {_ranked(V, 'v', L2, 10)[5:].replace('SELECT qid, uid, dist, CAST(rank AS INT) AS rank FROM', 'SELECT DISTINCT uid FROM')}")
@@ -704,6 +781,20 @@ def svm_classify(spark, d):
     return learn.classify(rows.where("uid % 2 = 1"), model).select("uid", F.map_keys("scores").alias("labels"), F.transform(F.map_values("scores"), lambda x: F.round(x, 6)).alias("confidences"))
 
 
+#: Rows of which the pairwise machines are fitted, at most about.
+SVM_ROWS = 1000
+
+
+@query()
+def csvc_classify(spark, d):
+    """Coupled probabilities of pairwise machines with a radial kernel, fitted on a sample drawn by hash."""
+    rows = vectors(spark, d)
+    share = F.pmod(F.xxhash64("uid", F.lit("svm")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    model = svm.fit(rows.where(share < SVM_ROWS / max(1, rows.count())).limit(2 * SVM_ROWS).select("vector", "label"), svm.Kernel("rbf"))
+    scored = svm.classify(rows, model)
+    return scored.select("uid", F.map_keys("scores").alias("labels"), F.transform(F.map_values("scores"), lambda x: F.round(x, 6)).alias("confidences"))
+
+
 @query()
 def kfold_validation(spark, d):
     """Areas under the curves of classifiers that were fitted on the other folds."""
@@ -868,9 +959,10 @@ def sql_scalar_functions(spark, d):
     return spark.sql("SELECT /*+ BROADCAST(q) */ qid, uid, round(euclidean_distance(vector, qvector), 6) AS dist, round(cosine_likeness(vector, qvector), 6) AS likeness FROM {rows} CROSS JOIN {q} q", rows=rows, q=asked(rows))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, CAST(r AS BIGINT) AS r, CAST(factorial(CAST(n AS INT)) / (factorial(CAST(r AS INT)) * factorial(CAST(n - r AS INT))) AS BIGINT) AS ways FROM range(0, 19) a(n), range(0, 19) b(r) WHERE r <= n")
+@query("""WITH k AS (SELECT p_partkey AS uid, p_size % 19 AS n FROM part), c AS (SELECT uid, n, uid % (n + 1) AS r FROM k)
+SELECT CAST(uid AS BIGINT) AS uid, CAST(n AS BIGINT) AS n, CAST(r AS BIGINT) AS r, CAST(factorial(CAST(n AS INT)) / (factorial(CAST(r AS INT)) * factorial(CAST(n - r AS INT))) AS BIGINT) AS ways FROM c""")
 def n_choose_r(spark, d):
-    rows = spark.range(19).withColumnRenamed("id", "n").withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))))
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("uid"), (F.col("p_size") % 19).cast("bigint").alias("n")).withColumn("r", F.col("uid") % (F.col("n") + 1))
     return rows.withColumn("ways", numbers.binomial(F.col("n"), F.col("r")))
 
 

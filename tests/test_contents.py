@@ -100,7 +100,9 @@ def test_factory_names(spark):
         assert ivf.recall(indexes.from_factory(name, probes).build(rows).search(asked, 5), exact) == 1
     assert ivf.recall(indexes.from_factory("IVF80,Flat", 4).build(rows).search(asked, 5), exact) < 1
     assert exact.count() == 50 and indexes.from_factory("Flat").build(rows).search_page(asked, 5, 1, 3).count() == 20
-    for bad in ("HNSW32", "IVF8,PQ4", "OPQ4,Flat"):
+    found, compared = indexes.from_factory("HNSW32", metric="euclidean").build(rows).searched(asked, 5)
+    assert isinstance(indexes.from_factory("IDMap,HNSW16,Flat", metric="cosine"), indexes.Graph) and ivf.recall(found, exact) >= 0.9 and compared.count() == 10
+    for bad in ("HNSW32,PQ4", "IVF8,PQ4", "OPQ4,Flat"):
         with pytest.raises(ValueError):
             indexes.from_factory(bad)
     make = indexes.INDEXES.factory({"type": "ivf", "ivf": {"cells": 3}})

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from affinis import queries as core
@@ -68,12 +69,29 @@ def test_recall_of_registered_searches(spark):
     larger = "/root/testdata/sf0.1"
     rows = core.vectors(spark, larger)
     exact = {by: knn.nearest_batch(core.asked(rows), rows, 10, by).cache() for by in ("cosine", "euclidean")}
-    searches = [("lsh_knn", "cosine"), ("lsh_wide_knn", "cosine"), ("itq_lsh_knn", "cosine"), ("ivf_knn", "euclidean"), ("mrpt_knn", "euclidean"), ("kdtree_knn", "euclidean")]
+    searches = [("lsh_knn", "cosine"), ("lsh_wide_knn", "cosine"), ("itq_lsh_knn", "cosine"), ("ivf_knn", "euclidean"), ("mrpt_knn", "euclidean"), ("kdtree_knn", "euclidean"), ("graph_knn", "cosine")]
     found = {name: ivf.recall(core.QUERIES[name](spark, larger), exact[by]) for name, by in searches if name in core.QUERIES}
+    short = core.short_vectors(spark, larger, core.TREE_DIMS)
+    found["kmeans_tree_knn"] = ivf.recall(core.QUERIES["kmeans_tree_knn"](spark, larger), knn.nearest_batch(core.asked(short), short, 10))
     print(found)
     assert min(found.values()) >= 0.9, found
 
 
+def test_a_quarter_of_the_pool_is_enough(spark):
+    """What the graph and the tree of k-means compare at sf0.1, at the registered settings."""
+    from affinis.operators import trees
+
+    rows = core.vectors(spark, "/root/testdata/sf0.1")
+    index = core.Graph().build(rows)
+    _, compared = index.searched(core.asked(rows), 10)
+    assert compared.agg(F.avg("compared")).first()[0] <= rows.count() / 4
+    short = core.short_vectors(spark, "/root/testdata/sf0.1", core.TREE_DIMS)
+    budget = short.count() // core.TREE_BUDGET
+    built = trees.kmeans_build(short, 8, 32)
+    _, compared = trees.kmeans_search(*built, core.asked(short), 10, budget)
+    assert compared.agg(F.max("compared")).first()[0] <= budget + 32
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
