@@ -230,14 +230,6 @@ def intersection_relevancy(pool: DataFrame, positives: DataFrame, negatives: Dat
     return scored
 
 
-def classifier_relevancy(pool: DataFrame, positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """``(uid, score)`` by a new classifier for these examples ``(vector)``; an empty pool gives no rows."""
-    if pool.isEmpty():
-        return pool.select("uid", F.lit(0.0).alias("score"))
-    model = logistic(positives.select("vector", F.lit("pos").alias("label")).unionByName(negatives.select("vector", F.lit("neg").alias("label"))))
-    return pool.select("uid", F.coalesce(F.element_at(model.scores(F.col("vector")), "pos"), F.lit(0.0)).alias("score"))
-
-
 def margin_feedback(scored: DataFrame, n: int, centre: float = 0.5, digits: int | None = None) -> DataFrame:
     """The ``n`` rows whose score is nearest to ``centre``, to be labelled next; ties by uid."""
     gap = F.abs(F.col("score") - centre)
