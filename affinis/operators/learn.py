@@ -5,10 +5,12 @@ Training sets of adjudications are small and on the driver as NumPy; pools are s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from affinis.functions import vec
@@ -182,16 +184,24 @@ class KernelModel:
     offset: float
     flipped: bool = False
 
-    def score(self, vector: Column) -> Column:
-        """By sorted support values, in Arrow batches."""
-        margin, bias, slope, offset, flipped = svm.margin_of(INTERSECTION, self.support, self.weights), self.bias, self.slope, self.offset, self.flipped
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(np.clip(self.slope * (svm.margin_of(INTERSECTION, self.support, self.weights)(x) + self.bias) + self.offset, -700, 700)))
+        return 1 - p if self.flipped else p
 
-        @F.pandas_udf("double")
-        def run(vectors: pd.Series) -> pd.Series:
-            p = 1 / (1 + np.exp(np.clip(slope * (margin(np.stack(vectors.to_numpy()).astype(np.float64)) + bias) + offset, -700, 700)))
-            return pd.Series(1 - p if flipped else p)
+    def scored(self, rows: DataFrame, key: str = "uid") -> DataFrame:
+        """``(key, score)`` of ``rows (key, vector)``, by sorted support values in Arrow batches; null vectors have null scores."""
+        shared, plain = rows.sparkSession.sparkContext.broadcast(self), rows.select(key, "vector")
 
-        return run(vector)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = np.full(batch.num_rows, np.nan)
+                there = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+                if there.any():
+                    vectors = batch.column(1).filter(pa.array(there))
+                    out[there] = shared.value.scores(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(there.sum()), -1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, mask=~there)], [key, "score"])
+
+        return plain.mapInArrow(run, f"{key} {dict(plain.dtypes)[key]}, score double")
 
 
 INTERSECTION = svm.Kernel("intersection")
@@ -221,12 +231,12 @@ def intersection_relevancy(pool: DataFrame, positives: DataFrame, negatives: Dat
     if not len(own) or not len(other):
         raise ValueError("positive and negative examples are needed")
     model = fit_intersection_svm(own, other, c)
-    scored = pool.select("uid", model.score(F.col("vector")).alias("score"))
+    scored = model.scored(pool)
     mean = scored.agg(F.avg("score")).first()[0]
-    likes = positives.select(F.avg(model.score(F.col("vector")))).first()[0]
+    likes = model.scored(positives.select(F.lit(0).alias("uid"), "vector")).agg(F.avg("score")).first()[0]
     if mean is not None and likes < mean:
         model.flipped = True
-        scored = pool.select("uid", model.score(F.col("vector")).alias("score"))
+        scored = model.scored(pool)
     return scored
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from affinis.functions import bits, geometry, numbers, text, vec
-from affinis.operators import balls, codes, evaluate, hashing, iqr, knn, learn, lsh, mrpt, sets, svm, trees
-from affinis.plans import descriptors, sql, stored
+from affinis.operators import balls, codes, evaluate, hashing, iqr, knn, learn, lsh, mrpt, sets, svm, tables, trees
+from affinis.plans import descriptors, sql, stored, udtf
 from affinis.plans.indexes import Exact, Graph, Ivf, KdTree, KMeansTree, Lsh
 from affinis.sources import files
 from affinis.streaming import incremental
@@ -460,6 +460,27 @@ def kmeans_tree_knn(spark, d):
     return KMeansTree(8, 32, budget=rows.count() // TREE_BUDGET).build(rows).search(asked(rows), 10)
 
 
+#: Tables, projections of each, width of cells in units of the vectors, and probes of a table.
+PROBED_TABLES, PROBES = (5, 4, 0.25), 8
+
+
+@query()
+def lsh_tables_knn(spark, d):
+    """Neighbours in the first dimensions, from the cells that queries probe in a few hash tables."""
+    rows = short_vectors(spark, d, TREE_DIMS)
+    made = tables.Tables(TREE_DIMS, *PROBED_TABLES)
+    return tables.search(rows, made.index(rows), asked(rows), made, 10, PROBES)
+
+
+@query(_ranked(V, "v", L2, 10))
+def udtf_nearest(spark, d):
+    """Exact neighbours in SQL, ranked by a table function."""
+    udtf.register(spark)
+    rows = vectors(spark, d)
+    pairs = knn.pairs(asked(rows), rows, "euclidean", 6)
+    return spark.sql("SELECT * FROM nearest(TABLE(SELECT * FROM {pairs}), 10)", pairs=pairs)
+
+
 @query(_ranked(H, "h", _CHI, 10))
 def knn_chi_square(spark, d):
     rows = histograms(spark, d)

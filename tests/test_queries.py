@@ -72,14 +72,16 @@ def test_recall_of_registered_searches(spark):
     searches = [("lsh_knn", "cosine"), ("lsh_wide_knn", "cosine"), ("itq_lsh_knn", "cosine"), ("ivf_knn", "euclidean"), ("mrpt_knn", "euclidean"), ("kdtree_knn", "euclidean"), ("graph_knn", "cosine")]
     found = {name: ivf.recall(core.QUERIES[name](spark, larger), exact[by]) for name, by in searches if name in core.QUERIES}
     short = core.short_vectors(spark, larger, core.TREE_DIMS)
-    found["kmeans_tree_knn"] = ivf.recall(core.QUERIES["kmeans_tree_knn"](spark, larger), knn.nearest_batch(core.asked(short), short, 10))
+    near = knn.nearest_batch(core.asked(short), short, 10).cache()
+    for name in ("kmeans_tree_knn", "lsh_tables_knn"):
+        found[name] = ivf.recall(core.QUERIES[name](spark, larger), near)
     print(found)
     assert min(found.values()) >= 0.9, found
 
 
 def test_a_quarter_of_the_pool_is_enough(spark):
-    """What the graph and the tree of k-means compare at sf0.1, at the registered settings."""
-    from affinis.operators import trees
+    """What the graph, the tree of k-means and the hash tables compare at sf0.1, at the registered settings."""
+    from affinis.operators import tables, trees
 
     rows = core.vectors(spark, "/root/testdata/sf0.1")
     index = core.Graph().build(rows)
@@ -90,6 +92,9 @@ def test_a_quarter_of_the_pool_is_enough(spark):
     built = trees.kmeans_build(short, 8, 32)
     _, compared = trees.kmeans_search(*built, core.asked(short), 10, budget)
     assert compared.agg(F.max("compared")).first()[0] <= budget + 32
+    made = tables.Tables(core.TREE_DIMS, *core.PROBED_TABLES)
+    hits = tables.candidates(made.index(short), core.asked(short), made, core.PROBES)
+    assert hits.groupBy("qid").count().agg(F.avg("count")).first()[0] <= short.count() / 4
 
 
 def test_entry(spark):
