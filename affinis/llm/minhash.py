@@ -293,13 +293,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor:
     return rest.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: Bits of a document's key that tell the texts of one id apart.
+TEXT_BITS = 25
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    """A number for an id and a text, null for a null id. Keys follow the order of ids, so that the first of a group of copies is the head of its buckets.
+
+    Ids from 0 to ``2 ** 38`` have the hash of the text in the lowest bits: two texts of one id are taken for one with probability 3e-8. Others have a negative hash of both.
+    """
+    h = F.xxhash64(text)
+    near = F.shiftleft(doc_id, TEXT_BITS).bitwiseOR(h.bitwiseAND((1 << TEXT_BITS) - 1))
+    far = -1 - F.xxhash64(doc_id, text).bitwiseAND((1 << 63) - 1)
+    return F.when(doc_id.between(0, (1 << (63 - TEXT_BITS)) - 1), near).when(doc_id.isNotNull(), far)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tensor: Tensor | None = None) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
-    A document is an id with a text (told by a 64-bit hash of both): one id with unlike texts is several documents, of which each stays that is like no other. Of rows equal in both one stays,
+    A document is an id with a text (``document_key``): one id with unlike texts is several documents, of which each stays that is like no other. Of rows equal in both one stays,
     and rows with a null id stay. Only rows whose bit is set among the documents to drop are moved to be compared with them. Columns of any name stay as they are.
     """
-    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    own = document_key(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     named = docs.select(own.alias("key"), F.col("doc_id").cast("bigint").alias("id"), "text")
     groups = cut(near_duplicates(named.select(F.col("key").alias("doc_id"), "text"), width, percent, tensor).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")))
     # Groups are by hash; of each the member with the smallest id stays.

@@ -332,10 +332,10 @@ def test_one_id_with_unlike_texts_keeps_both(spark):
     rng = random.Random(5)
     a, b, c = (words(rng, 60) for _ in range(3))
     near = a + " tail"
-    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b + " more", "u"), (4, c, "v"), (4, c, "v"), (None, a, "n"), (5, None, "e"), (5, "", "e"), (0, near, "w")]
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b + " more", "u"), (4, c, "v"), (4, c, "v"), (None, a, "n"), (5, None, "e"), (5, "", "e"), (0, near, "w"), (-7, c + " x", "g"), (1 << 60, b, "h")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
     got = sorted(map(repr, (tuple(r) for r in minhash.drop_near_duplicates(table).collect())))
-    assert got == sorted(map(repr, [(0, near, "w"), (2, b, "z"), (4, c, "v"), (None, a, "n"), (5, None, "e"), (5, "", "e")]))
+    assert got == sorted(map(repr, [(0, near, "w"), (2, b, "z"), (-7, c + " x", "g"), (None, a, "n"), (5, None, "e"), (5, "", "e")]))
 
 
 def test_shards(spark):
