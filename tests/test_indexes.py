@@ -6,7 +6,7 @@ from affinis.operators import hashing, ivf, knn, lsh
 from affinis.plans.indexes import INDEXES, Exact, Ivf, Lsh, Mrpt
 from affinis.plans.registry import default_config, envelope, merge
 
-SETTINGS = {"exact": {}, "lsh": {"bits": 4, "metric": "euclidean", "n_codes": 16}, "ivf": {"cells": 4, "probes": 4}, "mrpt": {"trees": 3, "depth": 2}, "kdtree": {"trees": 6, "depth": 2}}
+SETTINGS = {"exact": {}, "lsh": {"bits": 4, "metric": "euclidean", "n_codes": 16}, "ivf": {"cells": 4, "probes": 4}, "mrpt": {"trees": 3, "depth": 2}, "kdtree": {"trees": 6, "depth": 2}, "graph": {"metric": "euclidean"}, "kd_exact": {"leaf": 16}, "kmeans_tree": {"leaf": 16, "budget": 64}}
 
 
 def frame(spark, rows):
