@@ -1,7 +1,7 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens get their labels from labelled documents: a token of a toxic document is toxic if its word or beginning occurs
-in toxic documents and hardly ever in clean ones. The field is trained on these sentences. Forward-backward marginals of all
+Tokens get their labels from labelled documents: a token of a toxic document is toxic if its word or beginning takes a far
+greater share of the words of toxic documents than of clean ones, where it may stand by chance. The field is trained on these sentences. Forward-backward marginals of all
 tokens of a text are summed up to a calibrated document score, and the likely tokens are its spans.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +23,12 @@ from .words import WordHashes, mix, shingles
 
 #: Size of the hashed feature space; each kind of feature has a slot of its own kind in the hash.
 SIZE = 1 << 19
+#: Logarithm of the ratio of those shares from which a word or beginning is evidence.
+LEAST_RATIO = 3.0
+#: Added to the words of a text, so that shares in very short texts don't decide.
+SHORT = 50
+#: About the share of one occurrence in a text of 500 words, added to both sums of shares.
+RARE = 0.002
 _CACHE = 300_000
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,!?;:\"'()[]{}«»“”„*_-"
@@ -82,8 +88,9 @@ def _features(tokens: list[str], lengths: list[int]) -> np.ndarray:
 
 
 def _summary(m: np.ndarray, words: int) -> np.ndarray:
-    """What the score sees of a text's marginals: the highest, their sum, and the sum in proportion to the length."""
-    return np.array([m.max(initial=0.0), math.log1p(m.sum()), 10 * m.sum() / (words + 10)])
+    """What the score sees of a text's marginals: the highest, their sum, and the sum in proportion to the length, as it is and as a logarithm."""
+    total = m.sum()
+    return np.array([m.max(initial=0.0), math.log1p(total), 10 * total / (words + 10), math.log((total + 0.1) / (words + 20))])
 
 
 class Tagger:
@@ -159,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longest:
 
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    none = Model(Chain(np.zeros((SIZE, 2)), np.zeros((2, 2)), np.array([0.0, -20.0])), np.zeros(3), -20.0)
+    none = Model(Chain(np.zeros((SIZE, 2)), np.zeros((2, 2)), np.array([0.0, -20.0])), np.zeros(4), -20.0)
     if len(sizes) < 2:
         return none
     share = F.when(F.col("toxic") == 1, F.lit(rows_per_label / sizes[1])).otherwise(F.lit(rows_per_label / sizes[0]))
@@ -173,11 +180,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longest:
     if len(set(toxic.tolist())) < 2:
         return none
     n = [int((toxic == y).sum()) for y in (0, 1)]
-    seen = [Counter(), Counter()]
+    seen: Counter[str] = Counter()
+    shares = [defaultdict(float), defaultdict(float)]
     for tokens, y in zip(texts, toxic, strict=True):
-        seen[y].update({e for t in set(tokens) for e in evidence(t)})
+        own_counts = Counter(e for t, c in Counter(tokens).items() for e in evidence(t) * c)
+        for e, c in own_counts.items():
+            shares[y][e] += c / (len(tokens) + SHORT)
+        if y:
+            seen.update(own_counts.keys())
     least = max(2, min(15, n[1] // 10))
-    signs = {e for e, c in seen[1].items() if c >= least and math.log((c + 0.1) / n[1]) - math.log((seen[0][e] + 0.1) / n[0]) >= 4.5}
+    signs = {e for e, c in seen.items() if c >= least and math.log((shares[1][e] + RARE) / n[1]) - math.log((shares[0].get(e, 0.0) + RARE) / n[0]) >= LEAST_RATIO}
     rng = np.random.default_rng(seed)
     tokens, tags, lengths, weights = [], [], [], []
     share_clean = min(1.0, clean_tokens / max(1, sum(map(len, texts))))
@@ -199,12 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longest:
     # Logistic regression by Newton steps; labels weigh as among all labelled rows.
     share_1 = sizes[1] / (sizes[0] + sizes[1])
     x1, weight = np.concatenate([x, np.ones((len(x), 1))], 1), np.where(toxic == 1, share_1 / n[1], (1 - share_1) / n[0])
-    beta = np.zeros(4)
+    beta = np.zeros(x1.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
         slope = x1.T @ (weight * (p - toxic)) + 1e-4 * beta
-        beta -= np.linalg.solve((x1 * (weight * p * (1 - p))[:, None]).T @ x1 + 1e-4 * np.eye(4), slope)
-    return Model(chain, beta[:3], float(beta[3]))
+        beta -= np.linalg.solve((x1 * (weight * p * (1 - p))[:, None]).T @ x1 + 1e-4 * np.eye(x1.shape[1]), slope)
+    return Model(chain, beta[:-1], float(beta[-1]))
 
 
 def _scored(shared, least: float):

@@ -89,7 +89,7 @@ def test_document_scores_by_enumeration(spark):
                     mass[i, y[i]] += weight
             found += (mass[:, 1] / mass.sum(1)).tolist()
         m = np.array(found)
-        summary = np.array([max(found, default=0.0), math.log1p(m.sum()), 10 * m.sum() / (len(found) + 10)])
+        summary = np.array([max(found, default=0.0), math.log1p(m.sum()), 10 * m.sum() / (len(found) + 10), math.log((m.sum() + 0.1) / (len(found) + 20))])
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-(summary @ model.slope + model.bias))), abs=1e-6)
         assert [text[s["start"] : s["end"]] for s in r["spans"]] == [t for t, p in zip(text.split(), found, strict=True) if p >= 0.5]
     held = toxicity.score(table.where("doc_id >= 200"), model).select(((F.col("score") >= 0.3) == (F.col("doc_id") % 4 == 0)).cast("int").alias("right")).agg(F.avg("right")).first()[0]

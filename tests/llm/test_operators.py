@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 
 from affinis.llm import crf, fingerprint, langid, minhash, mixing, multiindex, pieces, secretscan, sharding, toxicity, urlrules
-from affinis.llm.runtime import cut
+from affinis.llm.runtime import crc_bucket, cut
 from pyspark.sql import functions as F
 
 MODEL = Path("/opt/tokenizers/piece_bpe_32k.model")
@@ -172,6 +172,20 @@ def test_toxicity(spark):
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Over nine in ten toxic documents that weren't learned from are found at 0.3, in each language at least two in three, and few clean ones are."""
+    folder = "/root/testdata/sf0.1"
+    table, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    held = labels.where(crc_bucket("doc_id", 4) == 2).where("toxic is not null").select("doc_id", "toxic")
+    model = toxicity.fit(table, labels.where(crc_bucket("doc_id", 4) != 2))
+    asked = table.join(held, "doc_id")
+    got = toxicity.score(asked.select("doc_id", "text"), model).join(asked.select("doc_id", "lang", "toxic"), "doc_id").select("lang", "toxic", (F.col("score") >= 0.3).alias("hit")).toPandas()
+    toxic = got[got.toxic == 1]
+    assert toxic.hit.mean() > 0.9 and got[got.toxic == 0].hit.mean() < 0.01
+    by = toxic[toxic.lang.notna()].groupby("lang").hit.mean()
+    assert len(by) == 4 and by.min() > 0.66
+
+
 def test_secrets(spark):
     rng = random.Random(5)
     forms = ["password=%s", 'token = "%s"', "API_KEY: '%s'", "%s", "secret=%s,"]
