@@ -7,11 +7,13 @@ tokens of a text are summed up to a calibrated document score, and the likely to
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ _CACHE = 300_000
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,!?;:\"'()[]{}«»“”„*_-"
 _BEGINNINGS = (4, 5, 6)
+#: Slots of a token's own: its word, beginnings, shape and the constant.
+_OWN = 3 + len(_BEGINNINGS)
 
 
 @dataclass
@@ -46,6 +50,10 @@ def _slot(kind: str, value: str) -> int:
     return xxhash.xxh32_intdigest(f"{kind}:{value}".encode("utf-8", "surrogatepass")) % SIZE
 
 
+#: For what many words share: beginnings, lengths and shapes.
+_common = lru_cache(1 << 16)(_slot)
+
+
 def _core(token: str) -> str:
     return token.strip(_EDGE) or token
 
@@ -59,8 +67,9 @@ def evidence(token: str) -> list[str]:
 def _own(token: str) -> list[int]:
     word = _core(token)
     shape = ("d" if any(map(str.isdigit, word)) else "") + ("a" if word.isascii() else "u") + str(min(len(word), 12))
-    found = [_slot("e", e) for e in evidence(token)]
-    return [*found, *[_slot("short", str(len(word)))] * (1 + len(_BEGINNINGS) - len(found)), _slot("shape", shape), _slot("bias", "")]
+    whole, *beginnings = evidence(token)
+    found = [_slot("e", whole), *[_common("e", b) for b in beginnings]]
+    return [*found, *[_common("short", str(len(word)))] * (1 + len(_BEGINNINGS) - len(found)), _common("shape", shape), _common("bias", "")]
 
 
 def _near(token: str) -> tuple[int, int]:
@@ -107,9 +116,11 @@ class Tagger:
         self.words.update(zip(tokens, range(first, first + len(tokens)), strict=True))
         while len(self.words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        w, near = self.chain.weights, np.array([_near(t) for t in tokens])
-        ends = np.array([[t[-1] in ".!?"] for t in tokens], float)
-        own = w[np.array([_own(t) for t in tokens])].sum(1)
+        w, n = self.chain.weights, len(tokens)
+        near = np.fromiter(itertools.chain.from_iterable(map(_near, tokens)), np.int64, 2 * n).reshape(n, 2)
+        ends = np.fromiter((t[-1] in ".!?" for t in tokens), float, n)[:, None]
+        slots = np.fromiter(itertools.chain.from_iterable(map(_own, tokens)), np.int64, _OWN * n).reshape(n, _OWN)
+        own = w[slots].sum(1)
         self.table[first : first + len(tokens)] = np.concatenate([own, w[near[:, 0]], w[near[:, 1]], ends], 1)
 
     def toxic(self, texts: list[str]) -> list[np.ndarray]:
