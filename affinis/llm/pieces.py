@@ -14,7 +14,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
-#: Words, and pairs of pieces, that a worker keeps: a memory bound.
-_CACHE, _PAIRS = 160_000, 200_000
+#: Words and their beginnings, and pairs of pieces, that a worker keeps: a memory bound. Longer words (in characters) aren't kept.
+_CACHE, _PAIRS, _SHORT = 160_000, 200_000, 64
 #: Characters from which a text is split, characters of a chunk, and chunks whose matrices one task multiplies.
 GIANT, CHUNK, BLOCK = 1 << 16, 1 << 14, 256
 _START = (0, -1)
@@ -94,52 +94,122 @@ class Pieces:
         self.unigram = unigram
         self.longest = max(map(len, self.ids), default=1)
         self.low = min(self.scores, default=0.0) - 10
+        # By left * stride + right: the stride is odd, so that keys differ in the low bits by which a dict deals them.
         self._pairs: dict[int, bool] = {}
+        self.stride = len(self.surface) | 1
         self._whole: dict[int, bool] = {}
+        # The two halves of whose merging a piece comes, and whether every half in it is made before the whole.
+        self._halves: dict[str, tuple[str, str]] = {}
+        self._ordered: dict[str, bool] = {}
         # Without pieces that have a space after something else, every word is encoded by itself.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._texts = {i: t for t, i in self.ids.items()}
-        # Pieces that stand, letter by letter; the id of one that ends is kept under the empty string.
-        self.trie: dict = {}
+
+    @cached_property
+    def inner(self) -> set[str]:
+        """Two characters of which no piece has one after the other always have a piece's end between them."""
+        return {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+
+    @cached_property
+    def trie(self) -> dict:
+        """Pieces that stand, letter by letter; the id of one that ends is kept under the empty string."""
+        root: dict = {}
         for piece, at in self.ids.items():
-            node = self.trie
-            for letter in piece:
-                node = node.setdefault(letter, {})
             if self.stands(at):
+                node = root
+                for letter in piece:
+                    node = node.setdefault(letter, {})
                 node[""] = at
-        # Two characters of which no piece has one after the other always have a piece's end between them.
-        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        return root
 
-    def merge(self, text: str) -> list[str]:
-        """Byte-pair merging: the pair of the highest score first, of equal scores the leftmost."""
+    @cached_property
+    def ends(self) -> dict:
+        """Pieces that stand, letter by letter from their last; under the empty string the id of one that is whole, its bytes and size."""
+        root: dict = {}
+        for piece, at in self.ids.items():
+            if self.stands(at):
+                node = root
+                for letter in reversed(piece):
+                    node = node.setdefault(letter, {})
+                node[""] = at, at.to_bytes(4, "little"), len(piece)
+        return root
+
+    @cached_property
+    def letters(self) -> set[str]:
+        return {p for p in self.ids if len(p) == 1}
+
+    def merge(self, text: str, least: int = 1) -> list[str]:
+        """Byte-pair merging down to ``least`` parts: the pair of the highest score first, of equal scores the leftmost."""
         parts = list(text)
-        while True:
+        while len(parts) > least:
             best = None
             for i in range(len(parts) - 1):
                 at = self.ids.get(parts[i] + parts[i + 1])
                 if at is not None and (best is None or self.scores[at] > best[0]):
                     best = (self.scores[at], i)
             if best is None:
-                return parts
+                break
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
 
     def joins(self, left: int, right: int) -> bool:
-        """Whether merging leaves these two pieces side by side."""
+        """Whether merging leaves these two pieces, each of which stands, side by side."""
         if left < 0 or right < 0:
             return True
-        if (ok := self._pairs.get(left << 32 | right)) is None:
+        if (ok := self._pairs.get(left * self.stride + right)) is None:
             if len(self._pairs) >= _PAIRS:
                 self._pairs.clear()
-            a, b = self._texts[left], self._texts[right]
-            ok = self._pairs[left << 32 | right] = self.merge(a + b) == [a, b]
+            ok = self._pairs[left * self.stride + right] = self._apart(self._texts[left], self._texts[right])
+        return ok
+
+    def _score(self, part: str) -> float:
+        """Parts of a higher score are made earlier; single characters are there from the start."""
+        return self.scores[self.ids[part]] if len(part) > 1 else float("inf")
+
+    def _in_order(self, part: str) -> bool:
+        """Whether scores fall from the halves of a part to the whole, throughout."""
+        if len(part) < 2:
+            return True
+        if (ok := self._ordered.get(part)) is None:
+            halves = self._halves.get(part)
+            if halves is None and self.stands(self.ids[part]):
+                halves = self._halves.get(part)
+            ok = self._ordered[part] = halves is not None and all(self._score(x) > self._score(part) and self._in_order(x) for x in halves)
         return ok
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether merging two pieces' text gives the two again.
+
+        Until a merge crosses their border, either side is merged as if alone. So of the parts that meet at the border, from
+        the whole pieces back to single characters, none may be a pair that goes before the merges that end either part.
+        """
+        if not (self._in_order(a) and self._in_order(b)):
+            return self.merge(a + b) == [a, b]
+        ids, scores, halves, score = self.ids, self.scores, self._halves, self._score
+        of_a, of_b, after_a, after_b = score(a), score(b), float("-inf"), float("-inf")
+        while True:
+            at = ids.get(a + b)
+            # Of equal scores the leftmost goes first.
+            if at is not None and scores[at] > after_a and scores[at] >= after_b:
+                return False
+            if of_a < of_b:
+                after_a, a = of_a, halves[a][1]
+                of_a = score(a)
+            elif len(b) > 1:
+                after_b, b = of_b, halves[b][0]
+                of_b = score(b)
+            else:
+                return True
+
     def stands(self, piece: int) -> bool:
         """Whether merging makes this piece of its own text."""
         if (ok := self._whole.get(piece)) is None:
             text = self._texts[piece]
-            ok = self._whole[piece] = self.unigram or self.merge(text) == [text]
+            parts = [text] if self.unigram else self.merge(text, 2)
+            ok = self._whole[piece] = 0 < len(parts) < 3
+            if len(parts) == 2:
+                self._halves[text] = (parts[0], parts[1])
         return ok
 
     def forward(self, text: str, start: int, last: int, stop: int) -> tuple[dict[int, float], dict[int, tuple[int, int]]]:
@@ -177,7 +247,7 @@ class Pieces:
         if self.unigram:
             back = self.forward(text, 0, -1, len(text))[1]
             return self.trace(back, 0, len(text))
-        root, joins, pairs, n = self.trie, self.joins, self._pairs, len(text)
+        root, joins, pairs, stride, n = self.trie, self.joins, self._pairs, self.stride, len(text)
         last: list[int | None] = [-1] + [None] * n
         begins = [0] * (n + 1)
         for begin in range(n):
@@ -191,7 +261,7 @@ class Pieces:
                     break
                 end += 1
                 piece = node.get("")
-                if piece is not None and last[end] is None and (left < 0 or ((ok := pairs.get(left << 32 | piece)) is not False and (ok or joins(left, piece)))):
+                if piece is not None and last[end] is None and (left < 0 or ((ok := pairs.get(left * stride + piece)) is not False and (ok or joins(left, piece)))):
                     last[end], begins[end] = piece, begin
             if last[begin + 1] is None and text[begin] not in self.ids:
                 last[begin + 1], begins[begin + 1] = -1 - ord(text[begin]), begin
@@ -237,49 +307,74 @@ def encoder(model: bytes) -> Encoder:
 
 
 class Encoder:
-    """Encodes texts; words met before are kept, within a bound."""
+    """Encodes texts; words met before are kept, within a bound, as bytes of little-endian 32-bit ids."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         alone = "" if "\n" in pieces.ids or any("\n" in p for p in pieces.ids) else "\n"
         self.word = re.compile(f"{alone}|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if pieces.by_word else re.compile(r"(?s).+")
 
-    def _keep(self, text: str, ids: list[int]) -> list[int]:
+    def _keep(self, text: str, ids: bytes) -> bytes:
         if len(self.known) >= _CACHE // 2:
             self.known, self.older = {}, self.known
         self.known[text] = ids
         return ids
 
-    def segment(self, text: str) -> list[int]:
-        """Ids of a word, put together from the parts between which no piece can lie."""
+    def segment(self, text: str) -> bytes:
+        """Ids of a word; those of a long one, or one with unknown characters, from the parts between which no piece can lie."""
+        if (got := self.known.get(text)) is not None:
+            return got
         if (got := self.older.get(text)) is not None:
             return self._keep(text, got)
-        inner, begin, out = self.pieces.inner, 0, []
+        p = self.pieces
+        if len(text) <= _SHORT and not p.unigram and p.letters.issuperset(text):
+            return self._short(text)
+        inner, begin, out = p.inner, 0, []
         for at in range(1, len(text)):
             if text[at - 1 : at + 1] not in inner:
-                out += self._part(text[begin:at])
+                out.append(self._part(text[begin:at]))
                 begin = at
         if not begin:
             return self._part(text)
-        out += self._part(text[begin:])
-        return self._keep(text, out) if len(text) <= 64 else out
+        out.append(self._part(text[begin:]))
+        ids = b"".join(out)
+        return self._keep(text, ids) if len(text) <= _SHORT else ids
 
-    def _part(self, text: str) -> list[int]:
+    def _part(self, text: str) -> bytes:
         if (got := self.known.get(text)) is None and (got := self.older.get(text)) is None:
-            got = self.pieces.whole(text)
-            if len(text) <= 64:
+            got = np.array(self.pieces.whole(text), "<i4").tobytes()
+            if len(text) <= _SHORT:
                 self._keep(text, got)
         return got
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for word in self.word.findall(self.pieces.normal(text)):
-            ids = known.get(word)
-            out += self.segment(word) if ids is None else ids
-        return out
+    def _short(self, text: str) -> bytes:
+        """Best path of a short text of known characters: of all pieces at its end one may stand after the best path before it.
+
+        Values are 0 or minus infinity, as in ``Pieces.whole``; the paths before are kept, since words share their beginnings.
+        """
+        node, found = self.pieces.ends, []
+        for letter in reversed(text):
+            node = node.get(letter)
+            if node is None:
+                break
+            if "" in node:
+                found.append(node[""])
+        joins, pairs, stride = self.pieces.joins, self.pieces._pairs, self.pieces.stride
+        for piece, own, size in reversed(found):
+            if size == len(text):
+                return self._keep(text, own)
+            head = text[:-size]
+            before = self.known.get(head) or self.older.get(head) or self._short(head)
+            left = int.from_bytes(before[-4:], "little")
+            if (ok := pairs.get(left * stride + piece)) or ok is None and joins(left, piece):
+                return self._keep(text, before + own)
+        raise ValueError(f"no path through {text!r}")
+
+    def encode(self, text: str) -> np.ndarray:
+        known, segment = self.known, self.segment
+        return np.frombuffer(b"".join([known.get(word) or segment(word) for word in self.word.findall(self.pieces.normal(text))]), "<i4")
 
     # Chunks: ``text`` is a window of the normal form, ``begin`` and ``end`` the chunk's place in it.
 
@@ -370,7 +465,7 @@ class Encoder:
         first = self.pieces.trace(self.pieces.forward(text, start, last, cuts[0])[1], start, cuts[0])
         out = list(first)
         for word in self.word.findall(text[cuts[0] : cuts[1]]):
-            out += self.segment(word)
+            out += np.frombuffer(self.segment(word), "<i4").tolist()
         return out + self.pieces.trace(self.pieces.forward(text, cuts[1], -1, stop)[1], cuts[1], stop)
 
 
@@ -421,7 +516,7 @@ def _encode_small(shared):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.array(coder.encode(t or ""), np.int32) for t in part.column("text").to_pylist()]
+                ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])

@@ -90,6 +90,60 @@ def test_unigram_pieces():
         assert max(total[0, -1].values()) == pytest.approx(best(whole)[1])
 
 
+def bpe_model(scores):
+    """A model file of a BPE vocabulary, given each piece's score."""
+    import struct
+
+    def field(number, value):
+        return bytes([number << 3 | 2, len(value)]) + value
+
+    pieces_ = [("<unk>", 0.0, 2), *((p, s, 1) for p, s in scores.items())]
+    body = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([k])) for p, s, k in pieces_)
+    return body + field(2, b"\x18\x02") + field(3, b"\x18\x01\x20\x00")
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_bpe_paths_are_what_merging_leaves(seed):
+    """Scores in any order, with equal ones, and pieces that merging never makes."""
+    rng = random.Random(seed)
+    some = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(25)} | {"▁a", "▁ab", "▁▁", "▁bc"}
+    length = (lambda p: len(p)) if seed % 3 == 0 else (lambda p: 0)
+    letters = {x: 0.0 for x in "▁abc"}
+    p = pieces.Pieces(bpe_model(letters | {x: -float(length(x) * 100 + rng.randint(0, 9 if seed % 2 else 99)) for x in sorted(some)}))
+    coder = pieces.Encoder(p)
+    standing = [i for i in p.ids.values() if p.stands(i)]
+    for a, b in product(standing, repeat=2):
+        assert p.joins(a, b) == (p.merge(p._texts[a] + p._texts[b]) == [p._texts[a], p._texts[b]])
+    for text in map("".join, product("abc ", repeat=5)):
+        want = [p.ids[x] for word in coder.word.findall(p.normal(text)) for x in p.merge(word)]
+        assert coder.encode(text).tolist() == want
+        assert [x for word in coder.word.findall(p.normal(text)) for x in p.whole(word)] == want
+
+
+@pytest.mark.skipif(not MODEL.exists(), reason="no tokenizer files")
+def test_words_cost_no_merging(monkeypatch):
+    """Once the vocabulary is laid out no text is merged, and words with the same beginning don't go over it again."""
+    library = sentencepiece.SentencePieceProcessor(model_file=str(MODEL))
+    coder = pieces.Encoder(pieces.Pieces(MODEL.read_bytes()))
+    coder.encode("warm")
+    rng = random.Random(4)
+    syllables = ["sch", "ein", "ung", "the", "ßen", "tion", "er", "ou", "ä", "Ge", "98", ".", "'s"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) for _ in range(60)) for _ in range(40)]
+    want = [library.encode(t) for t in texts]
+
+    def never(*_):
+        raise AssertionError("a text is merged or scanned whole")
+
+    monkeypatch.setattr(coder.pieces, "merge", never)
+    monkeypatch.setattr(coder.pieces, "whole", never)
+    assert [coder.encode(t).tolist() for t in texts] == want
+    coder.known.clear()
+    assert coder.encode("x" * 63).tolist() == library.encode("x" * 63)
+    monkeypatch.undo()
+    odd = "☃ßschein 漢字\U0001f600 ein☃ " + "\0" * 3 + "schein" * 40
+    assert coder.encode(odd).tolist() == library.encode(odd)
+
+
 # Language identification
 
 
