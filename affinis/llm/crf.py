@@ -10,6 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Pairs of neighbouring tokens whose probabilities are held at once in training.
+_PAIRS = 1 << 14
+
 
 @dataclass
 class Chain:
@@ -63,10 +66,37 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 def marginals(chain: Chain, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Probability of each label at each token, given the whole sequence."""
     lengths = lengths[lengths > 0]
+    if chain.labels == 2 and np.ptp(chain.moves) < 100:
+        second = _odds_marginals(chain, emissions, lengths)
+        return np.stack([1 - second, second], 1)
     alpha, beta, total = forward_backward(chain, emissions, lengths)
     return np.exp(np.minimum(alpha + beta - total[:, None], 0))
 
 
+def _odds_marginals(chain: Chain, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Probability of the second of two labels: both recursions on the labels' odds, which each step keeps within bounds that the moves set."""
+    starts, sizes, active = _steps(lengths)
+    own = np.exp(np.clip(emissions[:, 1] - emissions[:, 0], -300, 300))
+    odds = np.empty(len(emissions))
+    if not len(starts):
+        return odds
+    (stay, enter), (leave, go) = np.exp(chain.moves - chain.moves.max()).tolist()
+    now = own[starts] * np.exp(np.clip(chain.first[1] - chain.first[0], -300, 300))
+    odds[starts] = now
+    for t in range(1, len(active)):
+        at, now = starts[: active[t]] + t, now[: active[t]]
+        now = own[at] * (enter + go * now) / (stay + leave * now)
+        odds[at] = now
+    now = np.ones(active[-1])
+    for t in range(len(active) - 2, -1, -1):
+        at = starts[: active[t + 1]] + t
+        # Sequences that end at the next position begin with odds of 1.
+        now = np.concatenate([now, np.ones(active[t + 1] - len(now))]) * own[at + 1]
+        now = (leave + go * now) / (stay + enter * now)
+        odds[at] *= now
+    return odds / (1 + odds)
+
+
 def viterbi(chain: Chain, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Labels of each sequence's best path; of equal labels the first."""
     lengths = lengths[lengths > 0]
@@ -101,21 +131,43 @@ def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, size: i
     heads = np.zeros(len(labels), bool)
     heads[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
     later = np.flatnonzero(~heads)
-    gold = np.eye(n_labels)[labels]
     weigh = np.ones(len(labels)) if weights is None else weights
     gold_moves = np.zeros((n_labels, n_labels))
     np.add.at(gold_moves, (labels[later - 1], labels[later]), weigh[later])
-    flat, k = features.ravel(), features.shape[1]
-    sums = [np.full_like(p, 1e-8) for p in (chain.weights, chain.moves, chain.first)]
+    # Only the weights of features that occur ever move; one column of features is looked up at a time, so that no table of all tokens' features is made.
+    seen = np.zeros(size, bool)
+    for column in features.T:
+        seen[column] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    columns = [place[column] for column in features.T]
+    small = Chain(np.zeros((len(used), n_labels)), chain.moves, chain.first)
+    sums = [np.full_like(p, 1e-8) for p in (small.weights, small.moves, small.first)]
     for _ in range(rounds):
-        emissions = chain.weights[features].sum(1)
-        alpha, beta, total = forward_backward(chain, emissions, lengths)
-        gap = (np.exp(np.minimum(alpha + beta - total[:, None], 0)) - gold) * weigh[:, None]
-        slope = np.stack([np.bincount(flat, weights=np.repeat(gap[:, j], k), minlength=size) for j in range(n_labels)], 1)
-        pairs = np.exp(alpha[later - 1][:, :, None] + chain.moves + (emissions[later] + beta[later])[:, None, :] - total[later][:, None, None])
-        pair = np.einsum("n,nij->ij", weigh[later], pairs) - gold_moves
-        for value, g, s in zip((chain.weights, chain.moves, chain.first), (slope, pair, gap[heads].sum(0)), sums, strict=True):
+        emissions = np.zeros((len(labels), n_labels))
+        for column in columns:
+            emissions += small.weights[column]
+        alpha, beta, total = forward_backward(small, emissions, lengths)
+        pair = -gold_moves
+        for i in range(0, len(later), _PAIRS):
+            at = later[i : i + _PAIRS]
+            pairs = np.exp(alpha[at - 1][:, :, None] + small.moves + (emissions[at] + beta[at])[:, None, :] - total[at][:, None, None])
+            pair = pair + np.einsum("n,nij->ij", weigh[at], pairs)
+        del emissions
+        alpha += beta
+        alpha -= total[:, None]
+        del beta, total
+        gap = np.exp(np.minimum(alpha, 0, out=alpha), out=alpha)
+        gap[np.arange(len(labels)), labels] -= 1
+        gap *= weigh[:, None]
+        slope = np.zeros_like(small.weights)
+        for j in range(n_labels):
+            for column in columns:
+                slope[:, j] += np.bincount(column, weights=gap[:, j], minlength=len(used))
+        for value, g, s in zip((small.weights, small.moves, small.first), (slope, pair, gap[heads].sum(0)), sums, strict=True):
             g = g + decay * weigh.sum() * value
             s += g**2
             value -= rate * g / np.sqrt(s)
+    chain.weights[used] = small.weights
     return chain

@@ -7,7 +7,6 @@ tokens of a text are summed up to a calibrated document score, and the likely to
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -32,11 +31,10 @@ SHORT = 50
 #: About the share of one occurrence in a text of 500 words, added to both sums of shares.
 RARE = 0.002
 _CACHE = 300_000
+_SHARED = 100_000
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,!?;:\"'()[]{}«»“”„*_-"
 _BEGINNINGS = (4, 5, 6)
-#: Slots of a token's own: its word, beginnings, shape and the constant.
-_OWN = 3 + len(_BEGINNINGS)
 
 
 @dataclass
@@ -103,25 +101,40 @@ def _summary(m: np.ndarray, words: int) -> np.ndarray:
 
 
 class Tagger:
-    """Marginals of whole texts; contributions of words met before are kept, within a bound."""
+    """Marginals of whole texts; contributions of words met before, and of what many words share, are kept, within a bound."""
 
     def __init__(self, chain: Chain):
         self.chain = chain
         self.words: dict[str, int] = {}
         self.table = np.zeros((1024, 3 * chain.labels + 1))
+        self.shared: dict[tuple[str, int, bool, bool], int] = {}
+        self.sums: list[float] = []
         self.edge = chain.weights[_slot("edge", "")]
 
+    def _shared(self, word: str) -> int:
+        """Place of the sum of a word's own slots but that of the whole word: its beginnings, shape and the constant tell all of them."""
+        key = word[: max(_BEGINNINGS)], min(len(word), 12), word.isascii(), not word.isalpha() and any(map(str.isdigit, word))
+        if (at := self.shared.get(key)) is None:
+            at = self.shared[key] = len(self.shared)
+            self.sums += self.chain.weights[_own(word)[1:]].sum(0).tolist()
+        return at
+
     def _learn(self, tokens: list[str]) -> None:
         first = len(self.words)
         self.words.update(zip(tokens, range(first, first + len(tokens)), strict=True))
         while len(self.words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         w, n = self.chain.weights, len(tokens)
-        near = np.fromiter(itertools.chain.from_iterable(map(_near, tokens)), np.int64, 2 * n).reshape(n, 2)
+        if len(self.shared) > _SHARED:
+            self.shared.clear()
+            self.sums.clear()
+        words = [t.strip(_EDGE) or t for t in tokens]
+        coded = [x.encode("utf-8", "surrogatepass") for x in words]
+        digest = xxhash.xxh32_intdigest
+        whole, before, after = (w[np.fromiter((digest(kind + x) for x in coded), np.int64, n) % SIZE] for kind in (b"e:w:", b"before:", b"after:"))
+        rest = np.fromiter(map(self._shared, words), np.int64, n)
         ends = np.fromiter((t[-1] in ".!?" for t in tokens), float, n)[:, None]
-        slots = np.fromiter(itertools.chain.from_iterable(map(_own, tokens)), np.int64, _OWN * n).reshape(n, _OWN)
-        own = w[slots].sum(1)
-        self.table[first : first + len(tokens)] = np.concatenate([own, w[near[:, 0]], w[near[:, 1]], ends], 1)
+        self.table[first : first + n] = np.concatenate([whole + np.array(self.sums).reshape(-1, self.chain.labels)[rest], before, after, ends], 1)
 
     def toxic(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the probability of each token to be toxic."""
