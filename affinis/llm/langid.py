@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .runtime import unit
@@ -108,22 +109,24 @@ def fit(docs: DataFrame, rows_per_language: int = 3000, least: int = 32, languag
     drawn = known.where(unit("text", F.lit("language")) < share).distinct()
     grams = drawn.select("lang", "text").mapInArrow(_count, "lang string, run bigint, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     got = grams.toArrow()
-    lang = np.searchsorted(np.array(languages), np.array(got.column("lang").to_pylist(), dtype=object).astype(str))
-    run, n = got.column("run").to_numpy(), got.column("n").to_numpy()
-    bytes_ = np.stack([run >> s & 255 for s in (24, 16, 8, 0)])
+    lang = pc.index_in(got.column("lang"), value_set=pa.array(languages)).to_numpy()
+    run, n = got.column("run").to_numpy().astype(np.uint32), got.column("n").to_numpy()
+    del got
+    bytes_ = np.stack([(run >> s & 255).astype(np.uint8) for s in (24, 16, 8, 0)])
     used = np.unique(bytes_[3])
     size = len(used) + 1
     symbol = np.full(256, size - 1, np.int64)
     symbol[used] = np.arange(len(used))
-    s = symbol[bytes_]
+    s = symbol.astype(np.int32)[bytes_]
     # The zero bytes before a text take the code of the symbol for unknown bytes.
     code2, code3 = s[1] * size + s[2], (s[0] * size + s[1]) * size + s[2]
     rows = [np.array([[0, -1, -1, -1]])]
     maps = []
-    for code, cells in ((s[2], size), (code2, size**2), (code3, size**3)):
-        total = np.bincount(code, weights=n, minlength=cells)
-        maps.append(np.flatnonzero(total >= (least if cells > size else 1)))
-    index = {k: np.full(size**k, -1, np.int64) for k in (1, 2, 3)}
+    for code in (s[2], code2, code3):
+        found, at = np.unique(code, return_inverse=True)
+        maps.append(found[np.bincount(at, weights=n) >= (1 if code is s[2] else least)].astype(np.int64))
+    # Cells of the order's codes, four bytes each: the largest of what the fit holds, and nothing of that size stands beside them.
+    index = {k: np.full(size**k, -1, np.int32) for k in (1, 2, 3)}
     for k in (1, 2, 3):
         index[k][maps[k - 1]] = np.arange(len(maps[k - 1]))
     ones = np.stack([np.zeros(len(maps[0]), np.int64), np.arange(len(maps[0])), *[np.full(len(maps[0]), -1)] * 2], 1)
@@ -143,9 +146,12 @@ def fit(docs: DataFrame, rows_per_language: int = 3000, least: int = 32, languag
         for i in range(0, len(contexts), 4096):
             bits[i : i + 4096, :, at] = code_lengths(counts, contexts[i : i + 4096], size)
     starts = np.cumsum([0, 1, len(ones), len(twos)])
-    codes = np.arange(size**3)
-    row = np.where(index[3] >= 0, starts[3] + index[3], np.where((two := index[2][codes % size**2]) >= 0, starts[2] + two, np.where((one := index[1][codes % size]) >= 0, starts[1] + one, 0)))
-    return Model(languages, symbol, row.astype(np.int32), bits.reshape(-1, len(languages)))
+    one = np.where(index[1] >= 0, starts[1] + index[1], 0)
+    two = np.where(index[2] >= 0, starts[2] + index[2], np.tile(one, size)).astype(np.int32)
+    row = index.pop(3).reshape(size, -1)
+    for own in row:  # in place
+        own[:] = np.where(own >= 0, starts[3] + own, two)
+    return Model(languages, symbol, row.ravel(), bits.reshape(-1, len(languages)))
 
 
 def score_bits(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from affinis.llm import crf, toxicity
+from affinis.llm import crf, langid, toxicity
 
 
 def peak_mb(f):
@@ -91,3 +91,13 @@ def test_words_of_the_same_beginning_share_its_slots(monkeypatch):
         assert np.allclose(tagger.toxic([" ".join(words)])[0], want, atol=1e-9)
         tagger.words.clear()
     assert len(calls) < 60
+
+
+def test_language_fit_holds_one_table_of_contexts(spark):
+    """Of the size of the cube of the letters in use there is the table itself, of four bytes a cell."""
+    letters = "".join(map(chr, range(0x80, 0x800)))
+    docs = spark.createDataFrame([(i, letters[i * 9 : i * 9 + 90] + " some words", "ab"[i % 2]) for i in range(200)], "doc_id bigint, text string, lang string")
+    model, mb = peak_mb(lambda: langid.fit(docs))
+    size = model.symbols
+    assert model.row.dtype == np.int32 and len(model.row) == size**3
+    assert mb < 3 * (4 * size**3 + model.bits.nbytes) / 1e6
