@@ -17,14 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .runtime import unit
+from .runtime import forget, unit
 
 ORDER = 3
 #: Bytes of the stretch whose likelihood is a prediction's score; that of a whole text would nearly always be 0 or 1.
 STRETCH = 32
 #: Columns that a prediction adds.
 ADDED = ("lang_pred", "score", "bits")
-_SLICE = 1 << 20
+#: Bytes that are coded at once, bytes of the texts that are joined for it, rows taken from a batch at a time and entries from which a language's counts are merged:
+#: memory bounds of a worker, which shares its executor with what other stages have left there.
+_SLICE, _JOINED, _ROWS, _ENTRIES = 1 << 16, 1 << 18, 512, 200_000
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -50,15 +52,24 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and bool(_LETTER.search(text) or any(map(str.isalpha, text.decode("utf-8", "ignore"))))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that a worker holds few texts and their arrays at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of each run of four bytes by language; a text begins after three zero bytes."""
     sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    most: dict[str, int] = {}
 
     def merged(parts):
         keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    for batch in batches:
+    forget()
+    for batch in _parts(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             whole = np.frombuffer(b"\0\0\0" + text, np.uint8)
             for i in range(0, len(text), _SLICE):
@@ -66,8 +77,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 runs = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
                 parts = sums.setdefault(lang, [])
                 parts.append(np.unique(runs, return_counts=True))
-                if sum(len(k) for k, _ in parts) > 3_000_000:
+                if sum(len(k) for k, _ in parts) > most.get(lang, _ENTRIES):
                     sums[lang] = [merged(parts)]
+                    most[lang] = max(_ENTRIES, 2 * len(sums[lang][0][0]))
     for lang, parts in sums.items():
         keys, n = merged(parts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "run", "n"])
@@ -177,8 +189,9 @@ def score_bits(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             names, scores, lengths = [], [], []
             some = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
@@ -186,7 +199,7 @@ def _predict(shared):
             got = np.zeros((len(some), len(model.languages)))
             while at < len(some):
                 upto, size = at, 0
-                while upto < len(some) and (upto == at or size + len(texts[some[upto]]) < 4 << 20):
+                while upto < len(some) and (upto == at or size + len(texts[some[upto]]) < _JOINED):
                     size += len(texts[some[upto]])
                     upto += 1
                 got[at:upto] = score_bits(model, [texts[i] for i in some[at:upto]])

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components, hub_join
-from .runtime import cut
+from .runtime import cut, forget
 from .words import WordHashes, mix, shingles
 
 #: Buckets of up to this many documents are compared pair by pair, larger ones with a few heads and, where these leave them apart, in blocks.
@@ -74,6 +74,7 @@ def _sign(tensor: Tensor, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        forget()
         hashes = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -114,6 +115,7 @@ def bitmap(ids: DataFrame) -> Broadcast[np.ndarray]:
 def _shingle_sets(width: int, wanted: Broadcast[np.ndarray]):
     """Shingle sets of the documents whose bit is set: those wanted, and a few more by chance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes, bits = WordHashes(), wanted.value
         for whole in batches:
             # A bit at position p of its bucket is bit p % 8, from the lowest, of byte p // 8.

@@ -14,13 +14,15 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .runtime import kept
+
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 #: Words and their beginnings, and pairs of pieces, that a worker keeps: a memory bound. Longer words (in characters) aren't kept.
@@ -300,10 +302,9 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def encoder(model: bytes) -> Encoder:
-    """The encoder of a worker: what it has learnt of words and pairs serves later tasks too."""
-    return Encoder(Pieces(model))
+    """The encoder of a worker: what it has learnt of words and pairs serves later tasks too, until another operator or model comes."""
+    return kept(("pieces", model), lambda: Encoder(Pieces(model)))
 
 
 class Encoder:

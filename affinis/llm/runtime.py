@@ -1,10 +1,12 @@
-"""Cutting lineage and sizing shuffles, the same way for all operators of this subpackage."""
+"""Cutting lineage, sizing shuffles and what workers keep, the same way for all operators of this subpackage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -30,6 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """``make()``, which this Python worker keeps for later tasks of the same ``key``.
+
+    Workers serve one stage after the other, so they keep one thing at a time; operators that keep nothing call ``forget``.
+    """
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what this worker has kept for another operator, and Arrow's free memory."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def unit(*keys: str | Column) -> Column:
     """A number in [0, 1) from a hash of ``keys``; nulls count."""
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .crf import Chain, train, viterbi
-from .runtime import unit
+from .runtime import forget, unit
 
 # Fixed patterns and least lengths of the base spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -252,6 +252,7 @@ def _examples(clean_share: float, variants: int):
     """Texts with finds, perturbed copies of them and a share of the other texts, with the secrets' places and weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -432,6 +433,7 @@ def scan(docs: DataFrame, model: Field) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scanner = Scanner(shared.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -462,6 +464,7 @@ def redact(docs: DataFrame, model: Field, mark: str = "[secret]") -> DataFrame:
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scanner = Scanner(shared.value)
         for batch in batches:
             for part, texts in _parts(batch):
