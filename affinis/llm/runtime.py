@@ -38,7 +38,7 @@ _KEPT: dict[Hashable, object] = {}
 def kept(key: Hashable, make: Callable[[], object]):
     """``make()``, which this Python worker keeps for later tasks of the same ``key``.
 
-    Workers serve one stage after the other, so they keep one thing at a time; operators that keep nothing call ``forget``.
+    Workers serve one stage after the other, so they keep one thing at a time; the pipeline's operators that keep nothing call ``forget``.
     """
     if key not in _KEPT:
         forget()
