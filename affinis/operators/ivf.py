@@ -52,12 +52,27 @@ def assign(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
     return nearest_cells(rows, "vector", centroids).withColumn("cell", F.col("cells")[0]).drop("cells")
 
 
+def _probed(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    table = np.zeros((max(rows.max(), query.max()) + 1, len(query)), bool)
+    table[query.ravel(), np.repeat(np.arange(len(query)), query.shape[1])] = True
+    return table[rows[:, 0]]
+
+
+def in_blocks(indexed: DataFrame, queries: DataFrame, n: int, by, digits: int | None) -> DataFrame | None:
+    """``search`` for queries with their ``cells``, in blocks of rows and queries, if these can be taken: no pair is shuffled."""
+    rows = indexed.withColumn("keys", F.array(F.col("cell").cast("int")))
+    return knn.nearest_admitted(queries.withColumn("keys", F.transform("cells", lambda c: c.cast("int"))), rows, n, by, digits, _probed)
+
+
 def search(indexed: DataFrame, queries: DataFrame, centroids: list[list[float]], n: int, probes: int = 1, by="euclidean", digits: int | None = None) -> DataFrame:
     """``(qid, uid, dist, rank)`` from the ``probes`` nearest cells; fewer than ``n`` if those hold fewer.
 
     ``indexed`` is ``(uid, vector, cell)``; stored partitioned by ``cell``, only the probed partitions are read.
     """
-    asked = nearest_cells(queries, "qvector", centroids, probes).withColumn("cell", F.explode("cells")).drop("cells")
+    near = nearest_cells(queries, "qvector", centroids, probes)
+    if (found := in_blocks(indexed, near, n, by, digits)) is not None:
+        return found
+    asked = near.withColumn("cell", F.explode("cells")).drop("cells")
     dist = knn.metric(by)(F.col("vector"), F.col("qvector"))
     found = indexed.join(asked, "cell").select("qid", "uid", (F.round(dist, digits) if digits else dist).alias("dist"))
     return knn.top(found, n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from affinis.functions import bits
@@ -38,12 +39,32 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, n: int, width: int) -> D
     return queries.select("qid", "qcode").join(near, F.col("qcode").eqNullSafe(F.col("near"))).select("qid", "code", "bits", "distance")
 
 
+def allowed(codes: DataFrame, queries: DataFrame, n: int, width: int) -> np.ndarray | None:
+    """Whether a code is among the ``n`` nearest of a code asked for, by both; null for codes of so many bits that the table would be large."""
+    if 2**width * min(n, 2**width) > MOST_NEAR or dict(codes.dtypes)["code"].startswith("array"):
+        return None
+    asked = queries.where(F.col("qcode").isNotNull()).select(F.col("qcode").alias("qid"), "qcode").distinct()
+    out = np.zeros((1 << width, 1 << width), bool)
+    for r in nearest_codes(codes.where(F.col("code").isNotNull()), asked, n, width).select("qid", "code").collect():
+        out[r["code"], r["qid"]] = True
+    return out
+
+
+def in_blocks(coded: DataFrame, queries: DataFrame, n: int, by, digits: int | None, allowed: np.ndarray) -> DataFrame | None:
+    """``search`` with the pairs of codes that are ``allowed``, in blocks of rows and queries, if these can be taken: no pair is shuffled."""
+    fits = lambda rows, query: allowed[rows[:, 0]][:, query[:, 0]]
+    keyed = lambda df, code: df.withColumn("keys", F.array(F.col(code).cast("int")))
+    return knn.nearest_admitted(keyed(queries, "qcode"), keyed(coded, "code"), n, by, digits, fits)
+
+
 def search(coded: DataFrame, queries: DataFrame, n: int, width: int, by="cosine", n_codes: int | None = None, digits: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """``(qid, uid, dist, rank)``: members of each query's ``n`` nearest codes, ranked exactly.
 
     ``coded`` is ``(uid, vector, code)``, ``queries`` ``(qid, qvector, qcode)``. As in the classic index, ``n`` counts codes as
     well as results; ``n_codes`` sets the number of codes apart. ``near`` are nearest codes found another way.
     """
+    if near is None and (table := allowed(coded.select("code"), queries, n_codes or n, width)) is not None and (found := in_blocks(coded, queries, n, by, digits, table)) is not None:
+        return found
     near = nearest_codes(coded, queries, n_codes or n, width) if near is None else near
     asked = near.select("qid", "code").join(queries.select("qid", "qvector"), "qid")
     dist = knn.metric(by)(F.col("vector"), F.col("qvector"))

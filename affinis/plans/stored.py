@@ -43,23 +43,32 @@ class StoredIndex:
     def placed(self, rows: DataFrame) -> DataFrame:
         return placed(rows.select("uid", "vector"), self.model, getattr(self, "projection", None))
 
-    def search(self, queries: DataFrame, n: int = 1) -> DataFrame:
-        """``(qid, uid, dist, rank)``. The parts asked for, at most as many as the model has, come to the driver, so that only they are read."""
+    def search(self, queries: DataFrame, n: int = 1, digits: int | None = None) -> DataFrame:
+        """``(qid, uid, dist, rank)``, with distances rounded to ``digits`` before they are ranked. The parts asked for, at most as many as the model has, come to the driver, so that only they are read."""
         if not queries.where(F.col("qvector").isNull()).isEmpty():
             raise ValueError("a query has no vector")
         m = self.model
         if m["kind"] == "ivf":
+            near = ivf.nearest_cells(queries.select("qid", "qvector"), "qvector", m["centroids"], m["probes"])
+            parts = [r["part"] for r in near.select(F.explode("cells").alias("part")).distinct().collect()]
+            rows = self.parts_read(parts).withColumn("cell", F.col("part"))
+            if (found := ivf.in_blocks(rows, near, n, m["metric"], digits)) is not None:
+                return found
             asked = cut(ivf.nearest_cells(queries.select("qid", "qvector"), "qvector", m["centroids"], m["probes"]).withColumn("part", F.explode("cells")).drop("cells"))
             on = ["part"]
         else:
             coded = queries.select("qid", "qvector").withColumn("qcode", self.projection.code(F.col("qvector")))
             codes = self.spark.read.parquet(f"{self.path}/rows").where(F.col("uid").isNotNull()).select("code")
+            if (allowed := lsh.allowed(codes, coded, m["n_codes"] or n, m["bits"])) is not None:
+                parts = sorted({int(c) >> max(0, m["bits"] - PREFIX) for c in allowed.any(axis=1).nonzero()[0]})
+                if (found := lsh.in_blocks(self.parts_read(parts), coded, n, m["metric"], digits, allowed)) is not None:
+                    return found
             near = lsh.nearest_codes(codes, coded, m["n_codes"] or n, m["bits"])
             asked = cut(near.select("qid", "code").join(queries.select("qid", "qvector"), "qid").withColumn("part", prefix(F.col("code"), m["bits"])))
             on = ["part", "code"]
         parts = [r["part"] for r in asked.select("part").distinct().collect()]
         dist = knn.metric(m["metric"])(F.col("vector"), F.col("qvector"))
-        return knn.top(self.parts_read(parts).join(asked, on).select("qid", "uid", dist.alias("dist")), n)
+        return knn.top(self.parts_read(parts).join(asked, on).select("qid", "uid", (F.round(dist, digits) if digits else dist).alias("dist")), n)
 
     def update(self, rows: DataFrame) -> StoredIndex:
         """Put ``(uid, vector)`` rows in, in place of those of their ids. Old places are found by reading the ids alone."""
