@@ -45,13 +45,17 @@ def older_than(files: DataFrame, seconds: float, now: Column | None = None) -> D
     return files.where((now if now is not None else F.current_timestamp()).cast("double") - F.col("modified").cast("double") > seconds)
 
 
-def libsvm_lines(rows: DataFrame, digits: int = 12) -> DataFrame:
-    """``(uid, value)`` with lines ``label index:value``: indices from 1, zeros left out, labels as numbers in the order of their least uid."""
+def libsvm_lines(rows: DataFrame, digits: int | None = None) -> DataFrame:
+    """``(uid, value)`` with lines ``label index:value``: indices from 1, zeros left out, labels as numbers in the order of their least uid.
+
+    Values have the fewest digits that are read back as the same number, or ``digits`` behind the point.
+    """
+    written = lambda x: x.cast("string") if digits is None else F.format_string(f"%.{digits}f", x)
     first = rows.groupBy("label").agg(F.min("uid").alias("first"))
     from pyspark.sql import Window as W
 
     numbers = first.withColumn("number", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("first"))).drop("first")  # one row per label
-    cells = F.filter(F.transform("vector", lambda x, i: F.when(x != 0, F.concat((i + 1).cast("string"), F.lit(":"), F.format_string(f"%.{digits}f", x)))), lambda s: s.isNotNull())
+    cells = F.filter(F.transform("vector", lambda x, i: F.when(x != 0, F.concat((i + 1).cast("string"), F.lit(":"), written(x)))), lambda s: s.isNotNull())
     return rows.join(F.broadcast(numbers), "label").select("uid", F.concat_ws(" ", F.col("number").cast("string"), F.concat_ws(" ", cells)).alias("value"))
 
 
